@@ -92,7 +92,7 @@ _HAS_SPELLED = re.compile(rf"(?<!\w)(?:{_WORD})(?:[\s,.-]{{1,3}}(?:{_WORD}|[0-9]
 _AT_BRACKET = re.compile(r"[ \t]?[\[({<][ \t]?(?:at|arroba|ät|@)[ \t]?[\])}>][ \t]?", re.I)
 _DOT_BRACKET = re.compile(r"[ \t]?[\[({<][ \t]?(?:dot|punkt|point|punto|\.)[ \t]?[\])}>][ \t]?", re.I)
 #: Without brackets "at" counts only in a whole address: name at host dot end.
-_AT_WORDS = re.compile(r"(?<![\w.@])([A-Za-z0-9._%+-]+)([ \t]+(?:at|arroba)[ \t]+)([A-Za-z0-9-]+(?:(?:[ \t]+(?:dot|punto|punkt|point)[ \t]+|\.)[A-Za-z0-9-]+)*[ \t]+(?:dot|punto|punkt|point)[ \t]+[A-Za-z]{2,})(?!\w)", re.I)
+_AT_WORDS = re.compile(r"(?<![\w.@])([A-Za-z0-9._%+-]+)([ \t]+(?:at|arroba)[ \t]+)(?!(?:the|an?|this|that|our|your|my|his|her|their)[ \t])([A-Za-z0-9-]+(?:(?:[ \t]+(?:dot|punto|punkt|point)[ \t]+|\.)[A-Za-z0-9-]+)*[ \t]+(?:dot|punto|punkt|point)[ \t]+[A-Za-z]{2,})(?!\w)", re.I)
 _DOT_WORDS = re.compile(r"[ \t]+(?:dot|punto|punkt|point)[ \t]+", re.I)
 _DOT_DIGITS = re.compile(r"(?<=[0-9])[ \t]+(?:dot|punto|punkt|point)[ \t]+(?=[0-9])", re.I)
 _HAS_DOT = re.compile(r"(?:dot|punto|punkt|point)[ \t\])}>]", re.I)

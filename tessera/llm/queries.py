@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, pii, secrets, simhash, urls
+from . import bpe, decontaminate, embeddings, langid, merkle, pii, secrets, simhash, suffixes, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,30 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as archives, against a replica that this query damages: bytes changed, records lost."""
+    pages = table(spark, sf_dir, "pages")
+    html = F.when(F.col("page_id") % 13 == 5, F.concat(F.col("html"), F.lit(" "))).when(F.col("page_id") % 17 == 4, F.translate("html", "e", "3")).otherwise(F.col("html"))
+    replica = pages.where("page_id % 19 <> 7").withColumn("html", html)
+    got = merkle.audit(merkle.records(pages), merkle.records(replica))
+    return got.select((F.col("archive") * 4096 + F.col("slot")).alias("page_id"), "archive", "offset", "length", "status", "sha256", "replica_sha256")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s[0], s[1])), ",")
+    return got.select("doc_id", "n_words", "n_repeat", spans.alias("spans"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary(), keep_ids=False)
     return got.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -65,7 +84,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *_counts(secrets.KINDS), *_digests())
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_decontamination, op6_bpe, op7_pii, op8_url_filter, op9_simhash, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_merkle_fixity, op3_decontamination, op4_embedding_groups, op5_repeated_passages, op6_bpe, op7_pii, op8_url_filter, op9_simhash, op10_secrets)}
 
 _UPPER, _LOWER = urls.UPPER, urls.LOWER
 
@@ -100,4 +119,26 @@ SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN action WHEN {b
 """
 
 
-SQL = {"op3_decontamination": _OP3_SQL, "op8_url_filter": _op8_sql()}
+_OP2_SQL = """
+WITH a AS (SELECT page_id, url, html FROM pages),
+b AS (SELECT page_id, url, CASE WHEN page_id % 13 = 5 THEN html || ' ' WHEN page_id % 17 = 4 THEN translate(html, 'e', '3') ELSE html END AS html FROM pages WHERE page_id % 19 <> 7),
+ra AS (SELECT page_id, 'url ' || coalesce('=' || url, '-') || chr(10) || coalesce('=' || html, '-') AS body FROM a),
+rb AS (SELECT page_id, 'url ' || coalesce('=' || url, '-') || chr(10) || coalesce('=' || html, '-') AS body FROM b),
+oa AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS length, sha256(body) AS sha256,
+              CAST(coalesce(sum(strlen(body)) OVER (PARTITION BY page_id // 4096 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM ra)
+SELECT page_id, page_id // 4096 AS archive, "offset", length, CASE WHEN rb.body IS NULL THEN 'missing' ELSE 'corrupt' END AS status, oa.sha256 AS sha256, sha256(rb.body) AS replica_sha256
+FROM oa LEFT JOIN rb USING (page_id) WHERE rb.body IS NULL OR sha256(rb.body) <> oa.sha256
+"""
+
+_OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+SQL = {"op2_merkle_fixity": _OP2_SQL, "op4_embedding_groups": _OP4_SQL, "op3_decontamination": _OP3_SQL, "op8_url_filter": _op8_sql()}
