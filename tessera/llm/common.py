@@ -60,6 +60,13 @@ def map_texts(df: DataFrame, fields: list[tuple[str, T.DataType]], make: Callabl
     return df.select(KEY, TEXT).mapInArrow(run, schema)
 
 
+def rows_of(batch: pa.RecordBatch, *columns: int | str) -> Iterator[tuple]:
+    """Rows of a batch one at a time: its texts are not all Python strings at once."""
+    held = [batch.column(c) for c in columns]
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in held)
+
+
 def _arrow(t: T.DataType) -> pa.DataType:
     plain = {T.LongType: pa.int64(), T.StringType: pa.string(), T.BooleanType: pa.bool_(), T.DoubleType: pa.float64(), T.BinaryType: pa.binary(), T.IntegerType: pa.int32()}
     return pa.list_(_arrow(t.elementType)) if isinstance(t, T.ArrayType) else plain[type(t)]

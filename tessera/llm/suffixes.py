@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, TEXT, keyed, written
+from .common import KEY, TEXT, keyed, rows_of, written
 from .decontaminate import fold
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)
@@ -112,7 +112,7 @@ def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams, ids, places = [], [], []
-            for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for d, x in rows_of(batch, 0, 1):
                 h = word_hashes(x)
                 if len(h) >= least:
                     g = kgrams(h, k)
@@ -132,7 +132,7 @@ def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, x, wanted in zip(*(batch.column(c).to_pylist() for c in ("digest", TEXT, "grams")), strict=True):
+            for d, x, wanted in rows_of(batch, "digest", TEXT, "grams"):
                 h = word_hashes(x)
                 g = kgrams(h, k)
                 at = minimisers(g, window)
