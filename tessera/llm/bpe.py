@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KEY, TEXT, keyed
+from .common import KEY, TEXT, keyed, rows_of
 
 #: A block ends at so many documents or characters, whichever comes first.
 BLOCK_DOCS, BLOCK_CHARS = 8192, 24 << 20
@@ -93,22 +93,26 @@ def _splitter(path: str) -> Splitter:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, list]]:
     """(name, keys, texts); the name is a digest of the content, the same whenever the block is read again."""
     for batch in batches:
-        keys, texts = batch.column(0), batch.column(1).to_pylist()
-        start = size = 0
-        for i, x in enumerate(texts):
+        keys, start, size, part = batch.column(0), 0, 0, []
+        for i, (x,) in enumerate(rows_of(batch, 1)):
+            part.append(x)
             size += len(x or "")
-            if i + 1 == len(texts) or i + 1 - start >= BLOCK_DOCS or size >= BLOCK_CHARS:
-                part = texts[start : i + 1]
-                own = keys.slice(start, i + 1 - start)
+            if i + 1 == batch.num_rows or len(part) >= BLOCK_DOCS or size >= BLOCK_CHARS:
+                own = keys.slice(start, len(part))
                 h = hashlib.sha256(repr(own.to_pylist()).encode())
                 for t in part:
                     h.update(b"\0" if t is None else t.encode() + b"\1")
                 yield h.hexdigest()[:24], own, part
-                start, size = i + 1, 0
+                start, size, part = i + 1, 0, []
+
+
+@lru_cache(maxsize=1)
+def _compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+    return _compressor().compress(a.tobytes())
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
@@ -116,12 +120,15 @@ def _unpack(b: bytes, kind) -> np.ndarray:
 
 
 def word_rows(documents: DataFrame, path: str) -> DataFrame:
-    """``(block, place, word)``: the distinct words of each block, the most frequent first."""
+    """``(block, place, word)``: the distinct words of each block, in order of their first place."""
 
     def run(batches):
         split = _splitter(path)
         for name, _, texts in _blocks(batches):
-            words = _ranked(split, texts)[0]
+            words: dict[str, None] = {}
+            for x in texts:
+                words.update(dict.fromkeys(split.words(x)))
+            words = list(words)
             for at in range(0, len(words), 100_000):
                 part = words[at : at + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(at, at + len(part)), pa.int32()), pa.array(part, pa.string())], names=["block", "place", "word"])
@@ -129,25 +136,23 @@ def word_rows(documents: DataFrame, path: str) -> DataFrame:
     return documents.mapInArrow(run, "block string, place int, word string")
 
 
-def _ranked(split: Splitter, texts: list) -> tuple[list[str], list[list[str]]]:
-    each = [split.words(x) for x in texts]
-    count: dict[str, int] = {}
-    for ws in each:
-        for w in ws:
-            count[w] = count.get(w, 0) + 1
-    return sorted(count, key=lambda w: (-count[w], w)), each
-
-
 def document_rows(documents: DataFrame, path: str, key: str) -> DataFrame:
     """``(block, key, n, places)``: each document's words as places in its block's list, packed."""
 
     def run(batches):
         split = _splitter(path)
         for name, keys, texts in _blocks(batches):
-            words, each = _ranked(split, texts)
-            place = {w: i for i, w in enumerate(words)}
-            places = [_pack(np.fromiter(map(place.__getitem__, ws), np.uint32, len(ws)).view(np.uint8).reshape(-1, 4).T.copy()) for ws in each]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(texts)), keys, pa.array([len(ws) for ws in each], pa.int64()), pa.array(places, pa.binary())], names=["block", key, "n", "places"])
+            place: dict[str, int] = {}
+            sizes, places = [], []
+            for x in texts:
+                ws = split.words(x)
+                for w in dict.fromkeys(ws):
+                    if w not in place:
+                        place[w] = len(place)
+                sizes.append(len(ws))
+                # The four bytes of the numbers apart from each other: the high ones are mostly equal.
+                places.append(_pack(np.fromiter(map(place.__getitem__, ws), np.uint32, len(ws)).view(np.uint8).reshape(-1, 4).T.copy()))
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(texts)), keys, pa.array(sizes, pa.int64()), pa.array(places, pa.binary())], names=["block", key, "n", "places"])
 
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField(key, documents.schema[KEY].dataType), T.StructField("n", T.LongType()), T.StructField("places", T.BinaryType())])
     return documents.mapInArrow(run, schema)
@@ -210,8 +215,7 @@ def encode_decode(documents: DataFrame, path: str, key: str = "doc_id", text: st
         if rows.empty:
             raise RuntimeError("a block's words came without its documents: the input changed between two readings")
         table = _pieces(shared)
-        starts, ends, flat, at = {}, {}, [], 0
-        place, begin, size = [], [], []
+        place, begin, size, flat, at = [], [], [], [], 0
         for p, k, v in zip(parts["places"], parts["lengths"], parts["ids"], strict=True):
             p, k, v = _unpack(p, np.uint32), _unpack(k, np.uint32), _unpack(v, np.uint32)
             place.append(p)
@@ -219,7 +223,6 @@ def encode_decode(documents: DataFrame, path: str, key: str = "doc_id", text: st
             begin.append(at + np.cumsum(k) - k)
             flat.append(v)
             at += len(v)
-        del starts, ends
         if place:
             order = np.argsort(np.concatenate(place), kind="stable")
             begin, size, flat = np.concatenate(begin)[order], np.concatenate(size)[order].astype(np.int64), np.concatenate(flat)
