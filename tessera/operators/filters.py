@@ -44,25 +44,30 @@ def shell_syntax(token: Column) -> Column:
     """Prompts, operators, flags, assignments and paths."""
     t = F.btrim(token, F.lit(P.SHELL_STRIP))
     count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
-    shaped = t.isin(*P.SHELL_LITERALS) | t.rlike(P.LONG_FLAG_VALUE) | t.rlike(P.SHORT_FLAG) | t.rlike(P.ASSIGNMENT_WORD) | t.rlike(P.WINDOWS_PATH) | t.rlike(r"^(?:\./|\.\./|~/)")
-    return (t != "") & (shaped | (count("/") >= 2) | (count("\\") >= 2))
+    flag = t.startswith("-") & (t.rlike(P.LONG_FLAG_VALUE) | t.rlike(P.SHORT_FLAG))
+    path = (t.contains("\\") | t.contains("/")) & (t.rlike(P.WINDOWS_PATH) | t.rlike(r"^(?:\./|\.\./|~/)") | (count("/") >= 2) | (count("\\") >= 2))
+    # A word of plain letters, the usual case, is told by one pattern.
+    return (t != "") & ~t.rlike(r"^\p{L}+$") & (t.isin(*P.SHELL_LITERALS) | flag | (t.contains("=") & t.rlike(P.ASSIGNMENT_WORD)) | path)
 
 
-def command_evidence(text: Column) -> Column:
-    """Shell-like tokens, and one more if the first word is a command."""
-    tokens = X.words(text)
+def _led(tokens: Column) -> Column:
+    """Whether the first word is a command."""
     first = F.lower(F.btrim(F.coalesce(F.try_element_at(tokens, F.lit(1)), F.lit("")), F.lit(P.SHELL_STRIP)))
-    return F.size(F.filter(tokens, shell_syntax)) + first.isin(*P.COMMAND_STARTERS).cast("int")
+    return first.isin(*P.COMMAND_STARTERS)
 
 
-def command_path_dominated(text: Column) -> Column:
-    tokens = X.words(text)
-    first = F.lower(F.btrim(F.coalesce(F.try_element_at(tokens, F.lit(1)), F.lit("")), F.lit(P.SHELL_STRIP)))
-    evidence = command_evidence(text)
+def command_evidence(text: Column, tokens: Column | None = None) -> Column:
+    """Shell-like tokens, and one more if the first word is a command."""
+    tokens = X.words(text) if tokens is None else tokens
+    return F.size(F.filter(tokens, shell_syntax)) + _led(tokens).cast("int")
+
+
+def command_path_dominated(text: Column, tokens: Column | None = None, evidence: Column | None = None) -> Column:
+    tokens = X.words(text) if tokens is None else tokens
+    evidence = command_evidence(text, tokens) if evidence is None else evidence
     share = F.coalesce(F.try_divide(evidence, F.size(tokens)), F.lit(0.0))
     prompt = F.ltrim(text).rlike(r"^(?:\$ |>>> |PS> )")
-    led = first.isin(*P.COMMAND_STARTERS)
-    return (F.size(tokens) > 0) & (prompt | ((evidence >= 2) & ((share >= 0.5) | (led & ~_ends(text) & (share >= 0.35)))))
+    return (F.size(tokens) > 0) & (prompt | ((evidence >= 2) & ((share >= 0.5) | (_led(tokens) & ~_ends(text) & (share >= 0.35)))))
 
 
 def heading_fragment(text: Column) -> Column:
@@ -84,16 +89,23 @@ def low_alphabetic_content(text: Column) -> Column:
 FLAGS = {name: globals()[name] for name in P.STRICT_REASONS}
 
 
-def reasons(text: Column) -> Column:
-    """The codes that hold, in their order."""
-    return F.filter(F.array(*(F.when(test(text), code) for code, test in FLAGS.items())), lambda r: r.isNotNull())
+def reasons(text: Column, known: dict[str, Column] | None = None) -> Column:
+    """The codes that hold, in their order; ``known``: flags that the caller has as columns already."""
+    flags = {code: (known or {}).get(code, None) for code in FLAGS}
+    flags = {code: FLAGS[code](text) if flag is None else flag for code, flag in flags.items()}
+    return F.array_compact(F.array(*(F.when(flag, code) for code, flag in flags.items())))
 
 
 def strict(sentences: DataFrame, text: str = "sent_text") -> DataFrame:
-    """All rows with ``reason_codes``, ``keep`` (no reason), token count, alphabetic ratio and command evidence."""
+    """All rows with ``reason_codes``, ``keep`` (no reason), token count, alphabetic ratio and command evidence.
+
+    Words and ratio are columns before the flags are, so that each is made once a row.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = sentences.withColumns({"reason_codes": reasons(t), "token_count": X.token_count(t), "alpha_ratio": X.alpha_ratio(t), "evidence": command_evidence(t).cast("long")})
-    return rows.withColumn("keep", F.size("reason_codes") == 0)
+    rows = sentences.withColumns({"__w": X.words(t), "alpha_ratio": X.alpha_ratio(t)})
+    rows = rows.withColumns({"token_count": F.size("__w").cast("long"), "evidence": command_evidence(t, F.col("__w")).cast("long")})
+    known = {"command_path_dominated": command_path_dominated(t, F.col("__w"), F.col("evidence")), "very_short_fragment": F.col("token_count") < 5, "low_alphabetic_content": F.col("alpha_ratio") < 0.6}
+    return rows.withColumn("reason_codes", reasons(t, known)).withColumn("keep", F.size("reason_codes") == 0).drop("__w")
 
 
 def annotatable(text: Column, least: int = 8, most: int = 40, terminal: bool = False, no_bullets: bool = False, no_code_tags: bool = False) -> Column:

@@ -66,15 +66,15 @@ def divergence(rows: DataFrame, score: str, proxy: str, key: str, by: list[str],
     """
     # Four samples are taken from one ranking, so it is written once.
     base = written(rows.select(*by, key, score, proxy), "divergence")
-    d = written(edges(edges(base, proxy, key, by, "p"), score, key, by, "s"), "ranked")
+    d = written(edges(edges(base, proxy, key, by, "proxy_edge"), score, key, by, "score_edge"), "ranked")
     total = d.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
     d = d.join(F.broadcast(total), by)
-    middle = d.where(F.col("s_position") - 1 == F.floor(F.col("total") / 2)).select(*by, F.col(score).alias("mid"))
+    middle = d.where(F.col("score_edge_position") - 1 == F.floor(F.col("total") / 2)).select(*by, F.col(score).alias("mid"))
     parts = [
-        (d.where("s = 'high' and p = 'low'"), "high_score_low_proxy", [F.desc(score), F.col(key)]),
-        (d.where("s = 'low' and p = 'high'"), "low_score_high_proxy", [F.asc(score), F.col(key)]),
-        (d.where(F.col("s_position") <= k), "lowest", [F.asc("s_position")]),
-        (d.join(F.broadcast(middle), by).where(F.abs(F.col("s_position") - 1 - F.floor(F.col("total") / 2)) <= 2 * k), "mid_range", [F.abs(F.col(score) - F.col("mid")), F.col(key)]),
+        (d.where("score_edge = 'high' and proxy_edge = 'low'"), "high_score_low_proxy", [F.desc(score), F.col(key)]),
+        (d.where("score_edge = 'low' and proxy_edge = 'high'"), "low_score_high_proxy", [F.asc(score), F.col(key)]),
+        (d.where(F.col("score_edge_position") <= k), "lowest", [F.asc("score_edge_position")]),
+        (d.join(F.broadcast(middle), by).where(F.abs(F.col("score_edge_position") - 1 - F.floor(F.col("total") / 2)) <= 2 * k), "mid_range", [F.abs(F.col(score) - F.col("mid")), F.col(key)]),
     ]
     out = None
     for frame, name, order in parts:
@@ -90,11 +90,11 @@ def spot_check(rows: DataFrame, score: str, key: str, text: str, by: list[str],
     first reduced to the first by (score, key), which is what keeps a text unique in order.
     """
     unique = keep_first(rows.select(*by, score, key, text).withColumn("__u", F.concat_ws("\x00", *by, text)), "__u", [score, key]).drop("__u")
-    d = edges(unique, score, key, by, "s")
+    d = edges(unique, score, key, by, "score_edge")
     total = d.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
     d = d.join(F.broadcast(total), by)
     low_n, high_n = edge // 2, edge - edge // 2
-    at = F.col("s_position")
+    at = F.col("score_edge_position")
     ends = d.withColumn("bucket", F.when(at <= low_n, "low").when(at > F.col("total") - high_n, "high"))
     mid = d.where(at - 1 == F.floor(F.col("total") / 2)).select(*by, F.col(score).alias("mid"))
     rest = ends.where("bucket is null").join(F.broadcast(mid), by)
@@ -104,10 +104,10 @@ def spot_check(rows: DataFrame, score: str, key: str, text: str, by: list[str],
 
 def edit_template(rows: DataFrame, score: str, key: str, by: list[str], each: int, seed: str, kinds: tuple[str, ...]) -> DataFrame:
     """``by..., pool, key, edit_type``: seeded picks from the bottom tenth, the top tenth and the rows nearest to the median, directions in turn."""
-    d = edges(rows, score, key, by, "s", share=10)
+    d = edges(rows, score, key, by, "score_edge", share=10)
     total = d.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
     d = d.join(F.broadcast(total), by).withColumn("__tenth", F.greatest(F.lit(1), F.floor(F.col("total") / 10)))
-    pool = F.when(F.col("s") != "mid", F.col("s")).when(F.abs(F.col("s_position") - 1 - F.floor(F.col("total") / 2)) * 2 <= F.col("__tenth"), "median")
+    pool = F.when(F.col("score_edge") != "mid", F.col("score_edge")).when(F.abs(F.col("score_edge_position") - 1 - F.floor(F.col("total") / 2)) * 2 <= F.col("__tenth"), "median")
     d = d.withColumn("pool", pool).where("pool is not null").withColumn("__h", F.sha2(F.concat_ws(":", F.lit(seed), F.col(key)), 256))
     picked = top(d, each, [F.col("__h"), F.col(key)], [*by, "pool"])
     names = F.array(*map(F.lit, kinds))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import percentile, ratio
+from ..sources.sinks import written
 from .order import cumulative, quantiles
 
 NINE = {"p01": 0.01, "p05": 0.05, "p10": 0.1, "q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -14,6 +15,7 @@ NINE = {"p01": 0.01, "p05": 0.05, "p10": 0.1, "q1": 0.25, "median": 0.5, "q3": 0
 def score_stats(scores: DataFrame, value: str = "score", by: tuple[str, ...] = ("corpus_id",)) -> DataFrame:
     """Count, mean, median, population std, min, max, quartiles and their range."""
     by = list(by)
+    scores = written(scores.select(*by, value), "scores")  # two narrow columns, read three times
     flat = scores.groupBy(*by).agg(F.count(value).alias("score_count"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
     q = quantiles(scores, value, by, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     return flat.join(q, by).withColumn("iqr", F.col("q3") - F.col("q1"))
@@ -22,6 +24,7 @@ def score_stats(scores: DataFrame, value: str = "score", by: tuple[str, ...] = (
 def score_summary(scores: DataFrame, value: str = "score", by: tuple[str, ...] = ("corpus_id",)) -> DataFrame:
     """The same with nine quantiles and the number of documents."""
     by = list(by)
+    scores = written(scores.select(*by, "doc_path", value), "scores")
     flat = scores.groupBy(*by).agg(F.count(value).alias("n"), F.countDistinct("doc_path").alias("documents"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
     return flat.join(quantiles(scores, value, by, NINE), by).withColumn("iqr", F.col("q3") - F.col("q1"))
 
@@ -46,6 +49,7 @@ def histogram(scores: DataFrame, value: str, by: tuple[str, ...], low: float = 0
 def distribution(scores: DataFrame, value: str, by: tuple[str, ...], low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Spans, occupied and effective range, exact distinct count, tie rate, the mode (smallest on ties) and its share."""
     by = list(by)
+    scores = written(scores.select(*by, value), "scores")
     counts = cumulative(scores, value, by)
     ties = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("distinct_values"), F.max("cum_total").alias("rows"), F.min(F.struct((-F.col("cum_n")).alias("m"), F.col(value).alias("v"))).alias("top"), F.min(value).alias("low"), F.max(value).alias("high"))
     q = quantiles(scores, value, by, {"p05": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95})

@@ -277,6 +277,7 @@ SIZED = {"lengths": f"SELECT *, CAST(len({sql_words('sent_text')}) AS BIGINT) AS
 
 def _proxied(v):
     s = v.scores().select("corpus_id", "sent_id", "sent_text", "percent", "score", "score2", X.token_count(F.col("sent_text")).alias("n"))
+    s = written(s.drop("sent_text"), "proxies")
     return selection.proxy_index(s, ["percent", "n", "score2"], BY).withColumn("proxy_index", q6(F.col("proxy_index")))
 
 

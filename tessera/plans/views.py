@@ -22,6 +22,12 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt over all cores if the source has fewer splits than the cluster has cores; a large source stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Views:
     """Tables of one scale directory; each is read with the columns a query asks for and nothing is cached."""
 
@@ -33,7 +39,7 @@ class Views:
 
     def docs(self) -> DataFrame:
         d = self.table("documents").where("text is not null and lang is not null")
-        return d.select(F.col("lang").alias("corpus_id"), F.col("doc_id").cast("string").alias("doc_path"), F.col("text").alias("content"))
+        return spread(d.select(F.col("lang").alias("corpus_id"), F.col("doc_id").cast("string").alias("doc_path"), F.col("text").alias("content")))
 
     def sentences(self) -> DataFrame:
         return sentences.sentence_table(self.docs())
