@@ -14,8 +14,8 @@ from tessera.llm import bpe, decontaminate, langid, pii, simhash
 from tessera.llm.common import written
 from tessera.llm.queries import held_out, table, vocabulary
 
-#: A text whose best language scores less than this is in none that was learned.
-LEAST_SCORE = 0.35
+#: A text whose best language scores less than this is in none that was learned; mixed and very short texts score more.
+LEAST_SCORE = 0.25
 
 
 def _whole(docs: DataFrame) -> DataFrame:

@@ -20,15 +20,15 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     The key numbers the records; ``per_archive`` consecutive numbers share an archive file, in which a
     record's offset is the length of those before it. Null url or html counts as empty but hashes
     unlike it; rows with a null key have no place and raise no error: they are left out. Rows
-    that repeat a key are one slot: its digest covers all of them in order of content.
+    that repeat a key are one slot: its digest covers all of them, whatever their order.
     """
     k = F.col(f"`{key}`")
     body = F.concat(F.lit("url "), F.coalesce(F.concat(F.lit("="), F.col(f"`{url}`")), F.lit("-")), F.lit("\n"), F.coalesce(F.concat(F.lit("="), F.col(f"`{html}`")), F.lit("-")))
     rows = pages.where(k.isNotNull()).select(F.floor(k / per_archive).cast("long").alias("archive"), F.pmod(k, F.lit(per_archive)).cast("int").alias("slot"), F.sha2(body, 256).alias("sha256"), F.octet_length(body).cast("long").alias("length"))
-    # Copies of a row are counted first, so that a slot gathers no more than its different contents.
-    slots = rows.groupBy("archive", "slot", "sha256", "length").agg(F.count(F.lit(1)).alias("n")).groupBy("archive", "slot")
-    one = slots.agg(F.sum(F.col("n") * F.col("length")).alias("length"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("sha256", "n"))).alias("each"))
-    one = one.select("archive", "slot", "length", F.when(F.col("n") == 1, F.col("each")[0]["sha256"]).otherwise(F.sha2(F.array_join(F.transform("each", lambda e: F.concat(e["sha256"], F.lit("*"), e["n"].cast("string"))), ","), 256)).alias("sha256"))
+    # Rows of one slot are summed, not listed: the digest of several is that of the sums of their hashes' parts.
+    sums = [F.sum(F.conv(F.substring("sha256", 1 + 13 * i, 13), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(5)]
+    one = rows.groupBy("archive", "slot").agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("n"), F.min("sha256").alias("least"), *sums)
+    one = one.select("archive", "slot", "length", F.when(F.col("n") == 1, F.col("least")).otherwise(F.sha2(F.concat_ws(",", "n", *(f"s{i}" for i in range(5))), 256)).alias("sha256"))
     before = Window.partitionBy("archive").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # at most per_archive rows
     return one.select("archive", "slot", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "sha256")
 

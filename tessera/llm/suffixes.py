@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import KEY, TEXT, keyed, rows_of, written
@@ -168,8 +168,7 @@ def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
     found = written(sorted_rows.mapInArrow(neighbours, schema), "neighbours")
     # The first and last suffix of each task meet their neighbours of the next one: two rows a task.
     edges = found.where("start is null").select(*order, "left").repartition(1).sortWithinPartitions(*order).mapInArrow(lambda b: (x for t in b if t.num_rows for x in _compare(pa.Table.from_batches([t]), k, least, reach)), schema)
-    spans = found.where("start is not null").union(edges).groupBy("digest").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
-    spans = spans.select("digest", _merged("found").alias("spans"))
+    spans = _merged(found.where("start is not null").union(edges))
     size = _word_count(F.col(TEXT))
     own = written(docs.where(F.col(TEXT).isNotNull()).select(F.col(KEY).alias("k"), digest.alias("digest"), size.alias("n_words")).where(F.col("n_words") >= least), "sizes")
     copies = own.groupBy("digest").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.max("n_words").alias("w")).where("low <> high").select("digest", F.array(F.array(F.lit(0), F.col("w").cast("int"))).alias("whole"))
@@ -183,16 +182,13 @@ def _word_count(text):
     return F.regexp_count(text, F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")).cast("long")
 
 
-def _merged(column: str):
-    """Ranges [start, stop) sorted and joined where they meet."""
-    asc = F.transform(F.array_sort(column), lambda s: F.array(s["start"], s["stop"]))
-
-    def add(acc, x):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(last[0], F.greatest(last[1], x[1]))))
-        return F.when((F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1))[1], F.lit(-1)) >= x[0]), joined).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(asc, F.array().cast("array<array<int>>"), add)
+def _merged(found: DataFrame) -> DataFrame:
+    """``digest, spans``: ranges [start, stop) of each text sorted and joined where they meet; a window over one text's ranges."""
+    order = Window.partitionBy("digest").orderBy("start", "stop")
+    rows = found.select("digest", "start", "stop").withColumn("reach", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("part", F.count_if(F.coalesce(F.col("start") > F.col("reach"), F.lit(True))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = rows.groupBy("digest", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return parts.groupBy("digest").agg(F.array_sort(F.collect_list(F.array("start", "stop"))).alias("spans"))
 
 
 def _edge(batch: pa.RecordBatch) -> pa.RecordBatch:

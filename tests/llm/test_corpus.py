@@ -111,6 +111,7 @@ def test_decontamination(spark):
     for i, t in enumerate(texts):
         r = got[i]
         assert (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) == plain_scan(t, items)
+        assert r["n_words"] == len(plain_words(t))
         assert sum(len(plain_words((t or "")[a:b])) for a, b in r["spans"]) == r["n_hit"]
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(docs(spark, texts), bench.limit(0)).collect())
     with pytest.raises(ValueError, match="parts"):
@@ -361,6 +362,9 @@ def test_fixity_audit(spark):
     got = {(r["archive"], r["slot"]): r["status"] for r in merkle.audit(a, b).collect()}
     assert got == {(0, 3): "corrupt", (0, 17): "corrupt", (0, 255): "corrupt", (0, 40): "missing", (0, 301): "extra", (1, 904): "missing"}
     assert merkle.audit(a, a).count() == 0
+    twice = merkle.records(primary.union(primary.where("page_id < 9")))
+    assert merkle.audit(twice, merkle.records(primary.where("page_id < 9").union(primary))).count() == 0
+    assert merkle.audit(a, twice).where("status = 'corrupt'").count() >= 9
     assert merkle.audit(a, merkle.records(primary.limit(0))).count() == len(rows)
     offsets = sorted((r["offset"], r["length"]) for r in a.where("archive = 0").collect())
     assert all(o + n == p for (o, n), (p, _) in zip(offsets, offsets[1:], strict=False))
