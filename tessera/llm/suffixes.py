@@ -198,9 +198,11 @@ def _edge(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _tail(d: pa.Table) -> pa.Table:
     """The last suffix and those before it of the same k-gram and text."""
-    gram, doc = d["gram"].to_numpy(), np.array(d["digest"].to_pylist(), object)
-    differ = np.nonzero((gram != gram[-1]) | (doc != doc[-1]))[0]
-    return d.slice(differ[-1] + 1 if len(differ) else 0)
+    # Digests are compared as Python values: as array elements they would lose trailing zero bytes.
+    grams, texts, at = d["gram"].to_pylist(), d["digest"].to_pylist(), d.num_rows - 1
+    while at > 0 and grams[at - 1] == grams[-1] and texts[at - 1] == texts[-1]:
+        at -= 1
+    return d.slice(at)
 
 
 def _compare(d: pa.Table, k: int, least: int, reach: int) -> Iterator[pa.RecordBatch]:

@@ -350,6 +350,14 @@ def test_repeated_passages(spark):
     assert suffixes.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_tail_of_a_batch_with_zero_bytes():
+    import pyarrow as pa
+
+    ends = lambda grams, texts: suffixes._tail(pa.table({"gram": pa.array(grams, pa.int64()), "digest": pa.array(texts, pa.binary())})).num_rows
+    zero = b"x" * 15 + b"\0"
+    assert [ends([1, 2, 2], [zero] * 3), ends([1], [zero]), ends([2, 2, 2], [b"y" * 16, zero, zero]), ends([5, 5], [b"a" * 16, zero])] == [2, 1, 2, 1]
+
+
 # --- fixity --------------------------------------------------------------------------------------
 
 
