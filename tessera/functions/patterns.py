@@ -66,6 +66,14 @@ MARKER_TAIL = ".,;:)\"]'"
 # Gate thresholds by edit direction (least and most token ratio, least content recall).
 GATE_LIMITS = {"add_specific": (0.65, 2.0, 0.55), "de_specify": (0.4, 1.1, 0.35), "irrelevant_rewrite": (0.75, 1.35, 0.6)}
 EDIT_TYPES = ("add_specific", "de_specify", "irrelevant_rewrite")
-POLARITY = ("no", "not", "never", "without", "none")
+POLARITY = (
+    "no", "not", "never", "none", "neither", "nor", "without", "cannot", "can't", "won't", "don't", "doesn't", "isn't", "aren't",
+    "wasn't", "weren't",
+)
 MODALS = ("can", "could", "may", "might", "must", "shall", "should", "will", "would")
-STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "not", "you", "your")
+STOP_WORDS = tuple(
+    "a an and are as at be been being but by for from had has have he her hers him his i if in into is it its me my no nor not of on or "
+    "our ours she so than that the their theirs them they this those to too us was we were what when where which who why will with you your yours".split()
+)
+META_PREFIXES = ("edited sentence:", "rewrite:", "here is", "sure,")
+WORD = r"[\p{L}\p{N}_]+(?:[-./:][\p{L}\p{N}_]+)*"

@@ -109,8 +109,8 @@ def slug(title: Column, most: int = 160) -> Column:
 
 
 def edit_words(text: Column) -> Column:
-    """Lower-case word tokens of the edit gates: letters and digits with inner apostrophes or hyphens."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:['-][\p{L}\p{N}]+)*"), F.lit(0))
+    """Lower-case word tokens of the edit gates: letters, digits and underscores with inner - . / or :."""
+    return F.regexp_extract_all(F.lower(text), F.lit(P.WORD), F.lit(0))
 
 
 def content_words(text: Column) -> Column:

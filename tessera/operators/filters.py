@@ -121,10 +121,15 @@ def annotatable(text: Column, least: int = 8, most: int = 40, terminal: bool = F
 
 
 def integrity_reasons(original: Column, candidate: Column) -> Column:
-    """Why a candidate is no usable edit: lines, length, no change, several sentences, new scripts."""
+    """Why a candidate is no usable edit: lines, length, no change, several sentences, new scripts, a preface."""
     s = X.strip(candidate)
     plain = lambda t: F.lower(F.array_join(X.words(t), " "))
+    lead = F.lower(s)
+    meta = F.lit(False)
+    for prefix in P.META_PREFIXES:
+        meta = meta | lead.startswith(prefix)
     tests = {
+        "meta_prefix": meta,
         "multiple_sentences": F.regexp_count(s, F.lit(r"[.!?] +[A-Z]")) > 1,
         "new_non_latin_script": ~original.rlike(r"[\p{L}&&[^\x00-\x7f]]") & s.rlike(r"[\p{L}&&[^\x00-\x7f]]"),
         "not_one_nonempty_line": (s == "") | s.rlike(r"[\n\r\t]"),

@@ -163,7 +163,7 @@ def _(v):
 
 
 def _edit_words(t: str) -> str:
-    return rf"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}]+(?:[''-][\p{{L}}\p{{N}}]+)*')"
+    return f"regexp_extract_all(lower({t}), {lit(P.WORD)})"
 
 
 def _content(t: str) -> str:
@@ -358,6 +358,7 @@ def _plain(t: str) -> str:
 
 _NONLATIN = r"[^\x00-\x7f]"
 INTEGRITY = {
+    "meta_prefix": "(" + " OR ".join(f"starts_with(lower({sql_strip('edited')}), {lit(m)})" for m in P.META_PREFIXES) + ")",
     "multiple_sentences": rf"len(regexp_extract_all({sql_strip('edited')}, '[.!?] +[A-Z]')) > 1",
     "new_non_latin_script": rf"(NOT regexp_matches(regexp_replace(original, '[^\p{{L}}]', '', 'g'), '{_NONLATIN}') AND regexp_matches(regexp_replace(edited, '[^\p{{L}}]', '', 'g'), '{_NONLATIN}'))",
     "not_one_nonempty_line": rf"({sql_strip('edited')} = '' OR regexp_matches({sql_strip('edited')}, '[\n\r\t]'))",
