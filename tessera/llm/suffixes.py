@@ -4,7 +4,9 @@ Of all suffixes only those that start at a minimiser are kept: the least hash am
 consecutive k-grams of words. Any passage of ``k + window - 1`` words has one, and equal passages have
 the same. Suffixes are grouped by their first k-gram; where it occurs in different texts they are
 sorted by what follows, and neighbours are extended word by word to the right and to the left. Within a
-group they are also taken in the order of what stands before. Passages of ``least`` words or more count.
+group they are also taken in the order of what stands before. Where that leaves a suffix with less than its
+whole reach, its group is sorted once for each place the suffix can have in a passage, which finds the
+partners that are neighbours in neither order. Passages of ``least`` words or more count.
 """
 
 from __future__ import annotations
@@ -68,11 +70,9 @@ def common_run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
-def _extend(key, right, left, doc, pos, order, k, least) -> list[tuple]:
-    """Spans from each suffix and the nearest one before it, in this order, that another text holds."""
-    if len(order) < 2:
-        return []
-    whole, key, doc = doc, key[order], doc[order]
+def _extend(key, right, left, doc, order, k, least) -> Iterator[tuple]:
+    """Suffixes with what they share, before and after the k-gram, with the nearest one before and behind in this order that another text holds."""
+    key, doc = key[order], doc[order]
     fresh = np.ones(len(order), bool)
     fresh[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
     runs = np.nonzero(fresh)[0]
@@ -80,18 +80,30 @@ def _extend(key, right, left, doc, pos, order, k, least) -> list[tuple]:
     before = np.where(run > 0, runs[run] - 1, -1)  # last of the run before
     ends = np.append(runs[1:], len(order))
     after = np.where(ends[run] < len(order), ends[run], -1)  # first of the run behind
-    out = []
     for other in (before, after):
         i = np.nonzero(other >= 0)[0]
         j = other[i]
         same = key[i] == key[j]
-        i, j = i[same], j[same]
-        a, b = order[i], order[j]
+        a, b = order[i[same]], order[j[same]]
         r, l = common_run(right[a], right[b]), common_run(left[a], left[b])  # noqa: E741
         ok = r + l + k >= least
-        a, b, r, l = a[ok], b[ok], r[ok], l[ok]  # noqa: E741
-        out += [(whole[side], pos[side] - l, pos[side] + k + r) for side in (a, b)]
-    return out
+        for side in (a, b):
+            yield side[ok], l[ok], r[ok]
+
+
+def _windows(gram, right, left, k, least) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix and each number of words before it, a hash of the ``least`` words from there; and whether all of them are in the text."""
+    shifts = least - k + 1
+    ahead, behind = (np.zeros((shifts, len(gram)), np.uint64) for _ in range(2))
+    for side, out in ((right, ahead), (left, behind)):
+        for j in range(1, shifts):
+            out[j] = (out[j - 1] ^ (out[j - 1] >> np.uint64(29))) * _SEED + side[:, j - 1]
+    whole = [np.cumprod(side[:, : shifts - 1] != 0, axis=1).sum(axis=1) for side in (right, left)]
+    h = gram.astype(np.int64).view(np.uint64) + ahead[::-1] * _SEED
+    h = (h ^ (h >> np.uint64(31))) * _SEED + behind
+    h = (h ^ (h >> np.uint64(30))) * _SEED + np.arange(shifts, dtype=np.uint64)[:, None]
+    steps = np.arange(shifts)[:, None]
+    return (h ^ (h >> np.uint64(32))).view(np.int64), (steps <= whole[1]) & (shifts - 1 - steps <= whole[0])
 
 
 def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50, k: int = 16, window: int = 32) -> DataFrame:
@@ -147,28 +159,18 @@ def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
     order = ["gram", "right", "digest", "pos"]
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first = None, True
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            d = pa.Table.from_batches([batch])
-            if first:
-                first = False
-                yield _edge(batch.slice(0, 1))
-            if held is not None:
-                d = pa.concat_tables([held, d])
-            yield from _compare(d, k, least, reach)
-            held = _tail(d)
-        if held is not None:
-            yield _edge(held.slice(held.num_rows - 1, 1).combine_chunks().to_batches()[0])
-
-    schema = "digest binary, start int, stop int, gram long, right binary, left binary, pos int"
+            if batch.num_rows:
+                yield from _compare(batch, k, least, reach)
+
     # Sorted by more than the k-gram, so that a very frequent one is spread over tasks.
     sorted_rows = array.select(*order, "left").repartitionByRange(*order).sortWithinPartitions(*order)
-    found = written(sorted_rows.mapInArrow(neighbours, schema), "neighbours")
-    # The first and last suffix of each task meet their neighbours of the next one: two rows a task.
-    edges = found.where("start is null").select(*order, "left").repartition(1).sortWithinPartitions(*order).mapInArrow(lambda b: (x for t in b if t.num_rows for x in _compare(pa.Table.from_batches([t]), k, least, reach)), schema)
-    spans = _merged(found.where("start is not null").union(edges))
+    found = written(sorted_rows.mapInArrow(neighbours, "digest binary, start int, stop int, pos int, passage long"), "neighbours")
+    # Groups that a batch may hold in part: what is in one text of a batch and in another one elsewhere.
+    apart = found.where("passage is not null")
+    met = apart.groupBy("passage").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("passage")
+    late = apart.join(met, "passage", "left_semi").groupBy("digest", "pos").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    spans = _merged(found.where("passage is null").select("digest", "start", "stop").union(late.select("digest", "start", "stop")))
     size = _word_count(F.col(TEXT))
     own = written(docs.where(F.col(TEXT).isNotNull()).select(F.col(KEY).alias("k"), digest.alias("digest"), size.alias("n_words")).where(F.col("n_words") >= least), "sizes")
     copies = own.groupBy("digest").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.max("n_words").alias("w")).where("low <> high").select("digest", F.array(F.array(F.lit(0), F.col("w").cast("int"))).alias("whole"))
@@ -191,42 +193,52 @@ def _merged(found: DataFrame) -> DataFrame:
     return parts.groupBy("digest").agg(F.array_sort(F.collect_list(F.array("start", "stop"))).alias("spans"))
 
 
-def _edge(batch: pa.RecordBatch) -> pa.RecordBatch:
-    none = pa.array([None] * batch.num_rows, pa.int32())
-    return pa.RecordBatch.from_arrays([batch.column("digest"), none, none, batch.column("gram"), batch.column("right"), batch.column("left"), batch.column("pos")], names=["digest", "start", "stop", "gram", "right", "left", "pos"])
-
-
-def _tail(d: pa.Table) -> pa.Table:
-    """The last suffix and those before it of the same k-gram and text."""
+def _compare(batch: pa.RecordBatch, k: int, least: int, reach: int) -> Iterator[pa.RecordBatch]:
+    """Spans of the suffixes of one sorted batch; and, of its first and last k-gram, whose groups may go on outside, passages to be met elsewhere."""
+    gram, pos = batch.column("gram").to_numpy(), batch.column("pos").to_numpy().astype(np.int64)
     # Digests are compared as Python values: as array elements they would lose trailing zero bytes.
-    grams, texts, at = d["gram"].to_pylist(), d["digest"].to_pylist(), d.num_rows - 1
-    while at > 0 and grams[at - 1] == grams[-1] and texts[at - 1] == texts[-1]:
-        at -= 1
-    return d.slice(at)
-
-
-def _compare(d: pa.Table, k: int, least: int, reach: int) -> Iterator[pa.RecordBatch]:
-    gram, pos = d["gram"].to_numpy(), d["pos"].to_numpy()
-    texts = d["digest"].to_pylist()
+    texts = batch.column("digest").to_pylist()
     doc = pd.factorize(np.array(texts, object))[0]
-    wide = [np.frombuffer(b"".join(d[c].to_pylist()), ">u4").reshape(-1, reach).astype(np.uint32) for c in ("right", "left")]
-    onward = np.arange(len(gram))
+    left_bytes = batch.column("left").to_pylist()
+    right, left = (np.frombuffer(b"".join(c), ">u4").reshape(-1, reach).astype(np.uint32) for c in (batch.column("right").to_pylist(), left_bytes))
     # Backward order: by k-gram, then by the words before it, nearest first.
     text = np.empty(len(gram), object)
-    text[:] = d["left"].to_pylist()
-    ranks = pd.factorize(text, sort=True)[0]
-    backward = np.lexsort((pos, doc, ranks, gram))
-    spans = _extend(gram, *wide, doc, pos, onward, k, least) + _extend(gram, *wide, doc, pos, backward, k, least)
-    if not spans:
-        return
-    rows = np.unique(np.concatenate([np.stack([a.astype(np.int64), s, e], 1) for a, s, e in spans]), axis=0)
-    if len(rows):
-        none = pa.nulls(len(rows))
-        yield pa.RecordBatch.from_arrays([pa.array([texts[i] for i in _first(doc, rows[:, 0])], pa.binary()), pa.array(rows[:, 1], pa.int32()), pa.array(rows[:, 2], pa.int32()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), none.cast(pa.int32())], names=["digest", "start", "stop", "gram", "right", "left", "pos"])
-
-
-def _first(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """A row that has each wanted code."""
-    at = np.zeros(codes.max() + 1, np.int64)
-    at[codes] = np.arange(len(codes))
-    return at[wanted]
+    text[:] = left_bytes
+    backward = np.lexsort((pos, doc, pd.factorize(text, sort=True)[0], gram))
+    rows, settled = [], np.zeros(len(gram), bool)
+    for order in (np.arange(len(gram)), backward):
+        for i, l, r in _extend(gram, right, left, doc, order, k, least):  # noqa: E741
+            rows.append((i, pos[i] - l, pos[i] + k + r))
+            settled[i[(l == reach) & (r == reach)]] = True
+    edge = (gram == gram[0]) | (gram == gram[-1])
+    at = np.nonzero(edge | np.isin(gram, gram[~settled]))[0]
+    h, inside = _windows(gram[at], right[at], left[at], k, least)
+    shift, i = np.nonzero(inside)
+    h, i, start = h[shift, i], at[i], pos[at[i]] - shift
+    order = np.lexsort((doc[i], h))
+    h, i, start = h[order], i[order], start[order]
+    change = h[1:] != h[:-1]
+    first, last = np.flatnonzero(np.r_[len(h) > 0, change]), np.flatnonzero(np.r_[change, len(h) > 0])
+    met = doc[i[first]] != doc[i[last]]
+    common = np.repeat(met, last - first + 1)
+    rows.append((i[common], start[common], start[common] + least))
+    sides = np.stack([np.concatenate(part).astype(np.int64) for part in zip(*rows, strict=True)], 1)
+    if len(sides):
+        # All spans of a suffix hold its k-gram, so that they are one.
+        who, back = np.unique(sides[:, 0], return_inverse=True)
+        low, high = np.full(len(who), np.iinfo(np.int64).max), np.zeros(len(who), np.int64)
+        np.minimum.at(low, back, sides[:, 1])
+        np.maximum.at(high, back, sides[:, 2])
+        yield _found([texts[x] for x in who], low, high, pos[who], None)
+    # Of a passage that several texts of the batch share, two of them tell the others of it.
+    tells = ~common
+    tells[first[met]] = tells[last[met]] = True
+    tells &= edge[i]
+    if tells.any():
+        yield _found([texts[x] for x in i[tells]], start[tells], start[tells] + least, pos[i[tells]], h[tells])
+
+
+def _found(digests: list, start: np.ndarray, stop: np.ndarray, pos: np.ndarray, passage: np.ndarray | None) -> pa.RecordBatch:
+    ints = [pa.array(x, pa.int32()) for x in (start, stop, pos)]
+    last = pa.nulls(len(digests), pa.int64()) if passage is None else pa.array(passage, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *ints, last], names=["digest", "start", "stop", "pos", "passage"])

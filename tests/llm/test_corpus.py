@@ -350,12 +350,36 @@ def test_repeated_passages(spark):
     assert suffixes.repeated_passages(df.limit(0)).count() == 0
 
 
-def test_tail_of_a_batch_with_zero_bytes():
+def test_passages_of_partners_that_are_neighbours_in_no_order(spark):
+    """Many texts hold one line; pairs of them also hold words on one or both sides of it, in all proportions."""
+    line = prose(70, 17).split()
+    texts = []
+    for s in range(0, 36):
+        before, after = prose(1000 + s, 34).split(), prose(2000 + s, 34).split()
+        shared = before[34 - s :] + line + after[: 33 - s if s < 34 else 0]
+        for n in range(2):
+            # Others follow or precede the line with the same nearest words, so that they stand between the two.
+            texts.append(" ".join(prose(3000 + 2 * s + n, 20).split() + shared + prose(4000 + 2 * s + n, 20).split()))
+        for n in range(4):
+            texts.append(" ".join(prose(5000 + 4 * s + n, 30).split() + before[34 - (s * n) // 4 :] + line + after[: (34 - s) * (3 - n) // 4] + prose(6000 + 4 * s + n, 30).split()))
+    want = plain_repeats(texts, 50)
+    df = docs(spark, texts)
+    for rows in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        got = rows_of(suffixes.repeated_passages(df))
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {i: [w for a, b in r["spans"] for w in range(a, b)] for i, r in got.items()} == want
+
+
+def test_batches_with_digests_that_end_in_zero_bytes():
     import pyarrow as pa
 
-    ends = lambda grams, texts: suffixes._tail(pa.table({"gram": pa.array(grams, pa.int64()), "digest": pa.array(texts, pa.binary())})).num_rows
-    zero = b"x" * 15 + b"\0"
-    assert [ends([1, 2, 2], [zero] * 3), ends([1], [zero]), ends([2, 2, 2], [b"y" * 16, zero, zero]), ends([5, 5], [b"a" * 16, zero])] == [2, 1, 2, 1]
+    reach, zero = 34, b"x" * 15 + b"\0"
+    side = lambda n: np.arange(1, reach + 1, dtype=">u4").tobytes() if n else bytes(4 * reach)
+    batch = pa.RecordBatch.from_pydict({"gram": [1, 1, 2], "right": [side(1)] * 3, "digest": [zero, b"y" * 16, zero], "pos": [40, 50, 60], "left": [side(1)] * 3})
+    got = [r for b in suffixes._compare(batch, 16, 50, reach) for r in b.to_pylist()]
+    assert sorted((r["digest"], r["start"], r["stop"]) for r in got if r["passage"] is None) == [(zero, 6, 90), (b"y" * 16, 16, 100)]
+    assert len([r for r in got if r["passage"] is not None and r["pos"] == 60]) == 35
 
 
 # --- fixity --------------------------------------------------------------------------------------
