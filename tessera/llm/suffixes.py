@@ -169,7 +169,7 @@ def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
     # Groups that a batch may hold in part: what is in one text of a batch and in another one elsewhere.
     apart = found.where("passage is not null")
     met = apart.groupBy("passage").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("passage")
-    late = apart.join(met, "passage", "left_semi").groupBy("digest", "pos").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    late = apart.where("start is not null").join(met, "passage", "left_semi").groupBy("digest", "pos").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     spans = _merged(found.where("passage is null").select("digest", "start", "stop").union(late.select("digest", "start", "stop")))
     size = _word_count(F.col(TEXT))
     own = written(docs.where(F.col(TEXT).isNotNull()).select(F.col(KEY).alias("k"), digest.alias("digest"), size.alias("n_words")).where(F.col("n_words") >= least), "sizes")
@@ -230,15 +230,17 @@ def _compare(batch: pa.RecordBatch, k: int, least: int, reach: int) -> Iterator[
         np.minimum.at(low, back, sides[:, 1])
         np.maximum.at(high, back, sides[:, 2])
         yield _found([texts[x] for x in who], low, high, pos[who], None)
-    # Of a passage that several texts of the batch share, two of them tell the others of it.
+    # Of a passage that several texts of the batch share, two of them tell the others of it. Rows without a
+    # start only tell: what their suffix shares is all known here.
     tells = ~common
     tells[first[met]] = tells[last[met]] = True
     tells &= edge[i]
     if tells.any():
-        yield _found([texts[x] for x in i[tells]], start[tells], start[tells] + least, pos[i[tells]], h[tells])
+        known = (common | settled[i])[tells]
+        yield _found([texts[x] for x in i[tells]], start[tells], start[tells] + least, pos[i[tells]], h[tells], known)
 
 
-def _found(digests: list, start: np.ndarray, stop: np.ndarray, pos: np.ndarray, passage: np.ndarray | None) -> pa.RecordBatch:
-    ints = [pa.array(x, pa.int32()) for x in (start, stop, pos)]
+def _found(digests: list, start: np.ndarray, stop: np.ndarray, pos: np.ndarray, passage: np.ndarray | None, known: np.ndarray | None = None) -> pa.RecordBatch:
+    ints = [pa.array(x, pa.int32(), mask=known) for x in (start, stop)]
     last = pa.nulls(len(digests), pa.int64()) if passage is None else pa.array(passage, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *ints, last], names=["digest", "start", "stop", "pos", "passage"])
+    return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *ints, pa.array(pos, pa.int32()), last], names=["digest", "start", "stop", "pos", "passage"])

@@ -351,17 +351,18 @@ def test_repeated_passages(spark):
 
 
 def test_passages_of_partners_that_are_neighbours_in_no_order(spark):
-    """Many texts hold one line; pairs of them also hold words on one or both sides of it, in all proportions."""
+    """Pairs share fifty words around a line; other texts share more of what follows it with one of them, or more of what stands before, but not both."""
     line = prose(70, 17).split()
     texts = []
-    for s in range(0, 36):
-        before, after = prose(1000 + s, 34).split(), prose(2000 + s, 34).split()
-        shared = before[34 - s :] + line + after[: 33 - s if s < 34 else 0]
+    for s in range(2, 32, 3):
+        before, after = prose(1000 + s, s).split(), prose(2000 + s, 33 - s).split()
         for n in range(2):
-            # Others follow or precede the line with the same nearest words, so that they stand between the two.
-            texts.append(" ".join(prose(3000 + 2 * s + n, 20).split() + shared + prose(4000 + 2 * s + n, 20).split()))
-        for n in range(4):
-            texts.append(" ".join(prose(5000 + 4 * s + n, 30).split() + before[34 - (s * n) // 4 :] + line + after[: (34 - s) * (3 - n) // 4] + prose(6000 + 4 * s + n, 30).split()))
+            first, last = prose(3000 + 2 * s + n, 20).split(), prose(4000 + 2 * s + n, 20).split()
+            texts.append(" ".join(first + before + line + after + last))
+            for d in range(6):
+                far = prose(5000 + 100 * s + 10 * n + d, 60).split()
+                texts.append(" ".join(far[:30] + line + after + last[:4] + far[30:]))
+                texts.append(" ".join(far[30:] + first[-4:] + before + line + far[:30]))
     want = plain_repeats(texts, 50)
     df = docs(spark, texts)
     for rows in ("10000", "7"):
