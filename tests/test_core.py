@@ -266,3 +266,55 @@ def test_the_rest_imports_without_the_corpus_operators():
 
     code = "import sys; sys.modules['tessera.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op1_') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_contracts(spark):
+    from tessera.operators import contracts
+
+    rows = [("a", "en", "x"), ("b", "en", " "), ("c", "en", None), (None, "en", "x"), (None, None, "y"), ("d", "de", "x\ny"), ("e", "de", "x"), ("e", "fr", "z")]
+    df = spark.createDataFrame(rows, "sent_id string, corpus_id string, text string")
+    got = sorted((r["sent_id"] or "", r["problem"] or "") for r in contracts.scorer_input(df).collect())
+    assert got == [("", "blank_key"), ("", "blank_key"), ("a", ""), ("b", "blank_text"), ("c", "blank_text"), ("d", "newline"), ("e", "duplicate"), ("e", "duplicate")]
+    assert contracts.scorer_input(df.limit(0)).count() == 0
+    with pytest.raises(checks.Violation):
+        contracts.scorer_input(df.withColumn("more", F.lit(1)))
+
+    pairs = spark.createDataFrame([(1, 1, "k", "a", None), (1, 2, "other", "a", "b")], "case_id long, slot long, edit_type string, original string, edited string")
+    assert [r["complete"] for r in contracts.edit_cases(pairs.limit(1), ("k",)).collect()] == [False]
+    with pytest.raises(Exception, match="unknown edit type other"):
+        contracts.edit_cases(pairs, ("k",)).collect()
+
+    one_ = spark.createDataFrame([(1, 0.5), (1, 0.5), (2, None)], "k long, v double")
+    assert contracts.replayed(one_, one_.repartition(3)).first()["same"] and contracts.replayed(one_.limit(0), one_.limit(0)).first()["rows"] == 0
+    assert not contracts.replayed(one_, one_.distinct()).first()["same"]
+    near = contracts.recomputed(one_.distinct(), spark.createDataFrame([(1, 0.5 + 1e-9), (2, 3.0)], "k long, v double"), ["k"], ["v"])
+    assert {r["k"]: r["within"] for r in near.collect()} == {1: True, 2: False}
+
+    digests = "k long, d string"
+    audit = contracts.return_audit(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None), (None, "n")], digests), spark.createDataFrame([(1, "a"), (2, "x"), (4, None), (4, None), (5, "e"), (None, "n")], digests), "k", "d")
+    assert {r["k"]: r["problem"] for r in audit.collect()} == {2: "changed", 3: "missing", 4: "repeated", 5: "unknown"}
+
+    held = spark.createDataFrame([("x", "0" * 64), (None, None)], "t string, h string")
+    assert contracts.rehash(held, "t", "h").count() == 2
+    step = contracts.lockstep(spark.createDataFrame([(1,), (2,), (None,)], "k long"), spark.createDataFrame([(2,), (3,)], "k long"), "k")
+    assert sorted((r["k"] or 0, r["side"]) for r in step.collect()) == [(0, "left"), (1, "left"), (2, "both"), (3, "right")]
+
+
+@pytest.mark.parametrize(("bound", "failed", "want"), [("y", [], "accepted"), ("y", ["short"], "waived"), ("y", ["short", "private"], "withheld"), ("n", [], "withheld"), (None, [], "withheld")])
+def test_disposition_of_rows(spark, bound, failed, want):
+    from tessera.operators import contracts
+
+    assert one(spark, contracts.disposition(F.col("b") == "y", F.col("f"), F.array(F.lit("short"))), b=bound, f=failed) == want
+
+
+def test_a_changed_log_is_found(spark):
+    from tessera.operators import contracts
+
+    log = contracts.chain_log(spark.createDataFrame([("u", 1, "a"), ("u", 2, "b"), ("u", 3, "c"), ("w", 1, None)], "u string, n long, s string"), ["u"], "n", "s")
+    assert contracts.tampered(log, ["u"], "n", "s").count() == 0
+    changed = log.withColumn("s", F.when((F.col("u") == "u") & (F.col("n") == 2), "x").otherwise(F.col("s")))
+    assert [(r["u"], r["n"]) for r in contracts.tampered(changed, ["u"], "n", "s").collect()] == [("u", 2)]
+    # A row taken out breaks the link of the row after it.
+    assert [(r["u"], r["n"]) for r in contracts.tampered(log.where("n <> 2 or u <> 'u'"), ["u"], "n", "s").collect()] == [("u", 3)]
+    done = contracts.completed(log, "u", "n", F.col("s"), ("c",))
+    assert {r["u"]: (r["ended"], r["complete"]) for r in done.collect()} == {"u": (True, True), "w": (False, False)}
