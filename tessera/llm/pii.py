@@ -20,7 +20,6 @@ from .common import keyed, map_texts
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
-_RUN = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -53,10 +52,6 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
-def _number_places(text: str) -> bool:
-    return _ANY_DIGIT.search(text) is not None
-
-
 _ANY_DIGIT = re.compile("[0-9]")
 
 
@@ -65,7 +60,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     out = {k: [] for k in KINDS}
     if "@" in text:
         out["email"] = _emails(text)
-    if _number_places(text):
+    if _ANY_DIGIT.search(text):
         out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
         out["card"] = [m.span() for m in _CARD.finditer(text) if 14 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
@@ -75,7 +70,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 # Letters of other scripts that look like Latin ones (source, then what they look like).
 _LOOKALIKE = dict(zip("аеорсухіјѕԁԛԝһАВЕКМНОРСТХУІЈЅαοινρτυκχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdqwhABEKMHOPCTXYIJSaoivptukxABEZHIKMNOPTYX", strict=True))
-_POINTS = dict(zip("＠﹫．。․＿－‐‑‒–＋", "@@...._----+"[:2] + "..." + "_" + "-----" + "+", strict=True))
+_POINTS = dict(zip("＠﹫．。․＿－‐‑‒–＋", "@@..._-----+", strict=True))
 _UNSEEN = "​‌‍⁠﻿­"
 # Digits as words in English, German, French and Spanish.
 _SPELLED = {
@@ -172,7 +167,6 @@ def _numbers(text: str) -> list[tuple[int, int, str]]:
             continue
         digits = "".join(str(_SPELLED[p[0].lower()]) if p[0].lower() in _SPELLED else p[0] for p in re.finditer(rf"{_WORD}|[0-9]", m[0], re.I) if p[0])
         plus = "+" if m[0][:1] == "+" or m[0][:4].lower() == "plus" else ""
-        digits = digits[:]
         if plus or not (14 <= len(digits) <= 19 and luhn(digits)):
             plus = "+" if 10 <= len(digits) <= 15 else plus
         out.append((*m.span(), plus + digits))
