@@ -90,7 +90,8 @@ _DOT_BRACKET = re.compile(r"[ \t]?[\[({<][ \t]?(?:dot|punkt|point|punto|\.)[ \t]
 _AT_WORDS = re.compile(r"(?<![\w.@])([A-Za-z0-9._%+-]+)([ \t]+(?:at|arroba)[ \t]+)(?!(?:the|an?|this|that|our|your|my|his|her|their)[ \t])([A-Za-z0-9-]+(?:(?:[ \t]+(?:dot|punto|punkt|point)[ \t]+|\.)[A-Za-z0-9-]+)*[ \t]+(?:dot|punto|punkt|point)[ \t]+[A-Za-z]{2,})(?!\w)", re.I)
 _DOT_WORDS = re.compile(r"[ \t]+(?:dot|punto|punkt|point)[ \t]+", re.I)
 _DOT_DIGITS = re.compile(r"(?<=[0-9])[ \t]+(?:dot|punto|punkt|point)[ \t]+(?=[0-9])", re.I)
-_HAS_DOT = re.compile(r"(?:dot|punto|punkt|point)[ \t\])}>]", re.I)
+#: What each of the patterns with a bare spelled "dot" needs.
+_HAS_DOT = re.compile(r"(?:dot|punto|punkt|point)[ \t]", re.I)
 _ODD = re.compile(f"[{''.join(_LOOKALIKE)}{re.escape(''.join(_POINTS))}{_UNSEEN}０-９٠-٩۰-۹०-९Ａ-Ｚａ-ｚ]")
 
 
@@ -177,8 +178,9 @@ def _signs(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "@" in text or _AT_BRACKET.search(text):
         out += [(*m.span(), "@") for m in _AT_BRACKET.finditer(text)]
+    out += [(*m.span(), ".") for m in _DOT_BRACKET.finditer(text)]
     if _HAS_DOT.search(text):
-        out += [(*m.span(), ".") for p in (_DOT_BRACKET, _DOT_DIGITS) for m in p.finditer(text)]
+        out += [(*m.span(), ".") for m in _DOT_DIGITS.finditer(text)]
         for m in _AT_WORDS.finditer(text):
             out.append((*m.span(2), "@"))
             out += [(*d.span(), ".") for d in _DOT_WORDS.finditer(text, *m.span(3))]

@@ -168,6 +168,15 @@ def test_base_spans_stay_and_disguises_are_added(spark):
     assert all(got[len(disguised) + i]["spans"] == [] for i in range(len(clean)))
 
 
+def test_bracketed_dots_need_no_spelled_dot_elsewhere():
+    for t in ("jane[at]example[.]com", "jane@example[.]com", "jane (at) example(.)co{.}uk", "10[.]0[.]0[.]1", "10 (.) 0 (.) 0 (.) 1"):
+        kind = "email" if "j" in t else "ip"
+        for text in (t, t + " a point in passing", "x " + t):
+            a = text.index(t)
+            assert pii.find(text)[1] == [(a, a + len(t), kind)], text
+            assert pii.redact(text, pii.find(text)[1]) == text.replace(t, f"<{kind}>")
+
+
 # --- secrets -------------------------------------------------------------------------------------
 
 
