@@ -83,7 +83,6 @@ _WORD = "|".join(sorted(_SPELLED, key=lambda w: (-len(w), w)))
 #: Eight or more digits, at least one of them spelled, one after another: shorter runs are ordinary counting.
 _SPELLED_RUN = re.compile(rf"(?:(?<!\w)plus[\s-]+|\+)?(?<!\w)(?:{_WORD}|[0-9])(?:[\s,.()-]{{0,3}}(?<!\w|[0-9])?(?:{_WORD}|[0-9])(?!\w(?<![0-9]))){{7,}}", re.I)
 _SPELLED_ONE = re.compile(rf"(?<!\w)(?:{_WORD})(?!\w)", re.I)
-_HAS_SPELLED = re.compile(rf"(?<!\w)(?:{_WORD})(?:[\s,.-]{{1,3}}(?:{_WORD}|[0-9]+)(?!\w)){{3,}}", re.I)
 _AT_BRACKET = re.compile(r"[ \t]?[\[({<][ \t]?(?:at|arroba|ät|@)[ \t]?[\])}>][ \t]?", re.I)
 _DOT_BRACKET = re.compile(r"[ \t]?[\[({<][ \t]?(?:dot|punkt|point|punto|\.)[ \t]?[\])}>][ \t]?", re.I)
 #: Without brackets "at" counts only in a whole address: name at host dot end.
@@ -161,8 +160,6 @@ def _letters(text: str) -> list[tuple[int, int, str]]:
 
 def _numbers(text: str) -> list[tuple[int, int, str]]:
     out = []
-    if not _HAS_SPELLED.search(text):
-        return out
     for m in _SPELLED_RUN.finditer(text):
         if not _SPELLED_ONE.search(m[0]):
             continue

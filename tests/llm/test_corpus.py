@@ -177,6 +177,21 @@ def test_bracketed_dots_need_no_spelled_dot_elsewhere():
             assert pii.redact(text, pii.find(text)[1]) == text.replace(t, f"<{kind}>")
 
 
+def test_numbers_with_few_spelled_digits():
+    words = "zero one two three four five six seven eight nine".split()
+    number = "14155552671"
+    for n in (1, 2, 3):
+        for at in (0, 4, len(number) - n):
+            spelled = " ".join(words[int(c)] for c in number[at : at + n])
+            t = " ".join(filter(None, (number[:at], spelled, number[at + n :])))
+            for text in (t, f"call {t} now", f"{t}; later one two three four five six"):
+                assert pii.find(text)[1] == [(text.index(t), text.index(t) + len(t), "phone")], text
+    for t in ("+1 415 555 2 three four five", "+1 four 155552671", "+1 (four) 155 (five) 52671"):
+        assert pii.find(t)[1] == [(0, len(t), "phone")], t
+    for t in ("one of 12345678 rows", "12 of one 3", "seven in 2019, 8 in 2020"):
+        assert pii.find(t)[1] == [], t
+
+
 # --- secrets -------------------------------------------------------------------------------------
 
 
