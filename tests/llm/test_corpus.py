@@ -220,6 +220,19 @@ def test_merging_gives_small_automata_that_tell_formats_apart():
     assert all(len(m.red) < 60 for m in machines.values())
 
 
+def test_credentials_without_digits_and_short_formats(spark):
+    machines = secrets.infer(secrets.labelled())
+    for kind, t in (("gitlab", "glpat-aBcDEfgHiJKlmNoPqRsT"), ("stripe", "sk_live_aBcDEfgHiJKlmNoPqRsTuVwX"), ("github", "ghp_QwErTyUiOpAsDfGhJkLzXcVbNmqWeRtYuIoP")):
+        assert secrets.find(f"use {t} ok", machines)[1] == [(4, 4 + len(t), kind)]
+    for t in ("INTERNATIONALISATION", "MAX_CONNECTION_TIMEOUT", "AbstractSingletonProxyFactory", "getElementsByClassName", "incomprehensibilities", "LAAITIONELLEELLE"):
+        assert secrets.find(f"see {t} there", machines)[1] == [], t
+    pick = random.Random(5)
+    short = [("tiny", "zq" + "".join(pick.choice("abcdefABCDEF") for _ in range(8))) for _ in range(200)]
+    examples = short + [e for e in secrets.labelled() if e[0] == "plain"]
+    got = rows_of(secrets.find_secrets(docs(spark, ["say zqAbFcDaeB now", "nothing of the kindness here", "internationalisation"]), examples=examples))
+    assert [got[i]["spans"] for i in range(3)] == [["tiny:4:14"], [], []]
+
+
 # --- URL filter ----------------------------------------------------------------------------------
 
 
