@@ -233,6 +233,25 @@ def test_credentials_without_digits_and_short_formats(spark):
     assert [got[i]["spans"] for i in range(3)] == [["tiny:4:14"], [], []]
 
 
+def test_credentials_inside_longer_runs():
+    machines = secrets.infer(secrets.labelled())
+    path = "//docs.example.com/teams/platform/handbook/guides/release/checklists/services/payments/deploy"
+    rest = "/and/then/more/of/the/path/to/some-long-page-name/with_many_words/index.html"
+    found = 0
+    fresh = [(n, t) for n, t in secrets.labelled(10, seed=31) if n != "plain"]
+    for name, t in fresh:
+        for before, after in ((path + "/key=", ""), (path + "/", rest), ("DEPLOY_KEY=", ""), ("", "=" + path), (path * 5 + "/", rest * 5)):
+            text = f"see {before}{t}{after} ok"
+            a = text.index(t)
+            found += secrets.find(text, machines)[1] == [(a, a + len(t), name)]
+    assert found >= 0.97 * 5 * len(fresh)
+    (kind, a), (_, b) = fresh[0], fresh[1]
+    assert [s[:2] for s in secrets.find(f"{a}/{b}", machines)[1]] == [(0, len(a)), (len(a) + 1, len(a) + 1 + len(b))]
+    hexed = "0123456789abcdef" * 2
+    assert secrets.find(f"/x/{hexed}/{a}", machines)[1] == [(3, 35, "hex"), (36, 36 + len(a), kind)]
+    assert secrets.find(path * 10 + rest * 10 + "-" * 1000 + "a.b/" * 500, machines)[1] == []
+
+
 # --- URL filter ----------------------------------------------------------------------------------
 
 
