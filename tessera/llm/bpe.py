@@ -224,7 +224,8 @@ def encode_decode(documents: DataFrame, path: str, key: str = "doc_id", text: st
             flat.append(v)
             at += len(v)
         if place:
-            order = np.argsort(np.concatenate(place), kind="stable")
+            # Equal blocks share a name, so a place can come several times, each time with the same word.
+            order = np.unique(np.concatenate(place), return_index=True)[1]
             begin, size, flat = np.concatenate(begin)[order], np.concatenate(size)[order].astype(np.int64), np.concatenate(flat)
         else:
             begin = size = flat = np.zeros(0, np.int64)

@@ -329,6 +329,14 @@ def test_bpe_against_the_library(spark):
     assert bpe.encode_decode(docs(spark, texts).limit(0), path).count() == 0
 
 
+def test_bpe_of_a_table_with_itself(spark):
+    path, table = queries.vocabulary(), docs(spark, ["a b", "c d e a", None, "", prose(4, 500)])
+    want = {i: (r["n_tokens"], r["ids"], r["decoded"]) for i, r in rows_of(bpe.encode_decode(table, path)).items()}
+    got = bpe.encode_decode(table.union(table).union(table), path).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted([*want] * 3)
+    assert all((r["n_tokens"], r["ids"], r["decoded"]) == want[r["doc_id"]] for r in got)
+
+
 # --- embeddings ----------------------------------------------------------------------------------
 
 
