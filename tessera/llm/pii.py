@@ -85,10 +85,12 @@ _SPELLED_RUN = re.compile(rf"(?:(?<!\w)plus[\s-]+|\+)?(?<!\w)(?:{_WORD}|[0-9])(?
 _SPELLED_ONE = re.compile(rf"(?<!\w)(?:{_WORD})(?!\w)", re.I)
 _AT_BRACKET = re.compile(r"[ \t]?[\[({<][ \t]?(?:at|arroba|ät|@)[ \t]?[\])}>][ \t]?", re.I)
 _DOT_BRACKET = re.compile(r"[ \t]?[\[({<][ \t]?(?:dot|punkt|point|punto|\.)[ \t]?[\])}>][ \t]?", re.I)
-#: Without brackets "at" counts only in a whole address: name at host dot end.
-_AT_WORDS = re.compile(r"(?<![\w.@])([A-Za-z0-9._%+-]+)([ \t]+(?:at|arroba)[ \t]+)(?!(?:the|an?|this|that|our|your|my|his|her|their)[ \t])([A-Za-z0-9-]+(?:(?:[ \t]+(?:dot|punto|punkt|point)[ \t]+|\.)[A-Za-z0-9-]+)*[ \t]+(?:dot|punto|punkt|point)[ \t]+[A-Za-z]{2,})(?!\w)", re.I)
-_DOT_WORDS = re.compile(r"[ \t]+(?:dot|punto|punkt|point)[ \t]+", re.I)
+#: Without brackets "at" counts only in a whole address: name at host dot end. Each blank run is tried once, from the name's last character.
+_AT_WORDS = re.compile(r"(?<=[A-Za-z0-9._%+-])([ \t]+(?:at|arroba)[ \t]+)(?!(?:the|an?|this|that|our|your|my|his|her|their)[ \t])([A-Za-z0-9-]+(?:(?:[ \t]+(?:dot|punto|punkt|point)[ \t]+|\.)[A-Za-z0-9-]+)*[ \t]+(?:dot|punto|punkt|point)[ \t]+[A-Za-z]{2,})(?!\w)", re.I)
+_DOT_WORDS = re.compile(r"(?<![ \t])[ \t]+(?:dot|punto|punkt|point)[ \t]+", re.I)
+_DOT_NAMES = ("dot", "punto", "punkt", "point")
 _DOT_DIGITS = re.compile(r"(?<=[0-9])[ \t]+(?:dot|punto|punkt|point)[ \t]+(?=[0-9])", re.I)
+_SIGNED_HOST = re.compile(r"(?:@|[\])}>])[ \t]?[A-Za-z0-9-]+(?:(?:[ \t]+(?:dot|punto|punkt|point)[ \t]+|\.)[A-Za-z0-9-]+)+", re.I)
 #: What each of the patterns with a bare spelled "dot" needs.
 _HAS_DOT = re.compile(r"(?:dot|punto|punkt|point)[ \t]", re.I)
 _ODD = re.compile(f"[{''.join(_LOOKALIKE)}{re.escape(''.join(_POINTS))}{_UNSEEN}０-９٠-٩۰-۹०-९Ａ-Ｚａ-ｚ]")
@@ -171,18 +173,46 @@ def _numbers(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _signs(text: str) -> list[tuple[int, int, str]]:
-    out = []
-    if "@" in text or _AT_BRACKET.search(text):
-        out += [(*m.span(), "@") for m in _AT_BRACKET.finditer(text)]
+def _name_before(text: str, end: int, least: int) -> list[tuple[int, int]] | None:
+    """The ranges of the spelled dots of the name that ends at ``end`` and begins at ``least`` or later; None if no name ends there."""
+    dots, at = [], end
+    while True:
+        start = at
+        while start > least and _LOCAL.match(text, start - 1):
+            start -= 1
+        if start == at or (start > 0 and (text[start - 1] == "@" or text[start - 1].isalnum() or text[start - 1] == "_")):
+            return None if at == end else dots[:-1]
+        word = start
+        while word > least and text[word - 1] in " \t":
+            word -= 1
+        name = next((d for d in _DOT_NAMES if word - len(d) >= least and text[word - len(d) : word].lower() == d), None)
+        if name is None or word == start:
+            return dots
+        at = word - len(name)
+        while at > least and text[at - 1] in " \t":
+            at -= 1
+        if at == word - len(name):
+            return dots
+        dots.append((at, start))
+
+
+def _signs(text: str, gated: bool = True) -> list[tuple[int, int, str]]:
+    """``gated=False`` tries every pattern, also those whose fixed parts the text lacks; the edits are the same."""
+    out = [(*m.span(), "@") for m in _AT_BRACKET.finditer(text)]
     out += [(*m.span(), ".") for m in _DOT_BRACKET.finditer(text)]
-    if _HAS_DOT.search(text):
+    if not gated or _HAS_DOT.search(text):
         out += [(*m.span(), ".") for m in _DOT_DIGITS.finditer(text)]
+        upto = 0
         for m in _AT_WORDS.finditer(text):
-            out.append((*m.span(2), "@"))
-            out += [(*d.span(), ".") for d in _DOT_WORDS.finditer(text, *m.span(3))]
+            dots = _name_before(text, m.start(), upto)
+            if dots is None:
+                continue
+            upto = m.end()
+            out += [(*d, ".") for d in dots]
+            out.append((*m.span(1), "@"))
+            out += [(*d.span(), ".") for d in _DOT_WORDS.finditer(text, *m.span(2))]
         # "name@host dot end" and bracketed "at" with bare "dot"
-        for m in re.finditer(r"(?:@|[\])}>])[ \t]?[A-Za-z0-9-]+(?:(?:[ \t]+(?:dot|punto|punkt|point)[ \t]+|\.)[A-Za-z0-9-]+)+", text, re.I):
+        for m in _SIGNED_HOST.finditer(text):
             out += [(*d.span(), ".") for d in _DOT_WORDS.finditer(text, *m.span())]
     kept, last = [], 0
     for e in sorted(set(out)):
@@ -205,15 +235,20 @@ def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], list[tuple
         if step is not _letters or not text.isascii():
             tape.rewrite(step(tape.text))
     if tape.cuts:
-        taken = sorted((a, b) for a, b, _ in spans)
+        taken: list[tuple[int, int]] = []  # what the spans cover, in disjoint ranges
+        for a, b, _ in sorted(spans):
+            if taken and a < taken[-1][1]:
+                taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+            else:
+                taken.append((a, b))
         for kind, found in base_spans(tape.text).items():
             for a, b in found:
                 if tape.touched(a, b):
                     s, e = tape.source(a, b)
                     i = bisect.bisect_left(taken, (e,))
-                    if s < e and not any(y > s for _, y in taken[max(0, i - 4) : i]):
+                    if s < e and not (i and taken[i - 1][1] > s):
                         spans.append((s, e, kind))
-                        bisect.insort(taken, (s, e))
+                        taken.insert(i, (s, e))
     return base, sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
