@@ -59,7 +59,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts(kinds: tuple[str, ...]) -> list:
-    return [F.size(F.filter("base", lambda s, k=k: s.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in kinds]
+    def of(kind: str):
+        # A lambda with a second parameter would be given the element's index.
+        return F.size(F.filter("base", lambda s: s.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
+
+    return [of(k) for k in kinds]
 
 
 def _digests() -> list:
