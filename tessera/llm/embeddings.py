@@ -4,9 +4,10 @@ On unit vectors cosine >= t is distance <= r = sqrt(2 - 2 t). Pivots partition t
 cells. A vector can have a partner in another cell only if it is within r of the plane between the
 two pivots, and, by the triangle inequality, no further from the other pivot than that cell's
 radius plus r; only there it is replicated, and only to the cell that comes later, so
-each pair is compared in one place. Cells join independently, a large cell in blocks. How many pivots
-pay is estimated on a bounded sample: in data without clusters the bounds exclude little, and few
-cells are used rather than many copies.
+each pair is compared in one place. Cells join independently; within one, vectors are ordered by their
+distance from the pivot, and stretches of them whose distances differ by more than r are not compared. A cell
+beyond ``BLOCK`` vectors joins in blocks. There is a pivot for every ``CELL`` vectors or more; how many more
+pay is estimated on a bounded sample: in data without clusters the bounds exclude little.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import components, written
 
-#: Vectors of one block of a cell; a task compares two blocks.
-BLOCK = 8192
+#: Vectors for which there is one pivot at least; and vectors of one block of a cell: a task compares two blocks.
+CELL, BLOCK = 2048, 4096
 #: Single precision decides outside this band around the threshold, double precision within it.
 BAND = 1e-4
 
@@ -36,10 +37,10 @@ def unit(vectors, width: int) -> np.ndarray:
 
 
 def choose_pivots(sample: np.ndarray, n: int, r: float, most: int) -> np.ndarray:
-    """As many rows of the sample as make the estimated work of joining ``n`` vectors least."""
-    best, cost = sample[:1], math.inf
-    k = 1
-    while k <= min(most, len(sample) // 8, max(1, n // 64)):
+    """As many rows of the sample as make the estimated work of joining ``n`` vectors least; one for ``CELL`` vectors, and eight, at least."""
+    best, cost = None, math.inf
+    k = max(1, min(max(8, -(-n // CELL)), len(sample) // 2, most))
+    while best is None or k <= min(most, len(sample) // 8, max(1, n // 64)):
         near = sample @ sample[:k].T
         home = near.argmax(axis=1)
         gap = np.sqrt(np.maximum(0, 2 - 2 * sample[:k] @ sample[:k].T))
@@ -67,17 +68,25 @@ def place(x: np.ndarray, pivots: np.ndarray, r: float, radius: np.ndarray | None
     return home, np.sqrt(np.maximum(0, 2 - 2 * own)), sent
 
 
-def link_blocks(a: np.ndarray, b: np.ndarray | None, dims_a, dims_b, weight_a, weight_b, threshold: float):
-    """Linked weight of each row of ``a`` and of ``b`` (one block with itself if b is None), and edges (i, j) that keep their connections."""
+def link_blocks(a: np.ndarray, b: np.ndarray | None, dims_a, dims_b, weight_a, weight_b, threshold: float, far_a=None, far_b=None):
+    """Linked weight of each row of ``a`` and of ``b`` (one block with itself if b is None), and edges (i, j) that keep their connections.
+
+    ``far_a``, ``far_b``: distances from one pivot, in ascending order; stretches that they tell apart are not compared.
+    """
     same = b is None
     if same:
-        b, dims_b, weight_b = a, dims_a, weight_a
+        b, dims_b, weight_b, far_b = a, dims_a, weight_a, far_a
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
     fa, fb = a.astype(np.float32), b.astype(np.float32)
     sum_a, sum_b, edges = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), []
     for i in range(0, len(a), 1024):
         for j in range(0, len(b), 2048):
             if same and j + 2048 <= i:
                 continue
+            if far_a is not None:
+                p, q = far_a[i : i + 1024], far_b[j : j + 2048]
+                if p[0] - q[-1] > reach or q[0] - p[-1] > reach:
+                    continue
             s = fa[i : i + 1024] @ fb[j : j + 2048].T
             hit = s >= threshold - BAND
             if not hit.any():
@@ -190,13 +199,17 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
     def join(d: pd.DataFrame) -> pd.DataFrame:
         sides = [d] if d["kind"].iat[0] == 0 and d["i"].iat[0] == d["j"].iat[0] else [d[d["side"] == 0], d[d["side"] == 1]]
         units = [unit(s["x"], width) for s in sides]
+        pivot = held.value[0][int(d["cell"].iat[0])]
+        far = [np.sqrt(np.maximum(0, 2 - 2 * (u @ pivot))) for u in units]
+        order = [np.argsort(x, kind="stable") for x in far]
+        sides, units, far = ([x.iloc[o] if isinstance(x, pd.DataFrame) else x[o] for x, o in zip(part, order, strict=True)] for part in (sides, units, far))
         dims = [s["x"].map(len).to_numpy() for s in sides]
         nodes, weights = [s["node"].to_numpy() for s in sides], [s["n"].to_numpy() for s in sides]
         if len(sides) == 1:
-            sums, _, edges = link_blocks(units[0], None, dims[0], None, weights[0], None, threshold)
+            sums, _, edges = link_blocks(units[0], None, dims[0], None, weights[0], None, threshold, far[0])
             counted = [(nodes[0], sums)]
         else:
-            left, right, edges = link_blocks(units[0], units[1], dims[0], dims[1], weights[0], weights[1], threshold)
+            left, right, edges = link_blocks(units[0], units[1], dims[0], dims[1], weights[0], weights[1], threshold, far[0], far[1])
             counted = [(nodes[0], left), (nodes[1], right)]
         frames = [pd.DataFrame({"a": n[s > 0], "b": n[s > 0], "w": s[s > 0]}) for n, s in counted]
         frames.append(pd.DataFrame({"a": nodes[0][edges[:, 0]], "b": nodes[-1][edges[:, 1]], "w": np.zeros(len(edges), np.int64)}))
