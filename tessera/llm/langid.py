@@ -79,13 +79,15 @@ class Model:
 
     def scorer(self):
         marks = np.unpackbits(self.landmarks, axis=1).astype(np.float32)
-        columns, size = np.ascontiguousarray(marks.T), np.sqrt(marks.sum(axis=1))
+        columns, size, any_mark = np.ascontiguousarray(marks.T), np.sqrt(marks.sum(axis=1)), marks.max(axis=0)
 
-        def score(texts: list) -> tuple[np.ndarray, np.ndarray]:
+        def score(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Scores by language, whether there is a letter, and the share of the text's n-grams that some landmark has."""
             rows, known = presence(texts, self.order)
+            held = np.maximum(rows.sum(axis=1), 1)
             kernel = rows @ columns
-            kernel /= np.sqrt(np.maximum(rows.sum(axis=1), 1))[:, None] * size
-            return kernel @ self.weights, known
+            kernel /= np.sqrt(held)[:, None] * size
+            return kernel @ self.weights, known, rows @ any_mark / held
 
         return score
 
@@ -110,13 +112,13 @@ def fit(rows: list[tuple[str, bytes]], landmarks: int = 128, ridge: float = 1e-3
     return Model(langs, bits[chosen], weights.astype(np.float32), order)
 
 
-def training_rows(documents: DataFrame, key: str, text: str, lang: str, per_language: int, order: int) -> list[tuple[str, bytes]]:
+def training_rows(documents: DataFrame, key: str, text: str, lang: str, per_language: int, order: int, most_languages: int = 256) -> list[tuple[str, bytes]]:
     """About ``per_language`` labelled texts of each language, chosen by a hash of the key.
 
     Only key and label are read to choose; the driver gets the chosen texts' presence bits, 2 KB each.
     """
     usable = documents.where(F.col(f"`{lang}`").isNotNull())
-    counts = usable.groupBy(F.col(f"`{lang}`").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(256).collect()
+    counts = usable.groupBy(F.col(f"`{lang}`").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not counts:
         return []
     draw = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(1 << 30))
@@ -137,34 +139,37 @@ def training_rows(documents: DataFrame, key: str, text: str, lang: str, per_lang
     return [(r["k"]["lang"], bytes(r["bits"])) for r in got]
 
 
-def identify(documents: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 500, landmarks: int = 128, ridge: float = 1e-3, order: int = 3, train_key: str = "doc_id") -> DataFrame:
-    """For every row of ``documents``: key, ``lang_pred`` and ``score`` (0 to 1).
+def identify(documents: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 500, landmarks: int = 128, ridge: float = 1e-3, order: int = 3, train_key: str = "doc_id", most_languages: int = 256) -> DataFrame:
+    """For every row of ``documents``: key, ``lang_pred``, ``score`` (0 to 1) and ``familiar`` (0 to 1).
 
-    Learns from ``train`` only (key ``train_key``): texts with a label, about ``per_language`` of each of the (at most
-    256 most frequent) languages, so the fit is bounded whatever the input. A text that is null or
+    Learns from ``train`` only (key ``train_key``): texts with a label, about ``per_language`` of each of the
+    ``most_languages`` most frequent languages, so the fit is bounded whatever the input. A text that is null or
     has no letter is ``und`` with score 0, and so are all where nothing could be learned. Equal
-    scores go to the language first in order. Repeated rows each get a row.
+    scores go to the language first in order. Repeated rows each get a row. ``familiar`` is the share of the text's
+    n-grams that some landmark has: near 1 in the learned languages, low in other scripts and languages, whichever is nearest.
     """
-    model = fit(training_rows(train, train_key, text, lang, per_language, order), landmarks, ridge, order)
+    model = fit(training_rows(train, train_key, text, lang, per_language, order, most_languages), landmarks, ridge, order)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the landmarks
 
     def make():
         score = shared.value.scorer() if shared.value else None
 
         def each(texts):
-            preds, tops = [], []
+            preds, tops, shares = [], [], []
             for at in range(0, len(texts), 256):
                 part = texts[at : at + 256]
                 if score is None:
                     preds += [UNKNOWN] * len(part)
                     tops += [0.0] * len(part)
+                    shares += [0.0] * len(part)
                     continue
-                values, known = score(part)
+                values, known, familiar = score(part)
                 best = values.argmax(axis=1)
                 preds += [shared.value.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 tops += np.where(known, np.clip((values.max(axis=1) + 1) / 2, 0, 1), 0).astype(float).tolist()
-            return [preds, tops]
+                shares += np.where(known, familiar, 0).astype(float).tolist()
+            return [preds, tops, shares]
 
         return each
 
-    return map_texts(keyed(documents, key, text), [("lang_pred", T.StringType()), ("score", T.DoubleType())], make, key)
+    return map_texts(keyed(documents, key, text), [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("familiar", T.DoubleType())], make, key)
