@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,23 +17,53 @@ from pyspark.sql import types as T
 KEY, TEXT = "__key", "__text"
 
 
+#: Where the tables written in this context are, if somebody wants to know (see ``scratch``).
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a new local one where that is unset and executors are local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage is cut and survives lost executors."""
+def write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write df as a table in the shared folder and read it back, with its path: lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return write(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The paths of the tables that are written inside, as they come."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
 
 
 def keyed(df: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -77,9 +109,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternating large-star and small-star steps. Each is a map-side combined minimum and an
     equi-join, which adaptive execution can split at a hub; every round is written to the shared
-    folder, so no lineage builds up and nothing is gathered by the driver but a count and a hash.
+    folder and the one before deleted, so no lineage builds up and nothing is gathered by the driver but a count and a hash.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    spark = edges.sparkSession
+    now, path = write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     state = _state(now)
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -87,7 +120,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a <> b").union(down.select("a", F.col("m").alias("b")))
-        now = written(small.distinct(), name)
+        old = path
+        now, path = write(small.distinct(), name)
+        remove(spark, old)
         before, state = state, _state(now)
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -108,11 +108,14 @@ def near_pairs(values: DataFrame, budget: int = 2, cell: int = 20_000) -> DataFr
         depth += STEP
     # Root pair expanded to ``depth``: children differ by a mask; the lesser prefix is the left side.
     pairs = _expand(values.select(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(0).alias("used"), F.lit(0).alias("side"), "fp"), 0, depth, budget)
-    found = None
+    # No pair can hold more than twice the fullest node's: as a rule that settles it without the pairs.
+    fullest = values.groupBy(F.shiftrightunsigned("fp", BITS - depth).alias("p")).count().agg(F.max("count")).first()[0] or 0
+    if 2 * fullest <= cell:
+        return _walk(pairs, depth, budget)
+    found, pairs = None, written(pairs, "nodes")
     while True:
         last = depth + STEP > BITS - 4
-        sizes = pairs.groupBy("p", "q").agg(F.count(F.lit(1)).alias("n"))
-        heavy = sizes.where(F.col("n") > cell).select("p", "q")
+        heavy = pairs.groupBy("p", "q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).select("p", "q")
         more = not last and not heavy.isEmpty()
         light = pairs.join(heavy, ["p", "q"], "left_anti") if more else pairs
         got = _walk(light, depth, budget)
