@@ -91,7 +91,10 @@ def _splitter(path: str) -> Splitter:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, list]]:
-    """(name, keys, texts); the name is a digest of the content, the same whenever the block is read again."""
+    """(name, keys, texts); the name tells the partition, the block's number in it and a digest of the content: the same whenever it is read again."""
+    from pyspark import TaskContext
+
+    partition, number = TaskContext.get().partitionId(), 0
     for batch in batches:
         keys, start, size, part = batch.column(0), 0, 0, []
         for i, (x,) in enumerate(rows_of(batch, 1)):
@@ -102,8 +105,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, list
                 h = hashlib.sha256(repr(own.to_pylist()).encode())
                 for t in part:
                     h.update(b"\0" if t is None else t.encode() + b"\1")
-                yield h.hexdigest()[:24], own, part
-                start, size, part = i + 1, 0, []
+                yield f"{partition}.{number}.{h.hexdigest()[:12]}", own, part
+                start, size, part, number = i + 1, 0, [], number + 1
 
 
 @lru_cache(maxsize=1)
@@ -199,7 +202,8 @@ def encode_decode(documents: DataFrame, path: str, key: str = "doc_id", text: st
     Ids are those of the whole text without special tokens added; special tokens that the text holds
     count as such. ``decoded`` joins the pieces of the ids by blanks, as the tokenizer's decode does
     where it has no decoder. Null and empty texts have no tokens and decode to an empty string.
-    Repeated rows each get a row. ``keep_ids=False`` leaves out the two long columns.
+    Repeated rows each get a row. ``keep_ids=False`` leaves out the two long columns. The documents are read twice and
+    must be the same both times (a table or a written stage is); where they are not, RuntimeError is raised, no wrong row made.
     """
     docs = keyed(documents, key, text).select(KEY, TEXT)
     lists = encode_words(word_rows(docs, path), path)
@@ -224,8 +228,7 @@ def encode_decode(documents: DataFrame, path: str, key: str = "doc_id", text: st
             flat.append(v)
             at += len(v)
         if place:
-            # Equal blocks share a name, so a place can come several times, each time with the same word.
-            order = np.unique(np.concatenate(place), return_index=True)[1]
+            order = np.argsort(np.concatenate(place))
             begin, size, flat = np.concatenate(begin)[order], np.concatenate(size)[order].astype(np.int64), np.concatenate(flat)
         else:
             begin = size = flat = np.zeros(0, np.int64)
