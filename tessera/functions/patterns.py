@@ -48,20 +48,23 @@ COMMAND = r"(?i)^(?:ansible-playbook|bash|cargo|conda|curl|docker|git|helm|java|
 NUMERIC = r"^(?:\d+|\d+(?:[._:/-]\d+)+[A-Za-z0-9._:/%-]*|\d+[A-Za-z%]+)$"
 ASSIGNMENT = r"^[A-Za-z_][A-Za-z0-9_.-]*=.+$"
 YAML_KEY = r"^[A-Za-z_][A-Za-z0-9_.-]*:$"
-YAML_SPAN = r"(?:^|\s)[A-Za-z_][A-Za-z0-9_.-]*\s*:\s*\S"
-FLAG_SPAN = r"(?:^|\s)-{1,2}[A-Za-z0-9][A-Za-z0-9_-]*(?:=|\s+)\S"
-
-# Fragments that the segmentation repair joins to the sentence before.
-ARTIFACTS = (")", ":", ";", ",", "-", "–", "—")
+YAML_SPAN = r"(?<!\S)[A-Za-z_][A-Za-z0-9_.-]*\s*:\s*\S"
+FLAG_SPAN = r"(?<!\S)-{1,2}[A-Za-z0-9][A-Za-z0-9_-]*(?:=|\s+)\S"
 
+# White space of the edit gates, beyond ASCII too; and what stands next to a word character or does not.
+NONBLANK = r"[^\s\x1C-\x1F\x85\p{Z}]"
+_NO_WORD_BEFORE, _NO_WORD_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 # Concrete markers of edited sentences.
-MARKER_URL = r"(?:https?://|www\.)[^\s]+"
-MARKER_PATH = r"(?:[A-Za-z]:\\|\.{0,2}/)[^\s]+"
-MARKER_FLAG = r"--?[A-Za-z][A-Za-z0-9_-]*"
-MARKER_NUMBER = r"[0-9]+(?:\.[0-9]+)*"
-MARKER_SNAKE = r"[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+"
-MARKER_CAMEL = r"[a-z]+[A-Z][A-Za-z0-9]*"
+MARKER_URL = rf"(?i)https?://{NONBLANK}+"
+MARKER_PATH = rf"{_NO_WORD_BEFORE}(?:[A-Za-z]:\\[^\s\x1C-\x1F\x85\p{{Z}},;]+|/[^\s\x1C-\x1F\x85\p{{Z}},;]+)"
+MARKER_FLAG = rf"{_NO_WORD_BEFORE}--?[A-Za-z][A-Za-z0-9-]*"
+MARKER_NUMBER = rf"{_NO_WORD_BEFORE}\p{{Nd}}+(?:\.\p{{Nd}}+)*{_NO_WORD_AFTER}"
+MARKER_SNAKE = rf"{_NO_WORD_BEFORE}[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+{_NO_WORD_AFTER}"
+MARKER_CAMEL = rf"{_NO_WORD_BEFORE}(?:[a-z]+[A-Z][A-Za-z0-9]*|[A-Z][a-z]+[A-Z][A-Za-z0-9]*){_NO_WORD_AFTER}"
+MARKER_CODE = r"`+([^`]+?)`+"
 MARKER_TAIL = ".,;:)\"]'"
+# A sentence's end inside a candidate: before a capital, or at the end.
+SENTENCE_END = r"[.!?][\"')\]]*(?=[\s\p{Z}]+[A-Z]|[\s\p{Z}]*\z)"
 
 # Gate thresholds by edit direction (least and most token ratio, least content recall).
 GATE_LIMITS = {"add_specific": (0.65, 2.0, 0.55), "de_specify": (0.4, 1.1, 0.35), "irrelevant_rewrite": (0.75, 1.35, 0.6)}

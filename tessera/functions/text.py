@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from . import unicode
 
 
 def strip(text: Column) -> Column:
@@ -109,20 +110,21 @@ def slug(title: Column, most: int = 160) -> Column:
 
 
 def edit_words(text: Column) -> Column:
-    """Lower-case word tokens of the edit gates: letters, digits and underscores with inner - . / or :."""
-    return F.regexp_extract_all(F.lower(text), F.lit(P.WORD), F.lit(0))
+    """Word tokens of the edit gates: letters, digits and underscores with inner - . / or :, after NFKC, case folded."""
+    return unicode.words(text, P.WORD)
 
 
-def content_words(text: Column) -> Column:
-    return F.array_distinct(F.filter(edit_words(text), lambda w: (F.length(w) >= 3) & ~w.isin(*P.STOP_WORDS)))
+def content_words(words: Column) -> Column:
+    """The different words that carry content, of those that ``edit_words`` gave."""
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*P.STOP_WORDS)))
 
 
 def markers(text: Column) -> Column:
-    """Concrete markers with repeats: URLs, paths, flags, numbers, snake and camel names, quoted code."""
+    """Concrete markers with repeats, sorted and case folded: URLs, paths, flags, numbers, snake and camel names, quoted code."""
     found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (P.MARKER_URL, P.MARKER_PATH, P.MARKER_FLAG, P.MARKER_NUMBER, P.MARKER_SNAKE, P.MARKER_CAMEL)]
-    trimmed = F.transform(F.flatten(F.array(*found)), lambda m: F.rtrim(F.lower(m), F.lit(P.MARKER_TAIL)))
-    quoted = F.transform(F.regexp_extract_all(text, F.lit("`([^`]+)`"), F.lit(1)), lambda m: F.lower(strip(m)))
-    return F.array_sort(F.filter(F.concat(trimmed, quoted), lambda m: m != ""))
+    quoted = F.transform(F.regexp_extract_all(text, F.lit(P.MARKER_CODE), F.lit(1)), lambda m: F.regexp_replace(m, r"^[\s\x1C-\x1F\x85\p{Z}]+|[\s\x1C-\x1F\x85\p{Z}]+$", ""))
+    trimmed = F.transform(unicode.casefold_parts(text, F.flatten(F.array(*found))), lambda m: F.rtrim(m, F.lit(P.MARKER_TAIL)))
+    return F.array_sort(F.filter(F.concat(trimmed, unicode.casefold_parts(text, quoted)), lambda m: m != ""))
 
 
 def multiset_recall(before: Column, after: Column) -> Column:
@@ -131,9 +133,9 @@ def multiset_recall(before: Column, after: Column) -> Column:
     return F.when(F.size(before) == 0, F.lit(1.0)).otherwise(kept / F.size(before))
 
 
-def from_vocabulary(text: Column, vocabulary: tuple[str, ...]) -> Column:
-    """The sorted multiset of the text's words that are in a vocabulary."""
-    return F.array_sort(F.filter(edit_words(text), lambda w: w.isin(*vocabulary)))
+def from_vocabulary(words: Column, vocabulary: tuple[str, ...]) -> Column:
+    """The sorted multiset of the words that are in a vocabulary."""
+    return F.array_sort(F.filter(words, lambda w: w.isin(*vocabulary)))
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..functions.unicode import comparable, folded
 
 
 def _ends(text: Column) -> Column:
@@ -123,19 +124,18 @@ def annotatable(text: Column, least: int = 8, most: int = 40, terminal: bool = F
 def integrity_reasons(original: Column, candidate: Column) -> Column:
     """Why a candidate is no usable edit: lines, length, no change, several sentences, new scripts, a preface."""
     s = X.strip(candidate)
-    plain = lambda t: F.lower(F.array_join(X.words(t), " "))
-    lead = F.lower(s)
+    lead = folded(s)
     meta = F.lit(False)
     for prefix in P.META_PREFIXES:
         meta = meta | lead.startswith(prefix)
     tests = {
         "meta_prefix": meta,
-        "multiple_sentences": F.regexp_count(s, F.lit(r"[.!?] +[A-Z]")) > 1,
+        "multiple_sentences": F.regexp_count(s, F.lit(P.SENTENCE_END)) > 1,
         "new_non_latin_script": ~original.rlike(r"[\p{L}&&[^\x00-\x7f]]") & s.rlike(r"[\p{L}&&[^\x00-\x7f]]"),
         "not_one_nonempty_line": (s == "") | s.rlike(r"[\n\r\t]"),
         "too_long_chars": F.length(s) > 2000,
         "too_short_chars": F.length(s) < 5,
-        "unchanged_normalized": plain(s) == plain(original),
+        "unchanged_normalized": comparable(s) == comparable(original),
     }
     return F.filter(F.array(*(F.when(t, code) for code, t in tests.items())), lambda r: r.isNotNull())
 
@@ -143,11 +143,14 @@ def integrity_reasons(original: Column, candidate: Column) -> Column:
 def gate(pairs: DataFrame, original: str = "original", edited: str = "edited", kind: str = "edit_type", limits: dict = P.GATE_LIMITS) -> DataFrame:
     """Edit gate: the pair with token ratio, content recall, marker counts and recall, and the sorted ``gate_reasons``."""
     o, e = F.col(original), F.col(edited)
-    ow, ew, oc, ec, om, em = X.edit_words(o), X.edit_words(e), X.content_words(o), X.content_words(e), X.markers(o), X.markers(e)
-    d = pairs.withColumns({
+    # What Python workers fold becomes columns first; all else is then made of these in generated code.
+    d = pairs.withColumns({"__ow": X.edit_words(o), "__ew": X.edit_words(e), "__om": X.markers(o), "__em": X.markers(e), "__integrity": integrity_reasons(o, e)})
+    d = d.withColumns({"__oc": X.content_words(F.col("__ow")), "__ec": X.content_words(F.col("__ew"))})
+    ow, ew, oc, ec, om, em = (F.col(f"__{c}") for c in ("ow", "ew", "oc", "ec", "om", "em"))
+    d = d.withColumns({
         "original_tokens": F.size(ow).cast("long"), "edited_tokens": F.size(ew).cast("long"), "original_content": F.size(oc).cast("long"), "edited_content": F.size(ec).cast("long"),
         "content_recall": F.size(F.array_intersect(oc, ec)) / F.greatest(F.size(oc), F.lit(1)), "original_markers": F.size(om).cast("long"), "edited_markers": F.size(em).cast("long"),
-        "marker_recall": X.multiset_recall(om, em), "same_markers": om == em, "same_polarity": X.from_vocabulary(o, P.POLARITY) == X.from_vocabulary(e, P.POLARITY), "same_modals": X.from_vocabulary(o, P.MODALS) == X.from_vocabulary(e, P.MODALS),
+        "marker_recall": X.multiset_recall(om, em), "same_markers": om == em, "same_polarity": X.from_vocabulary(ow, P.POLARITY) == X.from_vocabulary(ew, P.POLARITY), "same_modals": X.from_vocabulary(ow, P.MODALS) == X.from_vocabulary(ew, P.MODALS),
     })
     d = d.withColumn("token_ratio", F.col("edited_tokens") / F.greatest(F.col("original_tokens"), F.lit(1)))
     k = F.col(kind)
@@ -168,4 +171,4 @@ def gate(pairs: DataFrame, original: str = "original", edited: str = "edited", k
         "token_ratio_below_min": F.col("token_ratio") < bound(0),
     }
     own = F.filter(F.array(*(F.when(t, code) for code, t in tests.items())), lambda r: r.isNotNull())
-    return d.withColumn("gate_reasons", F.array_sort(F.concat(own, integrity_reasons(o, e)))).drop("same_markers", "same_polarity", "same_modals")
+    return d.withColumn("gate_reasons", F.array_sort(F.concat(own, F.col("__integrity")))).drop("same_markers", "same_polarity", "same_modals", "__integrity", *(f"__{c}" for c in ("om", "em", "ow", "ew", "oc", "ec")))

@@ -1,46 +1,15 @@
-"""Segmentation, repair and the sentence table."""
+"""The sentence table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import patterns as P
-from ..functions.text import sentence_id, strip
+from ..functions.segment import sentences
+from ..functions.text import sentence_id
 
 
-def split_sentences(text: Column) -> Column:
-    """Pieces that end in . ? or ! before white space, stripped; empty ones go."""
-    marked = F.regexp_replace(text, rf"([.!?]){P.BLANK}+", "$1\x01")
-    return F.filter(F.transform(F.split(marked, "\x01"), strip), lambda s: s != "")
-
-
-def repair(pieces: Column) -> Column:
-    """Two ordered passes over one document's pieces.
-
-    A lone mark, or up to three characters that end in a colon, joins the piece before. Then a
-    piece of up to three characters takes the next one if that starts in lower case, two at a time.
-    """
-    none = F.array().cast("array<string>")
-    butlast = lambda a: F.slice(a, 1, F.size(a) - 1)
-
-    def back(done: Column, s: Column) -> Column:
-        joins = (F.size(done) > 0) & (s.isin(*P.ARTIFACTS) | ((F.length(s) <= 3) & s.endswith(":")))
-        return F.when(joins, F.concat(butlast(done), F.array(F.concat_ws(" ", F.try_element_at(done, F.lit(-1)), s)))).otherwise(F.concat(done, F.array(s)))
-
-    # ``open``: whether the last piece may still take the next one.
-    start = F.struct(none.alias("done"), F.lit(False).alias("open"))
-
-    def forth(acc: Column, s: Column) -> Column:
-        takes = acc["open"] & F.substring(s, 1, 1).rlike(r"\p{Ll}")
-        joined = F.concat(butlast(acc["done"]), F.array(F.concat_ws(" ", F.try_element_at(acc["done"], F.lit(-1)), s)))
-        return F.when(takes, F.struct(joined.alias("done"), F.lit(False).alias("open"))).otherwise(F.struct(F.concat(acc["done"], F.array(s)).alias("done"), (F.length(s) <= 3).alias("open")))
-
-    return F.aggregate(F.aggregate(pieces, none, back), start, forth)["done"]
-
-
-def sentence_table(documents: DataFrame, corpus: str = "corpus_id", path: str = "doc_path", content: str = "content", repaired: bool = False) -> DataFrame:
+def sentence_table(documents: DataFrame, corpus: str = "corpus_id", path: str = "doc_path", content: str = "content", repaired: bool = True) -> DataFrame:
     """``corpus_id, doc_path, sent_idx, sent_text, sent_id`` of all documents; a narrow operator, no shuffle."""
-    pieces = split_sentences(F.col(content))
-    rows = documents.select(F.col(corpus).alias("corpus_id"), F.col(path).alias("doc_path"), F.posexplode(repair(pieces) if repaired else pieces).alias("sent_idx", "sent_text"))
+    rows = documents.select(F.col(corpus).alias("corpus_id"), F.col(path).alias("doc_path"), F.posexplode(sentences(F.col(content), repaired)).alias("sent_idx", "sent_text"))
     return rows.withColumn("sent_id", sentence_id(F.col("corpus_id"), F.col("doc_path"), F.col("sent_idx"), F.col("sent_text")))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import normalise
+from ..functions import normalise, segment
 from ..functions import patterns as P
 from ..functions import text as X
 from ..functions.numeric import q6
-from ..operators import features, filters, sentences
-from .views import SQL_FLAGS, lit, sql, sql_alpha, sql_q6, sql_strip, sql_uniform, sql_words
+from ..operators import features, filters
+from .views import SQL_FLAGS, lit, sql, sql_alpha, sql_q6, sql_sentences, sql_strip, sql_uniform, sql_words
 
 ALL: dict = {}
 
@@ -141,7 +141,8 @@ def _(v):
     return words.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("tokens"), *(F.count_if(f(F.col("w"))).alias(k) for k, f in CLASS_FN.items()))
 
 
-_SPANS = f"CAST(len(regexp_extract_all(sent_text, {lit(P.YAML_SPAN)})) + len(regexp_extract_all(sent_text, {lit(P.FLAG_SPAN)})) AS BIGINT)"
+# DuckDB's patterns have no look-behind: here the blank before a span is part of the match.
+_SPANS = "CAST(" + " + ".join(f"len(regexp_extract_all(sent_text, {lit(p.replace('(?<!' + chr(92) + 'S)', '(?:^|' + chr(92) + 's)'))}))" for p in (P.YAML_SPAN, P.FLAG_SPAN)) + " AS BIGINT)"
 
 
 @query("p13_span_counts", f"SELECT corpus_id, sent_id, {_SPANS} AS spans FROM sentences")
@@ -162,8 +163,13 @@ def _(v):
     return v.docs().select("doc_path", F.sha2(comparable(F.col("content")), 256).alias("digest"))
 
 
+def _fold(t: str) -> str:
+    """Case folding of the letters that occur; the tables have none that NFKC would change."""
+    return f"replace(lower({t}), 'ß', 'ss')"
+
+
 def _edit_words(t: str) -> str:
-    return f"regexp_extract_all(lower({t}), {lit(P.WORD)})"
+    return f"regexp_extract_all({_fold(t)}, {lit(P.WORD)})"
 
 
 def _content(t: str) -> str:
@@ -172,13 +178,27 @@ def _content(t: str) -> str:
 
 @query("p16_content_tokens", f"SELECT case_id, slot, array_to_string(list_sort({_content('original')}), ' ') AS content FROM pairs")
 def _(v):
-    return v.pairs().select("case_id", "slot", F.array_join(F.array_sort(X.content_words(F.col("original"))), " ").alias("content"))
+    return v.pairs().select("case_id", "slot", F.array_join(F.array_sort(X.content_words(X.edit_words(F.col("original")))), " ").alias("content"))
+
+
+# DuckDB's patterns have no look-around: a mark is put at the start and behind each character that is no part of a word, so
+# that "no word before" is a mark, and "no word after" is any other such character, whose own mark is still there for the next find.
+_M, _OUT = "\uFDD0", r"[^\p{L}\p{N}_]"
+_LAST = rf"(?:[^\p{{L}}\p{{N}}_{_M}]|$)"
+_MARKED_PATTERNS = (
+    rf"{_M}([A-Za-z]:{_M}\\{_M}[^\s,;{_M}][^\s,;]*|/{_M}[^\s,;{_M}][^\s,;]*)",
+    rf"{_M}(-{_M}(?:-{_M})?[A-Za-z](?:[A-Za-z0-9]|-{_M})*)",
+    rf"{_M}(\p{{Nd}}+(?:\.{_M}\p{{Nd}}+)*){_LAST}",
+    rf"{_M}([A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+){_LAST}",
+    rf"{_M}([a-z]+[A-Z][A-Za-z0-9]*|[A-Z][a-z]+[A-Z][A-Za-z0-9]*){_LAST}",
+)
 
 
 def _markers(t: str) -> str:
-    parts = [f"regexp_extract_all({t}, {lit(p)})" for p in (P.MARKER_URL, P.MARKER_PATH, P.MARKER_FLAG, P.MARKER_NUMBER, P.MARKER_SNAKE, P.MARKER_CAMEL)]
-    trimmed = f"list_transform(flatten([{', '.join(parts)}]), lambda m: rtrim(lower(m), {lit(P.MARKER_TAIL)}))"
-    quoted = f"list_transform(regexp_extract_all({t}, '`([^`]+)`', 1), lambda m: lower({sql_strip('m')}))"
+    marked = rf"('{_M}' || regexp_replace({t}, '({_OUT})', '\1{_M}', 'g'))"
+    parts = [f"regexp_extract_all({t}, '(?i)https?://[^\\s]+')", *(f"list_transform(regexp_extract_all({marked}, {lit(p)}, 1), lambda m: replace(m, '{_M}', ''))" for p in _MARKED_PATTERNS)]
+    trimmed = f"list_transform(flatten([{', '.join(parts)}]), lambda m: rtrim({_fold('m')}, {lit(P.MARKER_TAIL)}))"
+    quoted = f"list_transform(regexp_extract_all({t}, {lit(P.MARKER_CODE)}, 1), lambda m: {_fold(sql_strip('m'))})"
     return f"list_sort(list_filter(list_concat({trimmed}, {quoted}), lambda m: m <> ''))"
 
 
@@ -248,7 +268,8 @@ MARKED = {"marked": f"SELECT *, {_markers('original')} AS om, {_markers('edited'
 
 @query("p27_multiset_recall", f"SELECT case_id, slot, {sql_q6(_recall('ow', 'ew'))} AS recall FROM marked", **MARKED)
 def _(v):
-    return v.pairs().select("case_id", "slot", q6(X.multiset_recall(X.edit_words(F.col("original")), X.edit_words(F.col("edited")))).alias("recall"))
+    words = v.pairs().select("case_id", "slot", X.edit_words(F.col("original")).alias("before"), X.edit_words(F.col("edited")).alias("after"))
+    return words.select("case_id", "slot", q6(X.multiset_recall(F.col("before"), F.col("after"))).alias("recall"))
 
 
 @query("p28_model_values", f"SELECT sent_id, model_id, {sql_q6('value')} AS value FROM (SELECT sent_id, unnest(['run1', 'run2', 'mean', 'coarse']) AS model_id, unnest([score, score2, (score + score2 + score3) / 3, -percent]) AS value FROM scores)")
@@ -272,9 +293,9 @@ def _(v):
     return v.sentences()
 
 
-@query("u2_repair")
+@query("u2_repair", f"SELECT doc_path, CAST(len({sql_sentences('content', False)}) AS BIGINT) AS pieces, CAST(len({sql_sentences('content')}) AS BIGINT) AS sentences FROM docs")
 def _(v):
-    return sentences.sentence_table(v.docs(), repaired=True).groupBy("corpus_id").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sent_id")).alias("digest"))
+    return v.docs().select("doc_path", F.size(segment.sentences(F.col("content"), repaired=False)).cast("long").alias("pieces"), F.size(segment.sentences(F.col("content"))).cast("long").alias("sentences"))
 
 
 @query("u3_records", "SELECT doc_path, count(*) AS sentences, CAST(max(sent_idx) AS BIGINT) AS last, count(DISTINCT sent_id) AS ids FROM sentences GROUP BY 1")
@@ -353,13 +374,13 @@ def _(v):
 
 
 def _plain(t: str) -> str:
-    return f"lower(array_to_string({sql_words(t)}, ' '))"
+    return _fold(f"array_to_string({sql_words(t)}, ' ')")
 
 
 _NONLATIN = r"[^\x00-\x7f]"
 INTEGRITY = {
     "meta_prefix": "(" + " OR ".join(f"starts_with(lower({sql_strip('edited')}), {lit(m)})" for m in P.META_PREFIXES) + ")",
-    "multiple_sentences": rf"len(regexp_extract_all({sql_strip('edited')}, '[.!?] +[A-Z]')) > 1",
+    "multiple_sentences": rf"""len(regexp_extract_all({sql_strip('edited')}, '[.!?]["'')\]]*(?:\s+[A-Z]|\s*$)')) > 1""",
     "new_non_latin_script": rf"(NOT regexp_matches(regexp_replace(original, '[^\p{{L}}]', '', 'g'), '{_NONLATIN}') AND regexp_matches(regexp_replace(edited, '[^\p{{L}}]', '', 'g'), '{_NONLATIN}'))",
     "not_one_nonempty_line": rf"({sql_strip('edited')} = '' OR regexp_matches({sql_strip('edited')}, '[\n\r\t]'))",
     "too_long_chars": f"length({sql_strip('edited')}) > 2000",

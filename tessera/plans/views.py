@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import segment as S
 from ..functions import text as X
 from ..functions.numeric import q6
 from ..operators import filters, sentences
@@ -119,6 +120,20 @@ def sql_ends(t: str) -> str:
     return f"regexp_matches({sql_strip(t)}, '[.?!]\\z')"
 
 
+def _sql_apply(t: str, rules) -> str:
+    for pattern, new in rules:
+        t = f"regexp_replace({t}, {lit(pattern)}, {lit(new)}, 'g')"
+    return t
+
+
+def sql_sentences(t: str, repaired: bool = True) -> str:
+    clean, end_marks = f"translate({t}, '{S.MARKS}', '')", S.DOT + S.BANG + S.WHAT
+    kept = f"array_to_string(list_transform(regexp_extract_all({clean}, {lit(S.STRETCH)}), lambda s: CASE WHEN regexp_matches(s, {lit(S.QUOTED)}) THEN translate(s, '.!?', '{end_marks}') ELSE s END), '')"
+    pieces = _sql_apply(f"translate({_sql_apply(kept, S.RULES)}, '{end_marks}', '.!?')", S.PIECES)
+    mended = f"translate({_sql_apply(f"'{S.BEGIN}' || {pieces} || '{S.END}'", S.REPAIR if repaired else ())}, '{S.OPEN}{S.LOWER}', '{S.END}{S.BEGIN}')"
+    return f"list_filter(string_split(translate(replace({mended}, '{S.END}{S.BEGIN}', '{S.CUT}'), '{S.BEGIN}{S.END}', ''), '{S.CUT}'), lambda s: s <> '')"
+
+
 _SHELL = (
     "(w <> '' AND (w IN ({lits}) OR regexp_matches(w, {a}) OR regexp_matches(w, {b}) OR regexp_matches(w, {c}) OR regexp_matches(w, {d}) OR regexp_matches(w, '^(?:\\./|\\.\\./|~/)')"
     " OR length(w) - length(replace(w, '/', '')) >= 2 OR length(w) - length(replace(w, '\\', '')) >= 2))"
@@ -142,8 +157,7 @@ _STRIP = lit(P.SHELL_STRIP)
 VIEWS = {
     "docs": "SELECT lang AS corpus_id, CAST(doc_id AS VARCHAR) AS doc_path, text AS content FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL",
     "sentences": f"""SELECT corpus_id, doc_path, CAST(i - 1 AS INTEGER) AS sent_idx, s[i] AS sent_text, sha256(concat_ws(chr(10), corpus_id, doc_path, CAST(i - 1 AS VARCHAR), s[i])) AS sent_id
-        FROM (SELECT corpus_id, doc_path, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT corpus_id, doc_path,
-        list_filter(list_transform(string_split(regexp_replace(content, {lit(f'([.!?]){_B}+')}, '\\1' || chr(1), 'g'), chr(1)), lambda x: {sql_strip('x')}), lambda x: x <> '') AS s FROM docs))""",
+        FROM (SELECT corpus_id, doc_path, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT corpus_id, doc_path, {sql_sentences('content')} AS s FROM docs))""",
     "scores": f"SELECT *, {sql_uniform('sent_id')} AS score, {sql_uniform(lit('run2'), 'sent_id')} AS score2, {sql_uniform(lit('run3'), 'sent_id')} AS score3, {sql_q6('100 * ' + sql_alpha('sent_text'))} AS percent, NOT regexp_matches(sent_text, '\\p{{L}}') AS no_unit FROM sentences",
     "measured": f"""SELECT *, sent_text AS t, len({sql_words('sent_text')}) AS ntok, {sql_alpha('sent_text')} AS alpha, coalesce(lower(trim({sql_words('sent_text')}[1], {_STRIP})) IN ({_STARTERS}), false) AS led,
         len(list_filter(list_transform({sql_words('sent_text')}, lambda x: trim(x, {_STRIP})), lambda w: {_SHELL})) + CAST(coalesce(lower(trim({sql_words('sent_text')}[1], {_STRIP})) IN ({_STARTERS}), false) AS INTEGER) AS evidence FROM scores""",

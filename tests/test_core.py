@@ -9,9 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import normalise, treebank
+from tessera.functions import normalise, segment, treebank
 from tessera.functions import text as X
-from tessera.operators import agreement, checks, estimate, filters, governance, ladders, order, scoring, selection, sentences, summary
+from tessera.operators import agreement, checks, estimate, filters, governance, ladders, order, scoring, selection, summary
 from tessera.plans import pipeline, registry
 from tessera.sources import readers, sinks
 from tessera.streaming import attempts
@@ -57,7 +57,7 @@ def test_entry(spark):
 
 
 def test_repair(spark):
-    fix = lambda parts: one(spark, sentences.repair(F.col("p")), p=parts)
+    fix = lambda parts: one(spark, segment.repair(F.col("p")), p=parts)
     assert fix(["Install the package.", ")", "Done."]) == ["Install the package. )", "Done."]
     assert fix(["a.", "install it.", "b.", "Stop."]) == ["a. install it.", "b.", "Stop."]
     assert fix(["x.", "y.", "z is."]) == ["x. y.", "z is."]
@@ -83,7 +83,7 @@ def test_alpha_ratio_edge(spark):
 
 def test_text_functions(spark):
     assert one(spark, treebank.treebank(F.col("t")), t="They don't (really) cannot say \"no\", ok.") == ["They", "do", "n't", "(", "really", ")", "can", "not", "say", "``", "no", "''", ",", "ok", "."]
-    assert one(spark, X.markers(F.col("t")), t="run `Foo Bar` --all in src/x snake_case 3.14") == sorted(["foo bar", "--all", "/x", "snake_case", "3.14"])
+    assert one(spark, X.markers(F.col("t")), t="run `Foo Bar` --all in src/x or /x, snake_case 3.14") == sorted(["foo bar", "--all", "/x", "snake_case", "3.14"])
     assert one(spark, X.slug(F.col("t")), t="A / strange: title!") == "A_strange_title" and one(spark, X.slug(F.col("t")), t="!!") == "untitled"
     assert one(spark, normalise.markdown_to_text(F.col("t")), t="---\na: b\n---\n# Head\n\n```\ncode\n```\n- item `x`\n") == "Head\n \nitem `x`".replace("\n \n", "\n")
     assert one(spark, normalise.html_to_text(F.col("t")), t="<p>a <code>b</code><pre>no</pre> &amp; c</p><script>x</script>") == "a b & c"
