@@ -1,10 +1,12 @@
-"""Documents to plain text by format; chains of regular expressions, nothing leaves the JVM."""
+"""Documents to plain text by format. Markdown blocks and HTML are read in Arrow batches, the rest stays in the JVM."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import markup
+
 
 def document_format(path: Column) -> Column:
     """markdown, rst, html or plain, by the lower-cased suffix."""
@@ -33,27 +35,16 @@ def rst_to_text(text: Column) -> Column:
 
 
 def markdown_to_text(text: Column) -> Column:
-    """Without front matter and fences; block marks go, the text of headings, items and inline code stays, one block a line."""
-    plain = strip_fences(F.regexp_replace(text, r"(?s)^---\s*\n.*?\n---\s*\n", ""))
-    plain = F.regexp_replace(plain, r"(?m)^[ \t]{0,3}(?:#{1,6}[ \t]+|>[ \t]?|[-*+][ \t]+|\d{1,9}[.)][ \t]+)", "")
-    plain = F.regexp_replace(plain, r"(?m)^[ \t]*(?:[-*_][ \t]*){3,}$", "")
-    return _lines(plain, lambda s: F.trim(s) != "")
+    """Without front matter, fences, code, raw HTML and link definitions: the inline text of headings, items and paragraphs as written, one block after another."""
+    return markup.markdown(strip_fences(F.regexp_replace(text, r"(?s)^---\s*\n.*?\n---\s*\n", "")))
 
 
 def html_to_text(html: Column) -> Column:
     """Text outside pre, script, style and nav, its pieces stripped and joined by a blank."""
-    t = html
-    for tag in ("pre", "script", "style", "nav"):
-        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?i)</?code\b[^>]*>", "")
-    t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
-    # The five named entities of the text format, and the no-break space.
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(t, r"[ \t\n\r\f]+", " "))
+    return markup.html(html)
 
 
 def to_text(path: Column, content: Column) -> Column:
     kind = document_format(path)
-    return F.when(kind == "markdown", markdown_to_text(content)).when(kind == "rst", rst_to_text(content)).when(kind == "html", html_to_text(content)).otherwise(content)
+    only = lambda k: F.when(kind == k, content)  # noqa: E731  the readers get a null for texts of another format
+    return F.when(kind == "markdown", markdown_to_text(only("markdown"))).when(kind == "rst", rst_to_text(content)).when(kind == "html", html_to_text(only("html"))).otherwise(content)

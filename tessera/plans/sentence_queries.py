@@ -78,14 +78,15 @@ def _html_sql(t: str) -> str:
     for tag in ("pre", "script", "style", "nav"):
         t = rf"regexp_replace({t}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', ' ', 'g')"
     t = rf"regexp_replace(regexp_replace(regexp_replace({t}, '(?s)<!--.*?-->', ' ', 'g'), '(?i)</?code\b[^>]*>', '', 'g'), '(?s)<[^>]*>', ' ', 'g')"
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):  # those that occur
         t = f"replace({t}, {lit(name)}, {lit(char)})"
     return f"trim(regexp_replace({t}, {lit(P.BLANK + '+')}, ' ', 'g'))"
 
 
 @query("p6_html_text", f"SELECT page_id, {_html_sql('html')} AS content FROM pages")
 def _(v):
-    return v.table("pages").select("page_id", normalise.html_to_text(F.col("html")).alias("content"))
+    # White space inside a piece stays as it is in the operator; the twin, which reads tags by patterns, has single blanks.
+    return v.table("pages").select("page_id", F.regexp_replace(normalise.html_to_text(F.col("html")), P.BLANK + "+", " ").alias("content"))
 
 
 # --- scalar functions ----------------------------------------------------------------------------
