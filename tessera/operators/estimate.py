@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import correlation, percentile
-from ..functions.text import uniform
-from .order import average_ranks, quantiles, ranks_within, row_number
+from ..sources.sinks import written
+from .order import average_ranks, cumulative, quantiles, ranks_within, row_number
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str], empty: float | None = 0.0) -> DataFrame:
@@ -21,13 +22,17 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str], empty: float | None =
 def draws(units: DataFrame, key: str, by: list[str], reps: int, seed: str = "7") -> DataFrame:
     """``rep, by..., key, w``: how often each unit is drawn in each of ``reps`` resamples of its group, units with 0 left out.
 
-    Units are numbered by the hash of their key. Draw j of replicate r takes unit floor(u n), u from the
-    digest of seed:r:group:j: an exact multinomial draw, the same wherever and whenever it is made.
+    Units are numbered by the hash of their key. Draw j of replicate r takes unit floor(u n), u from the digest
+    of seed:floor(r / 8):group:j, of which each of eight replicates takes 32 bits: an exact multinomial draw, the same wherever and
+    whenever it is made. Of a replicate's draws only the counts are shuffled.
     """
     numbered = row_number(units.select(*by, key), [key], by, "j", key=F.col(key).cast("string"))
     group = [F.col(b).cast("string") for b in by]
-    made = numbered.select(*by, F.col("total"), F.col("j"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    picks = made.select("rep", *by, F.floor(uniform(F.lit(seed), F.col("rep").cast("string"), *group, F.col("j").cast("string")) * F.col("total")).alias("j"))
+    eight = numbered.select(*by, "total", "j", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // 8))).alias("block"))
+    eight = eight.withColumn("digest", F.sha2(F.concat_ws(":", F.lit(seed), F.col("block").cast("string"), *group, F.col("j").cast("string")), 256))
+    made = eight.select(*by, "total", "block", "digest", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("part")).withColumn("rep", F.col("block") * 8 + F.col("part")).where(F.col("rep") < reps)
+    u = F.conv(F.substring(F.col("digest"), F.col("part") * 8 + 1, F.lit(8)), 16, 10).cast("long") / F.lit(4294967296.0)
+    picks = made.select("rep", *by, F.floor(u * F.col("total")).alias("j"))
     weights = picks.groupBy("rep", *by, "j").agg(F.count(F.lit(1)).alias("w"))
     return weights.join(numbered.select(*by, key, "j"), [*by, "j"]).select("rep", *by, key, "w")
 
@@ -176,8 +181,59 @@ def heterogeneous(gaps: list[float], least_range: float = 0.1) -> bool:
     return max(gaps) - min(gaps) >= least_range or min(gaps) < 0 < max(gaps)
 
 
-def kendall_tau(df: DataFrame, x: str, y: str, key: str, by: list[str]) -> DataFrame:
-    """Kendall's tau-b of small groups: each unordered pair of rows of a group once."""
-    a, b = df.select(*by, F.col(key).alias("k1"), F.col(x).alias("x1"), F.col(y).alias("y1")), df.select(*by, F.col(key).alias("k2"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    s = a.join(b, by).where("k1 < k2").select(*by, F.signum(F.col("x1") - F.col("x2")).alias("dx"), F.signum(F.col("y1") - F.col("y2")).alias("dy"))
-    return s.groupBy(*by).agg(F.try_divide(F.sum(F.col("dx") * F.col("dy")), F.sqrt(F.sum(F.abs("dx")) * F.sum(F.abs("dy")))).alias("tau"))
+def kendall_tau(df: DataFrame, x: str, y: str, key: str, by: list[str], strips: int = 64) -> DataFrame:
+    """Kendall's tau-b of groups of any size: pairs are counted, never made; null where a side is constant.
+
+    Values go to ``strips`` ranges of x and of y. Pairs whose ranges differ in both follow from the counts of the cells of
+    that grid; those that share a range are counted within it, in time that grows with m log m. Rows with a null in
+    either value are left out.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    ranks = rows
+    for v, strip in (("__x", "__i"), ("__y", "__j")):
+        at = cumulative(rows, v, by).select(*by, v, F.least(F.lit(strips - 1), F.floor(F.col("cum_before") * strips / F.col("cum_total"))).cast("int").alias(strip))
+        ranks = ranks.join(at, [*by, v])
+    points = written(ranks.groupBy(*by, "__x", "__y", "__i", "__j").agg(F.count(F.lit(1)).alias("__n")), "points")
+    pairs = lambda n: F.sum(F.col(n).cast("double") * (F.col(n) - 1) / 2)
+    tied = lambda *c: points.groupBy(*by, *c).agg(F.sum("__n").alias("__n")).groupBy(*by).agg(pairs("__n").alias("tied_" + "".join(x[-1] for x in c)))
+    cells = points.groupBy(*by, "__i", "__j").agg(F.sum("__n").alias("__n"))
+    full = points.groupBy(*by).agg(F.sum("__n").alias("__n"))
+    grid = cells.select(*by, "__i").distinct().join(cells.select(*by, "__j").distinct(), by).join(cells, [*by, "__i", "__j"], "left") if by else cells.select("__i").distinct().crossJoin(cells.select("__j").distinct()).join(cells, ["__i", "__j"], "left")
+    # Of the at most strips^2 cells: those with lesser ranges in both.
+    along = Window.partitionBy(*by, "__i").orderBy("__j").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*by, "__j").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
+    below = grid.withColumn("__row", F.sum("__n").over(along)).withColumn("__below", F.sum("__row").over(across))
+    apart = below.groupBy(*by).agg(F.sum(F.col("__n").cast("double") * F.col("__below")).alias("apart"))
+    kinds = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
+
+    def count(first: str):
+        def run(d: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({**{b: [d[b].iat[0]] for b in by}, "c": [dominated(d[first].to_numpy(), d["__y"].to_numpy(), d["__n"].to_numpy())]})
+
+        return run
+
+    schema = f"{kinds}{', ' if by else ''}c double"
+    same_x = points.groupBy(*by, "__i").applyInPandas(count("__x"), schema)
+    same_y = points.groupBy(*by, "__j").applyInPandas(count("__i"), schema)
+    inside = same_x.union(same_y).groupBy(*by).agg(F.sum("c").alias("inside"))
+    out = full
+    for part in (tied("__x"), tied("__y"), tied("__x", "__y"), apart, inside):
+        out = out.join(part, by) if by else out.crossJoin(part)
+    all_ = F.col("__n").cast("double") * (F.col("__n") - 1) / 2
+    up = F.coalesce("apart", F.lit(0.0)) + F.col("inside")
+    surplus = 2 * up - (all_ - F.col("tied_x") - F.col("tied_y") + F.col("tied_xy"))
+    return out.select(*by, F.try_divide(surplus, F.sqrt(all_ - F.col("tied_x")) * F.sqrt(all_ - F.col("tied_y"))).alias("tau"))
+
+
+def dominated(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """How many pairs of points (with multiplicities n) are less in x and in y; strips of halves of the ranks, one bit of them after another."""
+    a, b = np.unique(x, return_inverse=True)[1].astype(np.int64), np.unique(y, return_inverse=True)[1].astype(np.int64)
+    total, width = 0.0, int(b.max()) + 1
+    for bit in range(int(a.max()).bit_length()):
+        place = (a >> (bit + 1)) * width + b
+        left = (a >> bit & 1) == 0
+        order = np.argsort(place[left], kind="stable")
+        held, sums = place[left][order], np.concatenate([[0], np.cumsum(n[left][order])])
+        first = (place[~left] // width) * width
+        total += float((n[~left] * (sums[np.searchsorted(held, place[~left])] - sums[np.searchsorted(held, first)]).astype(np.float64)).sum())
+    return total

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.sinks import written
-from .order import average_ranks, cumulative, row_number, top
+from .order import average_ranks, positions, row_number, top
 
 
 def policy_key(delta: Column, kind: Column) -> Column:
@@ -52,11 +52,14 @@ def proxy_index(rows: DataFrame, columns: list[str], by: list[str], out: str = "
 
 
 def edges(rows: DataFrame, value: str, key: str, by: list[str], out: str, share: int = 4) -> DataFrame:
-    """Rows with ``out`` low, mid or high: the first and last floor(n / share), at least one, by (value, key)."""
-    c = cumulative(rows, value, by).select(*by, value, "cum_before", "cum_total")
-    d = rows.join(c, [*by, value]).withColumn("__p", F.col("cum_before") + F.row_number().over(Window.partitionBy(*by, value).orderBy(key)))
-    q = F.greatest(F.lit(1), F.floor(F.col("cum_total") / share))
-    return d.withColumn(out, F.when(F.col("__p") <= q, "low").when(F.col("__p") > F.col("cum_total") - q, "high").otherwise("mid")).withColumn(f"{out}_position", F.col("__p")).drop("cum_before", "cum_total", "__p")
+    """Rows with ``out`` low, mid or high: the first and last floor(n / share), at least one, by (value, key); their ``{out}_position`` and ``{out}_total``.
+
+    Rows without a value are left out.
+    """
+    at, n = f"{out}_position", f"{out}_total"
+    d = positions(rows.where(F.col(value).isNotNull()), [value, key], by, at, n)
+    q = F.greatest(F.lit(1), F.floor(F.col(n) / share))
+    return d.withColumn(out, F.when(F.col(at) <= q, "low").when(F.col(at) > F.col(n) - q, "high").otherwise("mid"))
 
 
 def divergence(rows: DataFrame, score: str, proxy: str, key: str, by: list[str], k: int = 20) -> DataFrame:
@@ -64,17 +67,17 @@ def divergence(rows: DataFrame, score: str, proxy: str, key: str, by: list[str],
 
     Mid-range rows are the k nearest in score to the middle row, out of the 4 k around it.
     """
-    # Four samples are taken from one ranking, so it is written once.
-    base = written(rows.select(*by, key, score, proxy), "divergence")
-    d = written(edges(edges(base, proxy, key, by, "proxy_edge"), score, key, by, "score_edge"), "ranked")
-    total = d.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
-    d = d.join(F.broadcast(total), by)
-    middle = d.where(F.col("score_edge_position") - 1 == F.floor(F.col("total") / 2)).select(*by, F.col(score).alias("mid"))
+    # Only rows at an edge of the scores, or around their middle, can be picked: what is left of the ranking is small, and written once.
+    d = edges(edges(rows.select(*by, key, score, proxy), proxy, key, by, "proxy_edge"), score, key, by, "score_edge")
+    off = F.col("score_edge_position") - 1 - F.floor(F.col("score_edge_total") / 2)
+    picked = (F.col("score_edge_position") <= k) | (F.abs(off) <= 2 * k) | F.col("score_edge").isin("high", "low") & F.col("proxy_edge").isin("high", "low") & (F.col("score_edge") != F.col("proxy_edge"))
+    d = written(d.withColumn("off", off).where(picked), "ranked")
+    middle = d.where("off = 0").select(*by, F.col(score).alias("mid"))
     parts = [
         (d.where("score_edge = 'high' and proxy_edge = 'low'"), "high_score_low_proxy", [F.desc(score), F.col(key)]),
         (d.where("score_edge = 'low' and proxy_edge = 'high'"), "low_score_high_proxy", [F.asc(score), F.col(key)]),
         (d.where(F.col("score_edge_position") <= k), "lowest", [F.asc("score_edge_position")]),
-        (d.join(F.broadcast(middle), by).where(F.abs(F.col("score_edge_position") - 1 - F.floor(F.col("total") / 2)) <= 2 * k), "mid_range", [F.abs(F.col(score) - F.col("mid")), F.col(key)]),
+        (d.where(F.abs("off") <= 2 * k).join(middle, by), "mid_range", [F.abs(F.col(score) - F.col("mid")), F.col(key)]),
     ]
     out = None
     for frame, name, order in parts:
@@ -91,23 +94,21 @@ def spot_check(rows: DataFrame, score: str, key: str, text: str, by: list[str],
     """
     unique = keep_first(rows.select(*by, score, key, text).withColumn("__u", F.concat_ws("\x00", *by, text)), "__u", [score, key]).drop("__u")
     d = edges(unique, score, key, by, "score_edge")
-    total = d.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
-    d = d.join(F.broadcast(total), by)
     low_n, high_n = edge // 2, edge - edge // 2
     at = F.col("score_edge_position")
-    ends = d.withColumn("bucket", F.when(at <= low_n, "low").when(at > F.col("total") - high_n, "high"))
-    mid = d.where(at - 1 == F.floor(F.col("total") / 2)).select(*by, F.col(score).alias("mid"))
-    rest = ends.where("bucket is null").join(F.broadcast(mid), by)
+    total = F.col("score_edge_total")
+    ends = d.withColumn("bucket", F.when(at <= low_n, "low").when(at > total - high_n, "high"))
+    mid = d.where(at - 1 == F.floor(total / 2)).select(*by, F.col(score).alias("mid"))
+    rest = ends.where("bucket is null").join(F.broadcast(mid), by)  # a row for each group, of which there are few
     near = top(rest, average, [F.abs(F.col(score) - F.col("mid")), F.col(key)], by).select(*by, F.lit("average").alias("bucket"), key)
     return ends.where("bucket is not null").select(*by, "bucket", key).unionByName(near)
 
 
 def edit_template(rows: DataFrame, score: str, key: str, by: list[str], each: int, seed: str, kinds: tuple[str, ...]) -> DataFrame:
     """``by..., pool, key, edit_type``: seeded picks from the bottom tenth, the top tenth and the rows nearest to the median, directions in turn."""
-    d = edges(rows, score, key, by, "score_edge", share=10)
-    total = d.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
-    d = d.join(F.broadcast(total), by).withColumn("__tenth", F.greatest(F.lit(1), F.floor(F.col("total") / 10)))
-    pool = F.when(F.col("score_edge") != "mid", F.col("score_edge")).when(F.abs(F.col("score_edge_position") - 1 - F.floor(F.col("total") / 2)) * 2 <= F.col("__tenth"), "median")
+    total = F.col("score_edge_total")
+    d = edges(rows, score, key, by, "score_edge", share=10).withColumn("__tenth", F.greatest(F.lit(1), F.floor(total / 10)))
+    pool = F.when(F.col("score_edge") != "mid", F.col("score_edge")).when(F.abs(F.col("score_edge_position") - 1 - F.floor(total / 2)) * 2 <= F.col("__tenth"), "median")
     d = d.withColumn("pool", pool).where("pool is not null").withColumn("__h", F.sha2(F.concat_ws(":", F.lit(seed), F.col(key)), 256))
     picked = top(d, each, [F.col("__h"), F.col(key)], [*by, "pool"])
     names = F.array(*map(F.lit, kinds))

@@ -310,8 +310,7 @@ def _(v):
 @query("w6_position_bins", f"SELECT corpus_id, bin, count(*) AS n, {sql_q6('avg(percent)')} AS x, {sql_q6('avg(score)')} AS y FROM (SELECT corpus_id, percent, score, least(19, (row_number() OVER (PARTITION BY corpus_id ORDER BY percent, sent_id) - 1) * 20 // count(*) OVER (PARTITION BY corpus_id)) AS bin FROM scores) GROUP BY 1, 2")
 def _(v):
     d = selection.edges(v.scores().select("corpus_id", "sent_id", "percent", "score"), "percent", "sent_id", BY, "e")
-    total = d.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("total"))
-    d = d.join(F.broadcast(total), "corpus_id").withColumn("bin", F.least(F.lit(19), F.floor((F.col("e_position") - 1) * 20 / F.col("total"))).cast("long"))
+    d = d.withColumn("bin", F.least(F.lit(19), F.floor((F.col("e_position") - 1) * 20 / F.col("e_total"))).cast("long"))
     return d.groupBy("corpus_id", "bin").agg(F.count(F.lit(1)).alias("n"), q6(F.avg("percent")).alias("x"), q6(F.avg("score")).alias("y"))
 
 
@@ -428,7 +427,7 @@ def _boot(by: str, key: str, source: str, seed: str = "7") -> dict:
     """SQL views ``units`` and ``weights`` of the resampled keys of a source."""
     return {
         "units": f"SELECT {by}, {key}, row_number() OVER (PARTITION BY {by} ORDER BY sha256(CAST({key} AS VARCHAR)), {key}) - 1 AS j, count(*) OVER (PARTITION BY {by}) AS total FROM (SELECT DISTINCT {by}, {key} FROM {source})",
-        "picks": f"SELECT rep, {by}, CAST(floor({sql_uniform(lit(seed), 'rep', by, 'j')} * total) AS BIGINT) AS j, count(*) AS w FROM (SELECT *, unnest(range(0, {REPS})) AS rep FROM units) GROUP BY 1, 2, 3",
+        "picks": f"SELECT rep, {by}, CAST(floor(CAST(('0x' || substr(sha256(concat_ws(':', {lit(seed)}, rep // 8, {by}, j)), 8 * (rep % 8) + 1, 8)) AS BIGINT) / 4294967296.0 * total) AS BIGINT) AS j, count(*) AS w FROM (SELECT *, unnest(range(0, {REPS})) AS rep FROM units) GROUP BY 1, 2, 3",
         "weights": f"SELECT rep, p.{by}, {key}, w FROM picks p JOIN units u ON p.{by} = u.{by} AND p.j = u.j",
     }
 
