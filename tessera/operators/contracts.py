@@ -110,10 +110,10 @@ def replayed(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def recomputed(first: DataFrame, second: DataFrame, keys: list[str], columns: list[str], tolerance: float = 5e-9) -> DataFrame:
-    """``keys..., column_name, within``: two computations of the same statistics; a value in one only is not within."""
+    """``keys..., column_name, a, b, within``: two computations of the same statistics; a value in one only is not within."""
     a = first.unpivot(keys, columns, "column_name", "a")
     b = second.unpivot(keys, columns, "column_name", "b")
-    return a.join(b, [*keys, "column_name"], "full").select(*keys, "column_name", F.coalesce(F.abs(F.col("a") - F.col("b")) <= tolerance, F.lit(False)).alias("within"))
+    return a.join(b, [*keys, "column_name"], "full").select(*keys, "column_name", "a", "b", F.coalesce(F.abs(F.col("a") - F.col("b")) <= tolerance, F.lit(False)).alias("within"))
 
 
 def portable(path: Column, roots: tuple[str, ...]) -> Column:

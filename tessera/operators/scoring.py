@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import json
+import subprocess
+import tempfile
+import urllib.request
+from collections.abc import Callable, Iterator
+from pathlib import Path
 from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .checks import Violation
+from ..sources.sinks import written
+from .checks import Violation, require
+from .governance import schema_errors
 
 
 class Scorer(Protocol):
@@ -31,6 +39,25 @@ class HashScorer:
         return [int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) / 4294967296.0 for t in texts]
 
 
+class Salted(HashScorer):
+    """The surrogate with a name in front of each text: another one for each run."""
+
+    def __init__(self, name: str):
+        self.name = name
+
+    def __call__(self, texts: list[str]) -> list[float]:
+        return super().__call__([self.name + t for t in texts])
+
+
+class Blanks:
+    """A surrogate that gives (a quarter of the blanks, blanks) of each text."""
+
+    name = "blanks"
+
+    def __call__(self, texts: list[str]) -> list[tuple[float, int]]:
+        return [(0.25 * t.count(" "), t.count(" ")) for t in texts]
+
+
 class Retrying:
     """A scorer that may fail for a while: up to ``attempts`` calls for each batch."""
 
@@ -47,9 +74,80 @@ class Retrying:
         return []
 
 
-def score(rows: DataFrame, scorer: Scorer, text: str = "text", out: str = "score", batch: int = 25_000) -> DataFrame:
-    """All rows with a score; the row travels with its text, so nothing is matched by position. A wrong count raises."""
-    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())])
+class Command:
+    """A scorer that is a program: texts go to a file, a line each, and as many numbers come back, a line each, in order.
+
+    ``command`` is run for every batch with the paths of the two files behind its arguments; the files are removed
+    whatever happens. ``run`` can be replaced in tests.
+    """
+
+    def __init__(self, name: str, command: list[str], timeout: float = 3600.0, run: Callable = subprocess.run):
+        self.name, self.command, self.timeout, self.run = name, command, timeout, run
+
+    def preflight(self) -> None:
+        """Raise unless the program answers to ``--help``."""
+        if self.run([*self.command, "--help"], capture_output=True, timeout=self.timeout).returncode:
+            raise Violation(f"{self.name}: {self.command[0]} does not start")
+
+    def __call__(self, texts: list[str]) -> list[float]:
+        with tempfile.TemporaryDirectory() as folder:
+            source, target = Path(folder) / "texts.txt", Path(folder) / "scores.txt"
+            source.write_text("".join(" ".join(t.split()) + "\n" for t in texts), encoding="utf-8")
+            done = self.run([*self.command, str(source), str(target)], capture_output=True, timeout=self.timeout)
+            if done.returncode:
+                raise Violation(f"{self.name} ended with {done.returncode}: {done.stderr.decode(errors='replace')[-500:]}")
+            lines = target.read_text().split("\n") if target.exists() else []
+        return [float(x) for x in lines if x.strip()]
+
+
+class Judge:
+    """A chat model behind an HTTP interface that answers a fixed prompt with JSON; ``schema`` is what its answer must satisfy.
+
+    ``field`` of the answer is the score. The same texts are judged the same: the seed and temperature are fixed, and
+    ``steady`` asks twice. An answer that breaks the schema is asked for again, ``attempts`` times in all.
+    """
+
+    def __init__(self, name: str, url: str, prompt: str, schema: dict, field: str = "score", seed: int = 7, attempts: int = 3, timeout: float = 120.0, send: Callable | None = None):
+        self.name, self.url, self.prompt, self.schema, self.field = name, url, prompt, schema, field
+        self.seed, self.attempts, self.timeout, self.send = seed, attempts, timeout, send or self._post
+
+    def request(self, text: str) -> dict:
+        return {"model": self.name, "stream": False, "format": self.schema, "options": {"seed": self.seed, "temperature": 0}, "messages": [{"role": "user", "content": self.prompt.replace("{text}", text)}]}
+
+    def _post(self, body: dict) -> dict:
+        ask = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})  # noqa: S310
+        with urllib.request.urlopen(ask, timeout=self.timeout) as answer:  # noqa: S310
+            return json.load(answer)
+
+    def judge(self, text: str) -> dict:
+        wrong = []
+        for _ in range(self.attempts):
+            said = self.send(self.request(text))["message"]["content"]
+            try:
+                value = json.loads(said)
+            except ValueError:
+                wrong = ["not JSON"]
+                continue
+            if not (wrong := schema_errors(value, self.schema)):
+                return value
+        raise Violation(f"{self.name}: {'; '.join(wrong)}")
+
+    def steady(self, texts: list[str]) -> bool:
+        """Whether each text is judged the same twice."""
+        return all(self.judge(t) == self.judge(t) for t in texts)
+
+    def __call__(self, texts: list[str]) -> list[float]:
+        return [float(self.judge(t)[self.field]) for t in texts]
+
+
+def score(rows: DataFrame, scorer: Scorer, text: str = "text", out: str = "score", batch: int = 25_000, kind: T.DataType | None = None) -> DataFrame:
+    """All rows with a score; the row travels with its text, so nothing is matched by position. A wrong count raises.
+
+    ``kind``: the type of what the scorer gives for a text, a double unless it is, say, a struct.
+    """
+    kind = kind or T.DoubleType()
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, kind)])
+    arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -58,11 +156,50 @@ def score(rows: DataFrame, scorer: Scorer, text: str = "text", out: str = "score
                 got = scorer([t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()])
                 if len(got) != part.num_rows:
                     raise Violation(f"{scorer.name} gave {len(got)} scores for {part.num_rows} texts")
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=[*part.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, arrow)], names=[*part.schema.names, out])
 
     return rows.mapInArrow(run, schema)
 
 
+def percentiles(rows: DataFrame, scorer: Scorer, text: str = "text", out: str = "result") -> DataFrame:
+    """Rows with ``struct<percent, units, no_unit>`` of a scorer that gives (percent, units) for each text; without units the percent is null."""
+
+    class Structured:
+        name = scorer.name
+
+        def __call__(self, texts):
+            return [{"percent": p if n else None, "units": n, "no_unit": not n} for p, n in scorer(texts)]
+
+    kind = T.StructType([T.StructField("percent", T.DoubleType()), T.StructField("units", T.LongType()), T.StructField("no_unit", T.BooleanType())])
+    return score(rows, Structured(), text, out, kind=kind)
+
+
+def runs(rows: DataFrame, scorers: list[Scorer], text: str = "text", least: int = 50, allowed: bool = False) -> DataFrame:
+    """Rows times runs, with ``run_id`` (from 1) and ``score``: for scorers whose results differ from run to run.
+
+    They adapt to the texts they are given, so fewer than ``least`` rows are refused; and so is every run unless ``allowed`` says that it is meant.
+    """
+    if not allowed:
+        raise Violation("this scorer runs only where its configuration says so")
+    if (n := rows.limit(least).count()) < least:
+        raise Violation(f"{n} rows, of at least {least}")
+    out = None
+    for i, scorer in enumerate(scorers, 1):
+        one = score(rows, scorer, text).withColumn("run_id", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def covered(rows: DataFrame, scorer: Scorer, key: str, identity: Callable[[], None] | None = None, text: str = "text") -> DataFrame:
+    """The whole execution: identity check, scores, written once, and every row covered by one finite score; else a violation."""
+    if identity is not None:
+        identity()
+    got = written(score(rows, scorer, text), "scored")
+    require(got.where(F.col("score").isNull() | F.isnan("score")).select(key), "not scored")
+    require(rows.select(key).exceptAll(got.select(key)), "rows without a score")
+    return got
+
+
 def unscored(rows: DataFrame, have: DataFrame, key: str = "sent_id", text: str = "text") -> DataFrame:
     """Rows without a score for the same content: the cache is keyed by id and digest, not by a count of lines."""
     return rows.withColumn("content_id", F.sha2(text, 256)).join(have.select(key, "content_id"), [key, "content_id"], "left_anti")

@@ -22,6 +22,7 @@ def query(name: str, text: str, **views: str):
     return add
 
 
+_REPLAY = "SELECT corpus_id, no_unit, count(*) AS n, " + sql_q6("{x}") + " AS mean FROM scores GROUP BY 1, 2"
 _SENT = f"SELECT *, CASE WHEN {sql_strip('sent_text')} = '' THEN 'blank_text' WHEN regexp_matches(sent_text, '[\\r\\n]') THEN 'newline' WHEN count(*) OVER (PARTITION BY short_id) > 1 THEN 'duplicate' END AS problem FROM (SELECT substr(sent_id, 1, 4) AS short_id, corpus_id, sent_text FROM sentences)"
 
 
@@ -126,21 +127,23 @@ def _(v):
     return contracts.return_audit(source, back, "k", "d")
 
 
-@query("v9_replay", "SELECT count(*) AS rows, true AS same FROM (SELECT corpus_id, no_unit FROM scores GROUP BY 1, 2)")
+@query("v9_replay", f"SELECT corpus_id, no_unit, n, mean, (SELECT count(*) FROM (SELECT DISTINCT corpus_id, no_unit FROM scores)) AS rows, (SELECT count(*) = 0 FROM (SELECT * FROM one EXCEPT SELECT * FROM two)) AS same FROM two", one=_REPLAY.format(x="avg(score)"), two=_REPLAY.format(x="sum(CAST(score AS DECIMAL(18, 14))) / CAST(count(*) AS DOUBLE)"))
 def _(v):
-    """The same analysis over differently dealt rows."""
+    """The same analysis over differently dealt rows: what the second run gives, and whether the first gave just that."""
     run = lambda s: s.groupBy("corpus_id", "no_unit").agg(F.count(F.lit(1)).alias("n"), q6(F.avg("score")).alias("mean"))
-    return contracts.replayed(run(v.scores()), run(v.scores().repartition(7, "sent_id")))
+    again = run(v.scores().repartition(7, "sent_id"))
+    return again.crossJoin(contracts.replayed(run(v.scores()), again))
 
 
-@query("v10_recomputation", "SELECT DISTINCT corpus_id, unnest(['mean', 'variance']) AS column_name, true AS within FROM scores")
+@query("v10_recomputation", f"SELECT corpus_id, unnest(['mean', 'variance']) AS column_name, unnest([{sql_q6('avg(score)')}, {sql_q6('var_pop(score)')}]) AS a, unnest([{sql_q6('avg(score)')}, {sql_q6('avg(score * score) - avg(score) * avg(score)')}]) AS b, unnest([true, abs(var_pop(score) - (avg(score * score) - avg(score) * avg(score))) <= 5e-9]) AS within FROM scores GROUP BY 1")
 def _(v):
     """Means and variances by the engine's aggregates, and again from decimal sums."""
     s, d = v.scores(), F.col("score").cast("decimal(18,14)")
     one = s.groupBy("corpus_id").agg(F.avg("score").alias("mean"), F.var_pop("score").alias("variance"))
     mean = F.sum(d).cast("double") / F.count(F.lit(1))
     square = F.sum((F.col("score") * F.col("score")).cast("decimal(18,14)")).cast("double") / F.count(F.lit(1))
-    return contracts.recomputed(one, s.groupBy("corpus_id").agg(mean.alias("mean"), (square - mean * mean).alias("variance")), ["corpus_id"], ["mean", "variance"])
+    both = contracts.recomputed(one, s.groupBy("corpus_id").agg(mean.alias("mean"), (square - mean * mean).alias("variance")), ["corpus_id"], ["mean", "variance"])
+    return both.select("corpus_id", "column_name", q6(F.col("a")).alias("a"), q6(F.col("b")).alias("b"), "within")
 
 
 @query("v14_completed_runs", "SELECT case_id, count(*) AS rows, bool_or(status = 'purchase') AS ended, bool_or(status = 'purchase') AND max(attempt) = count(*) AND count(DISTINCT attempt) = count(*) AS complete FROM attempts WHERE event_id % 53 <> 9 GROUP BY 1")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contract_queries, sentence_queries, statistic_queries, table_queries
+from . import contract_queries, delivery_queries, sentence_queries, statistic_queries, table_queries
 from .views import Views
 
-_ALL = sentence_queries.ALL | table_queries.ALL | statistic_queries.ALL | contract_queries.ALL
+_ALL = sentence_queries.ALL | table_queries.ALL | statistic_queries.ALL | contract_queries.ALL | delivery_queries.ALL
 
 QUERIES = {name: (lambda spark, sf_dir, make=make: make(Views(spark, sf_dir))) for name, (make, _) in _ALL.items()}
 SQL = {name: text for name, (_, text) in _ALL.items() if text is not None}

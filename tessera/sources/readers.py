@@ -61,12 +61,14 @@ def csv(spark: SparkSession, path: str, schema: str, bom: bool = False) -> DataF
 
 
 def scores(spark: SparkSession, path: str, duplicate: str = "raise") -> DataFrame:
-    """A header-less ``sent_id<TAB>score`` file; ``duplicate``: raise, or keep the greatest score of an id."""
+    """A header-less ``sent_id<TAB>score`` file; ``duplicate``: raise, or keep the last score of an id, in the order of files and lines."""
     df = spark.read.schema(SCORES).option("sep", "\t").option("mode", "FAILFAST").csv(path)
     if duplicate == "raise":
         require(duplicates(df, "sent_id"), "duplicate ids")
         return df
-    return df.groupBy("sent_id").agg(F.max("score").alias("score"))
+    # Lines of one split are numbered as they are read; splits are ordered by file and offset.
+    line = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    return df.select("sent_id", "score", line.alias("line")).groupBy("sent_id").agg(F.max_by("score", "line").alias("score"))
 
 
 def sniffed_scores(spark: SparkSession, path: str, prefer: tuple[str, ...] = ("score", "prediction")) -> DataFrame:
@@ -163,6 +165,22 @@ def xlsx(content: bytes, sheet: int = 1) -> dict[str, str]:
         return out
 
 
+def changed_cells(released: dict[str, str], returned: dict[str, str], open_columns: tuple[str, ...]) -> list[str]:
+    """Cells outside the columns meant to be filled in that a returned workbook changed, added or lost, the header included."""
+    fixed = {at for at in released.keys() | returned.keys() if at == at.rstrip("0123456789") + "1" or at.rstrip("0123456789") not in open_columns}
+    return sorted(at for at in fixed if released.get(at) != returned.get(at))
+
+
+def sheet(cells: dict[str, str]) -> list[dict[str, str | None]]:
+    """Rows of a sheet by the names in its first line."""
+    grid: dict[int, dict[str, str]] = {}
+    for at, value in cells.items():
+        column = at.rstrip("0123456789")
+        grid.setdefault(int(at[len(column) :]), {})[column] = value
+    header = grid.pop(1, {})
+    return [{name: row.get(column) for column, name in header.items()} for _, row in sorted(grid.items())]
+
+
 def archive_member(content: bytes, name: str) -> bytes:
     """One file of a tar.gz or zip; raises for unsafe names anywhere in it."""
     if zipfile.is_zipfile(io.BytesIO(content)):
