@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .text import words
 
 # The published rules, in their order: opening quotes, punctuation, brackets, closing quotes, contractions.
-_RULES = (
+RULES = (
     (r'^"', "`` "), (r"(``)", " $1 "), (r'([ (\[{<])("|\'{2})', "$1 `` "),
     (r"([:,])([^\d])", " $1 $2"), (r"([:,])$", " $1 "), (r"\.\.\.", " ... "), (r"([;@#$%&])", " $1 "),
     (r"([^\.])(\.)([\]\)}>\"']*)\s*$", "$1 $2$3 "), (r"([?!])", " $1 "), (r"([^'])' ", "$1 ' "),
@@ -21,7 +21,7 @@ _RULES = (
 def treebank(text: Column) -> Column:
     """Tokens of one sentence."""
     t = text
-    for i, (pattern, new) in enumerate(_RULES):
+    for i, (pattern, new) in enumerate(RULES):
         t = F.regexp_replace(t, pattern, new)
         if i == 11:
             t = F.concat(F.lit(" "), t, F.lit(" "))

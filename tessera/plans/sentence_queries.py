@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from ..functions import normalise, segment
+from ..functions import normalise, segment, treebank
 from ..functions import patterns as P
 from ..functions import text as X
 from ..functions.numeric import q6
@@ -111,11 +113,16 @@ def _(v):
     return v.sentences().select(*ID, F.array_join(X.tokens(F.col(T)), " ").alias("tokens"))
 
 
-@query("p9_treebank_tokens")
-def _(v):
-    from ..functions.treebank import treebank
+def _treebank_sql(t: str) -> str:
+    for i, (pattern, new) in enumerate(treebank.RULES):
+        t = f"regexp_replace({t}, {lit(pattern)}, {lit(re.sub(chr(92) + '$' + '([0-9])', lambda m: chr(92) + m[1], new))}, 'g')"
+        t = f"' ' || {t} || ' '" if i == 11 else t
+    return f"array_to_string({sql_words(t)}, ' ')"
 
-    return v.sentences().select(*ID, F.array_join(treebank(F.col(T)), " ").alias("tokens"))
+
+@query("p9_treebank_tokens", f"SELECT corpus_id, sent_id, {_treebank_sql('sent_text')} AS tokens FROM sentences")
+def _(v):
+    return v.sentences().select(*ID, F.array_join(treebank.treebank(F.col(T)), " ").alias("tokens"))
 
 
 @query("p11_core_token", f"SELECT corpus_id, count(DISTINCT trim(w, {lit(P.CORE_STRIP)})) AS cores FROM (SELECT corpus_id, unnest(t) AS w FROM tokens) GROUP BY 1", **TOKENS)
@@ -157,8 +164,9 @@ def _(v):
     return words.groupBy("corpus_id", X.shape_points(F.col("w")).alias("points")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p15_unicode_normal")
+@query("p15_unicode_normal", "SELECT doc_path, sha256(replace(lower(nfc_normalize(trim(regexp_replace(content, '\\s+', ' ', 'g')))), 'ß', 'ss')) AS digest FROM docs")
 def _(v):
+    """The twin folds what occurs: letters that NFC composes, and ß."""
     from ..functions.unicode import comparable
 
     return v.docs().select("doc_path", F.sha2(comparable(F.col("content")), 256).alias("digest"))
@@ -396,8 +404,8 @@ def _(v):
     return v.pairs().select("case_id", "slot", F.array_join(filters.integrity_reasons(F.col("original"), F.col("edited")), ";").alias("reasons"))
 
 
-def _limit(i: int) -> str:
-    return "CASE edit_type " + " ".join(f"WHEN '{k}' THEN {float(x[i])}" for k, x in P.GATE_LIMITS.items()) + " END"
+def _limit(i: int, limits: dict) -> str:
+    return "CASE edit_type " + " ".join(f"WHEN '{k}' THEN {float(x[i])}" for k, x in limits.items()) + " END"
 
 
 def _vocab(t: str, words: tuple[str, ...]) -> str:
@@ -408,16 +416,17 @@ GATED = {
     "gated": f"""SELECT *, CAST(len(ow) AS BIGINT) AS original_tokens, CAST(len(ew) AS BIGINT) AS edited_tokens, len(ew) / CAST(greatest(len(ow), 1) AS DOUBLE) AS token_ratio, len(list_intersect(oc, ec)) / CAST(greatest(len(oc), 1) AS DOUBLE) AS content_recall,
         {_recall('om', 'em')} AS marker_recall, len(em) - len(om) AS more_marks, len(ew) - len(ow) AS more_tokens, edit_type = 'add_specific' AS is_add, edit_type = 'de_specify' AS is_down, edit_type = 'irrelevant_rewrite' AS is_neutral FROM marked"""
 } | MARKED
-_GATE = {
-    "concrete_marker_count_decreased": "is_add AND more_marks < 0", "concrete_marker_count_increased": "is_down AND more_marks > 0", "content_anchor_recall_below_min": f"content_recall < {_limit(2)}",
-    "insufficient_despecification_proxy": "is_down AND NOT (more_tokens <= -1 OR more_marks < 0 OR (content_recall <= 0.9 AND len(ec) <= len(oc)))", "insufficient_specificity_addition_proxy": "is_add AND NOT (more_tokens >= 2 OR more_marks >= 1)",
-    "modality_changed": f"{_vocab('ow', P.MODALS)} <> {_vocab('ew', P.MODALS)}", "neutral_concrete_markers_changed": "is_neutral AND om <> em", "original_concrete_marker_lost": "is_add AND marker_recall < 1",
-    "polarity_changed": f"{_vocab('ow', P.POLARITY)} <> {_vocab('ew', P.POLARITY)}", "token_ratio_above_max": f"token_ratio > {_limit(1)}", "token_ratio_below_min": f"token_ratio < {_limit(0)}",
-}
-_GATE_LIST = "list_sort(list_concat(list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in _GATE.items()) + f"], lambda r: r IS NOT NULL), {_INTEGRITY}))"
+def _gate_sql(limits: dict) -> str:
+    tests = {
+        "concrete_marker_count_decreased": "is_add AND more_marks < 0", "concrete_marker_count_increased": "is_down AND more_marks > 0", "content_anchor_recall_below_min": f"content_recall < {_limit(2, limits)}",
+        "insufficient_despecification_proxy": "is_down AND NOT (more_tokens <= -1 OR more_marks < 0 OR (content_recall <= 0.9 AND len(ec) <= len(oc)))", "insufficient_specificity_addition_proxy": "is_add AND NOT (more_tokens >= 2 OR more_marks >= 1)",
+        "modality_changed": f"{_vocab('ow', P.MODALS)} <> {_vocab('ew', P.MODALS)}", "neutral_concrete_markers_changed": "is_neutral AND om <> em", "original_concrete_marker_lost": "is_add AND marker_recall < 1",
+        "polarity_changed": f"{_vocab('ow', P.POLARITY)} <> {_vocab('ew', P.POLARITY)}", "token_ratio_above_max": f"token_ratio > {_limit(1, limits)}", "token_ratio_below_min": f"token_ratio < {_limit(0, limits)}",
+    }
+    return "list_sort(list_concat(list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in tests.items()) + f"], lambda r: r IS NOT NULL), {_INTEGRITY}))"
 
 
-@query("f13_gate", f"SELECT case_id, slot, edit_type, {sql_q6('token_ratio')} AS token_ratio, {sql_q6('content_recall')} AS content_recall, {sql_q6('marker_recall')} AS marker_recall, array_to_string({_GATE_LIST}, ';') AS reasons FROM gated", **GATED)
+@query("f13_gate", f"SELECT case_id, slot, edit_type, {sql_q6('token_ratio')} AS token_ratio, {sql_q6('content_recall')} AS content_recall, {sql_q6('marker_recall')} AS marker_recall, array_to_string({_gate_sql(P.GATE_LIMITS)}, ';') AS reasons FROM gated", **GATED)
 def _(v):
     g = filters.gate(v.pairs())
     return g.select("case_id", "slot", "edit_type", q6(F.col("token_ratio")).alias("token_ratio"), q6(F.col("content_recall")).alias("content_recall"), q6(F.col("marker_recall")).alias("marker_recall"), F.array_join("gate_reasons", ";").alias("reasons"))
@@ -426,7 +435,7 @@ def _(v):
 _TIGHT = {k: (a + 0.05, b, c + 0.05) for k, (a, b, c) in P.GATE_LIMITS.items()}
 
 
-@query("f14_candidate_gate")
+@query("f14_candidate_gate", f"SELECT edit_type, count(*) AS n, count(*) FILTER (len({_gate_sql(_TIGHT)}) = 0) AS passed FROM gated GROUP BY 1", **GATED)
 def _(v):
     g = filters.gate(v.pairs(), limits=_TIGHT)
     return g.groupBy("edit_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("gate_reasons") == 0).alias("passed"))
