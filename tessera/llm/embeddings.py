@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import components, written
 
 #: Vectors for which there is one pivot at least; and vectors of one block of a cell: a task compares two blocks.
-CELL, BLOCK = 2048, 4096
+CELL, BLOCK = 8192, 8192
 #: Single precision decides outside this band around the threshold, double precision within it.
 BAND = 1e-4
 
