@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import KEY, TEXT, keyed, rows_of, written
 from .decontaminate import fold
@@ -123,21 +124,25 @@ def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, ids, places = [], [], []
-            for d, x in rows_of(batch, 0, 1):
+            rows, sizes, lists = [], [], []
+            for i, (x,) in enumerate(rows_of(batch, TEXT)):
                 h = word_hashes(x)
                 if len(h) >= least:
                     g = kgrams(h, k)
-                    at = minimisers(g, window)
-                    # A k-gram that the text repeats is told once for each distinct hash: where, is found again below.
-                    g = np.unique(g[at])
-                    grams.append(g)
-                    ids.append(d)
-                    places.append(len(g))
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.repeat(np.array(ids, object), places).tolist(), pa.binary())], names=["gram", "digest"])
-
-    grams = docs.where(F.col(TEXT).isNotNull()).select(digest.alias("digest"), TEXT).mapInArrow(starts, "gram long, digest binary")
+                    # A k-gram that the text repeats is told once: where it stands, is found again below.
+                    lists.append(np.unique(g[minimisers(g, window)]).view(np.int64))
+                    rows.append(i)
+                    sizes.append(len(h))
+            if rows:
+                ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+                grams = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists)))
+                yield pa.RecordBatch.from_arrays([batch.column(KEY).take(pa.array(rows)), batch.column("digest").take(pa.array(rows)), pa.array(sizes, pa.int64()), grams], names=["k", "digest", "n_words", "grams"])
+
+    # The texts are hashed once; what is needed of them to find shared k-grams is small, and written.
+    kept = docs.where(F.col(TEXT).isNotNull()).select(KEY, digest.alias("digest"), TEXT)
+    fields = [T.StructField("k", docs.schema[KEY].dataType), T.StructField("digest", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))]
+    own = written(kept.mapInArrow(starts, T.StructType(fields)), "grams")
+    grams = own.select("digest", F.explode("grams").alias("gram"))
     shared = grams.groupBy("gram").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("gram")
     listed = grams.join(shared, "gram", "left_semi").groupBy("digest").agg(F.collect_set("gram").alias("grams"))  # bounded by the text
     texts = docs.where(F.col(TEXT).isNotNull()).select(digest.alias("digest"), TEXT).dropDuplicates(["digest"])
@@ -171,19 +176,12 @@ def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
     met = apart.groupBy("passage").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("passage")
     late = apart.where("start is not null").join(met, "passage", "left_semi").groupBy("digest", "pos").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     spans = _merged(found.where("passage is null").select("digest", "start", "stop").union(late.select("digest", "start", "stop")))
-    size = _word_count(F.col(TEXT))
-    own = written(docs.where(F.col(TEXT).isNotNull()).select(F.col(KEY).alias("k"), digest.alias("digest"), size.alias("n_words")).where(F.col("n_words") >= least), "sizes")
     copies = own.groupBy("digest").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.max("n_words").alias("w")).where("low <> high").select("digest", F.array(F.array(F.lit(0), F.col("w").cast("int"))).alias("whole"))
     both = copies.join(spans, "digest", "full").select("digest", F.coalesce("whole", "spans").alias("spans"))
     out = own.join(both, "digest")
     return out.select(F.col("k").alias(key), "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0]).alias("n_repeat"), "spans")
 
 
-def _word_count(text):
-    """As many as ``fold(text).split()`` gives: the starts of runs of digits, letters and characters beyond ASCII."""
-    return F.regexp_count(text, F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")).cast("long")
-
-
 def _merged(found: DataFrame) -> DataFrame:
     """``digest, spans``: ranges [start, stop) of each text sorted and joined where they meet; a window over one text's ranges."""
     order = Window.partitionBy("digest").orderBy("start", "stop")
