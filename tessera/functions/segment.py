@@ -1,7 +1,8 @@
-"""Sentence boundaries by rules: a chain of replacements on whole texts, linear in their length, all in generated code.
+"""Sentence boundaries by rules, in time linear in a text's length, all in generated code.
 
-Marks that no text holds (noncharacters of Unicode) stand for end marks that end nothing and for the cuts. The rules
-are data, so that other engines can apply the same ones.
+Every end mark before a blank is a likely boundary and gets a mark that no text holds (a noncharacter of Unicode); one
+pass then takes back those that an abbreviation, an initial, a number or what follows speaks against, looking
+around the marks only. A line's end always is a boundary.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Stand-ins for . ! and ? inside a sentence; a cut; begin and end of a piece; a piece that joins the one before; a short piece that may take the next; a piece in lower case.
-DOT, BANG, WHAT, CUT, BEGIN, END, JOIN, OPEN, LOWER = map(chr, range(0xFDD0, 0xFDD9))
-MARKS = DOT + BANG + WHAT + CUT + BEGIN + END + JOIN + OPEN + LOWER
+# Stand-ins for . ! and ? inside quotations; a likely and a sure boundary; begin and end of a piece; a piece that joins the one before; a short piece that may take the next; a piece in lower case.
+DOT, BANG, WHAT, SOFT, HARD, BEGIN, END, JOIN, OPEN, LOWER = map(chr, range(0xFDD0, 0xFDDA))
+MARKS = DOT + BANG + WHAT + SOFT + HARD + BEGIN + END + JOIN + OPEN + LOWER
 
 
 def either(words: Iterable[str]) -> str:
@@ -43,40 +44,30 @@ SHORTENED = (
 STARTERS = "A Being Did For He How However I In It More She That The There These They This We What When Where Who Why".split()
 
 _BLANK = r"[ \t]"
-_FREE = r"(^|[^\p{L}\p{N}])"
-#: (pattern, replacement with \1 for the first group), applied in this order.
-RULES = (
-    (r"[\n\r\f]+", CUT),
-    # Quotations and brackets end inside, and another sentence begins behind.
-    (rf"([{DOT}{BANG}{WHAT}][\"”)]){_BLANK}+(\p{{Lu}})", rf"\1{CUT}\2"),
-    # Initials: U.S. and e.g. as one, then single letters.
-    (r"(^|[^\p{L}\p{N}.])((?:[A-Za-z]\.)+[A-Za-z])\.", rf"\1\2{DOT}"),
-    (r"(^|[^\p{L}\p{N}.])(\p{Lu})\.", rf"\1\2{DOT}"),
-    (rf"((?:[A-Z]\.)*[A-Z]\.[A-Z]|{_BLANK}I){DOT}({_BLANK}+(?:{either(STARTERS)}){_BLANK})", r"\1.\2"),
-    (rf"((?:[A-Z]{DOT})[A-Z]){DOT}({_BLANK}+(?:{either(STARTERS)}){_BLANK})", r"\1.\2"),
-    (rf"([AaPp][.{DOT}][Mm]){DOT}({_BLANK}+\p{{Lu}})", r"\1.\2"),
-    # Abbreviations.
-    (rf"{_FREE}((?i:{either(TITLES)}))\.", rf"\1\2{DOT}"),
-    *[(rf"{_FREE}((?i:{either(SHORTENED)}))\.({_BLANK}+(?:[\p{{Ll}}0-9(]|I[ ']))", rf"\1\2{DOT}\3")] * 2,
-    # Numbers and letters of list items, at the start of a line or behind a sentence.
-    (rf"(^|{CUT})({_BLANK}*\(?(?:[0-9]{{1,3}}|[A-Za-z]))\.({_BLANK})", rf"\1\2{DOT}\3"),
-    (rf"([.!?]{_BLANK}+[0-9]{{1,2}})\.({_BLANK})", rf"\1{DOT}\2"),
+_FREE = r"(?:^|[^\p{L}\p{N}])"
+#: Marks that close what a sentence ends in.
+CLOSERS = "\"'”’)\\]"
+_SHUT = f"[{CLOSERS}]{{0,8}}{SOFT}"
+_STARTS = rf"{_BLANK}+(?:{either(STARTERS)}){_BLANK}"
+#: What a likely boundary is no boundary after, and before.
+NO_BOUNDARY = "|".join((
+    rf"(?<={_FREE}(?i:{either(TITLES)})\.{_SHUT})",
+    # Initials, one or several, unless the next sentence plainly begins: after those of a country, after I, after a.m. and p.m.
+    rf"(?<=(?:^|[^\p{{L}}\p{{N}}.])(?:\p{{Lu}}|(?:[A-Za-z]\.){{1,9}}[A-Za-z])\.{_SHUT})(?!(?<=(?:[A-Z]\.[A-Z]|{_BLANK}I)\.{SOFT}){_STARTS}|(?<=[AaPp]\.[Mm]\.{SOFT}){_BLANK}+\p{{Lu}})",
+    rf"(?<={_FREE}(?i:{either(SHORTENED)})\.{SOFT})(?={_BLANK}+(?:[\p{{Ll}}0-9(]|I[ ']))",
+    # The number or letter of a list item, at the start of a line.
+    rf"(?<=(?:^|{HARD}){_BLANK}{{0,30}}\(?(?:[0-9]{{1,3}}|[A-Za-z])\.{SOFT})",
     # Dots that leave a thought open, and shouts inside a sentence.
-    (rf"\.\.\.({_BLANK}+[^\p{{Lu}} \t])", rf"..{DOT}\1"),
-    (rf"({_BLANK})\.({_BLANK})\.({_BLANK})\.", rf"\1{DOT}\2{DOT}\3{DOT}"),
-    (rf"!({_BLANK}+\p{{Ll}})", rf"{BANG}\1"),
-    (rf"([.!?]+[\"'”’)\]]*){_BLANK}+", rf"\1{CUT}"),
-)
+    rf"(?<=\.\.\.{SOFT})(?={_BLANK}+[^\p{{Lu}} \t])",
+    rf"(?<=!{SOFT})(?={_BLANK}+\p{{Ll}})",
+))
+#: The number of a list item behind a sentence.
+NO_ITEM = rf"(?<=[.!?]{SOFT}{_BLANK}{{1,30}}[0-9]{{1,2}}\.{SOFT})"
 #: Stretches of a text: bracketed and quoted ones, what lies between them, and marks that have no partner.
 STRETCH = rf"\([^()\n\r\f]+\)|\"[^\"\n\r\f]+\"|“[^“”\n\r\f]+”|[^(\"“]+|[(\"“]"
 QUOTED = r"^(?:\(.+\)|\".+\"|“.+”)$"
 
-_EDGE = rf"[ \t\n\r\f{CUT}]"
-#: From a text with cuts to pieces between BEGIN and END, and the repair of fragments.
-PIECES = (
-    (rf"^{_EDGE}+|{_EDGE}+$", ""),
-    (rf"[ \t\n\r\f]*{CUT}{_EDGE}*", END + BEGIN),
-)
+#: The repair of fragments, on pieces between BEGIN and END.
 REPAIR = (
     # A lone mark, or up to three characters that end in a colon, joins the piece before.
     (rf"{BEGIN}([):;,–—-]|[^{BEGIN}{END}]{{0,2}}:){END}", rf"{JOIN}\1{END}"),
@@ -97,21 +88,27 @@ def _apply(text: Column, rules: Iterable[tuple[str, str]]) -> Column:
 
 def sentences(text: Column, repaired: bool = True) -> Column:
     """The sentences of a text, in order and stripped; a line's end always ends one. ``repaired=False`` leaves fragments alone."""
-    clean = F.translate(text, MARKS, "")
+    clean = F.when(text.rlike(f"[{MARKS[0]}-{MARKS[-1]}]"), F.translate(text, MARKS, "")).otherwise(text)
     inside = lambda s: F.when(s.rlike(QUOTED), F.translate(s, ".!?", DOT + BANG + WHAT)).otherwise(s)
     kept = F.array_join(F.transform(F.regexp_extract_all(clean, F.lit(STRETCH), F.lit(0)), inside), "")
-    cut = _apply(F.when(clean.rlike(r"[(\"“]"), kept).otherwise(clean), RULES)
-    pieces = _apply(F.translate(cut, DOT + BANG + WHAT, ".!?"), PIECES)
-    return _listed(F.concat(F.lit(BEGIN), pieces, F.lit(END)), repaired)
+    # Behind a quotation that ended inside, another sentence begins with a capital.
+    kept = F.regexp_replace(kept, rf"([{DOT}{BANG}{WHAT}][\"”)])(?={_BLANK}+\p{{Lu}})", f"$1{HARD}")
+    quoted = clean.contains("(") | clean.contains('"') | clean.contains("“")
+    cut = F.regexp_replace(F.when(quoted, kept).otherwise(clean), rf"[.!?][{CLOSERS}]*(?={_BLANK})", f"$0{SOFT}")
+    cut = F.when(clean.contains("\r") | clean.contains("\f"), F.translate(cut, "\n\r\f", HARD * 3)).otherwise(F.replace(cut, F.lit("\n"), F.lit(HARD)))
+    cut = F.regexp_replace(F.regexp_replace(cut, f"{SOFT}(?:{NO_BOUNDARY})", ""), f"{SOFT}{NO_ITEM}", "")
+    pieces = F.split(F.when(quoted, F.translate(cut, DOT + BANG + WHAT, ".!?")).otherwise(cut), f"[{SOFT}{HARD}]")
+    pieces = F.filter(F.transform(pieces, lambda s: F.btrim(s, F.lit(" \t"))), lambda s: s != "")
+    return repair(pieces) if repaired else pieces
 
 
 def repair(pieces: Column) -> Column:
-    """An array of pieces with its fragments joined."""
-    whole = F.concat(F.lit(BEGIN), F.array_join(F.transform(pieces, lambda s: F.translate(s, MARKS, "")), END + BEGIN), F.lit(END))
-    return F.when(F.size(pieces) == 0, pieces).otherwise(_listed(whole, True))
+    """An array of pieces with its fragments joined; without a piece of up to three characters there are none."""
 
+    def mend(held: Column) -> Column:
+        marked = _apply(F.concat(F.lit(BEGIN), F.array_join(held, END + BEGIN), F.lit(END)), REPAIR)
+        return F.split(F.btrim(marked, F.lit(BEGIN + LOWER + END + OPEN)), f"[{END}{OPEN}][{BEGIN}{LOWER}]")
 
-def _listed(marked: Column, repaired: bool) -> Column:
-    if repaired:
-        marked = F.translate(_apply(marked, REPAIR), OPEN + LOWER, END + BEGIN)
-    return F.filter(F.split(F.translate(F.replace(marked, F.lit(END + BEGIN), F.lit(CUT)), BEGIN + END, ""), CUT), lambda s: s != "")
+    # As an array of one, so that the pieces are made once though they are named several times.
+    each = F.transform(F.array(pieces), lambda held: F.when(F.exists(held, lambda s: F.length(s) <= 3), mend(held)).otherwise(held))
+    return F.element_at(each, 1)

@@ -126,12 +126,36 @@ def _sql_apply(t: str, rules) -> str:
     return t
 
 
+# The rules of sentence boundaries without look-around: end marks that end nothing are replaced by stand-ins, one rule after another, then the others are cut.
+# Those inside quotations have a stand-in of their own for the dot: no rule brings it back.
+_QUOTED = S.JOIN + S.BANG + S.WHAT
+_CUT, _FREE, _ANY = S.HARD, r"(^|[^\p{L}\p{N}])", f"[{_QUOTED}]"
+_STARTS = f"([ \t]+(?:{S.either(S.STARTERS)})[ \t])"
+_SENTENCE_RULES = (
+    (r"[\n\r\f]+", _CUT),
+    (rf"({_ANY}[\"”)])[ \t]+(\p{{Lu}})", rf"\1{_CUT}\2"),
+    (r"(^|[^\p{L}\p{N}.])((?:[A-Za-z]\.){1,9}[A-Za-z])\.", rf"\1\2{S.DOT}"),
+    (r"(^|[^\p{L}\p{N}.])(\p{Lu})\.", rf"\1\2{S.DOT}"),
+    (rf"([A-Z][.{S.DOT}][A-Z]|[ \t]I){S.DOT}{_STARTS}", r"\1.\2"),
+    (rf"([AaPp][.{S.DOT}][Mm]){S.DOT}([ \t]+\p{{Lu}})", r"\1.\2"),
+    (rf"{_FREE}((?i:{S.either(S.TITLES)}))\.", rf"\1\2{S.DOT}"),
+    *[(rf"{_FREE}((?i:{S.either(S.SHORTENED)}))\.([ \t]+(?:[\p{{Ll}}0-9(]|I[ ']))", rf"\1\2{S.DOT}\3")] * 2,
+    (rf"(^|{_CUT})([ \t]{{0,30}}\(?(?:[0-9]{{1,3}}|[A-Za-z]))\.([ \t])", rf"\1\2{S.DOT}\3"),
+    (rf"([.{S.DOT}][.{S.DOT}])\.([ \t]+[^\p{{Lu}} \t])", rf"\1{S.DOT}\2"),
+    (r"!([ \t]+\p{Ll})", rf"{S.BANG}\1"),
+    (r"([.!?][ \t]{1,30}[0-9]{1,2})\.([ \t])", rf"\1{S.DOT}\2"),
+    (rf"([.!?]+[{S.CLOSERS}]*)[ \t]+", rf"\1{_CUT}"),
+)
+_EDGE = rf"[ \t\n\r\f{_CUT}]"
+_PIECES = ((rf"^{_EDGE}+|{_EDGE}+$", ""), (rf"[ \t\n\r\f]*{_CUT}{_EDGE}*", S.END + S.BEGIN))
+
+
 def sql_sentences(t: str, repaired: bool = True) -> str:
-    clean, end_marks = f"translate({t}, '{S.MARKS}', '')", S.DOT + S.BANG + S.WHAT
-    kept = f"array_to_string(list_transform(regexp_extract_all({clean}, {lit(S.STRETCH)}), lambda s: CASE WHEN regexp_matches(s, {lit(S.QUOTED)}) THEN translate(s, '.!?', '{end_marks}') ELSE s END), '')"
-    pieces = _sql_apply(f"translate({_sql_apply(kept, S.RULES)}, '{end_marks}', '.!?')", S.PIECES)
+    clean = f"translate({t}, '{S.MARKS}', '')"
+    kept = f"array_to_string(list_transform(regexp_extract_all({clean}, {lit(S.STRETCH)}), lambda s: CASE WHEN regexp_matches(s, {lit(S.QUOTED)}) THEN translate(s, '.!?', '{_QUOTED}') ELSE s END), '')"
+    pieces = _sql_apply(f"translate({_sql_apply(kept, _SENTENCE_RULES)}, '{_QUOTED}{S.DOT}', '.!?.')", _PIECES)
     mended = f"translate({_sql_apply(f"'{S.BEGIN}' || {pieces} || '{S.END}'", S.REPAIR if repaired else ())}, '{S.OPEN}{S.LOWER}', '{S.END}{S.BEGIN}')"
-    return f"list_filter(string_split(translate(replace({mended}, '{S.END}{S.BEGIN}', '{S.CUT}'), '{S.BEGIN}{S.END}', ''), '{S.CUT}'), lambda s: s <> '')"
+    return f"list_filter(string_split(translate(replace({mended}, '{S.END}{S.BEGIN}', '{_CUT}'), '{S.BEGIN}{S.END}', ''), '{_CUT}'), lambda s: s <> '')"
 
 
 _SHELL = (

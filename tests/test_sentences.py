@@ -33,6 +33,30 @@ def test_boundaries(spark):
         assert "".join(got).replace(" ", "") == re.sub(r"\s", "", text)
 
 
+def test_the_twin_without_look_around_says_the_same(spark):
+    import random
+
+    import duckdb
+
+    from tessera.plans.views import sql_sentences
+
+    pick = random.Random(11)
+    parts = ["Dr", "etc", "e.g", "U.S", "a.m", "P.M", "I", "J", "x", "The", "word", "5", "12", "(", ")", '"', "”", "“", "'", ".", ".", ". ", ". ", "! ", "? ", "...", " ", " ", "\n", "No", "fig", "He", "Being", "é", "É", "?!", ".) ", '." ', "\t", ":", "-"]
+    texts = [t for t, _ in CASES] + ["".join(pick.choice(parts) for _ in range(pick.randrange(30))) for _ in range(6000)]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(i INTEGER, t VARCHAR)")
+    import pandas as pd
+
+    frame = pd.DataFrame({"i": range(len(texts)), "t": texts})
+    con.execute("INSERT INTO t SELECT * FROM frame")
+    for repaired in (True, False):
+        want = dict(con.execute(f"SELECT i, {sql_sentences('t', repaired)} FROM t").fetchall())
+        got = split(spark, texts, repaired=repaired)
+        assert [(t, got[i], want[i]) for i, t in enumerate(texts) if got[i] != want[i]] == []
+    assert len(frame) == len(texts)
+
+
 def plain_repair(pieces):
     done = []
     for s in pieces:
@@ -66,7 +90,7 @@ def test_repair_of_all_documents_and_of_fragments(spark):
 
 
 def test_texts_that_hold_the_marks_lose_only_these(spark):
-    assert split(spark, [f"One.{segment.CUT} Two{segment.DOT} x.{segment.BEGIN}"]) == [["One.", "Two x."]]
+    assert split(spark, [f"One.{segment.HARD} Two{segment.DOT} x.{segment.BEGIN}"]) == [["One.", "Two x."]]
 
 
 def test_a_long_text_takes_time_in_proportion(spark):
