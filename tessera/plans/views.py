@@ -16,6 +16,7 @@ from ..functions import segment as S
 from ..functions import text as X
 from ..functions.numeric import q6
 from ..operators import filters, sentences
+from ..sources.sinks import written
 
 
 def lit(s: str) -> str:
@@ -30,10 +31,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 class Views:
-    """Tables of one scale directory; each is read with the columns a query asks for and nothing is cached."""
+    """Tables of one scale directory; each is read with the columns a query asks for and nothing is cached.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    ``held``: for queries that use the sentences three times or more. They are cut and scored once, written, and read again.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, held: bool = False):
+        self.spark, self.dir, self.held, self._written = spark, sf_dir, held, None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -43,10 +47,17 @@ class Views:
         return spread(d.select(F.col("lang").alias("corpus_id"), F.col("doc_id").cast("string").alias("doc_path"), F.col("text").alias("content")))
 
     def sentences(self) -> DataFrame:
-        return sentences.sentence_table(self.docs())
+        return self.scores().select("corpus_id", "doc_path", "sent_idx", "sent_text", "sent_id") if self.held else sentences.sentence_table(self.docs())
 
     def scores(self) -> DataFrame:
-        s = self.sentences()
+        if not self.held:
+            return self._scores()
+        if self._written is None:
+            self._written = written(self._scores(), "scores")
+        return self._written
+
+    def _scores(self) -> DataFrame:
+        s = sentences.sentence_table(self.docs())
         ratio = X.alpha_ratio(F.col("sent_text"))
         return s.withColumns({"score": X.uniform(F.col("sent_id")), "score2": X.uniform(F.lit("run2"), F.col("sent_id")), "score3": X.uniform(F.lit("run3"), F.col("sent_id")), "percent": q6(100 * ratio), "no_unit": ~F.col("sent_text").rlike(r"\p{L}")})
 
