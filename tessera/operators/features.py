@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import text as X
 
 
@@ -21,10 +22,12 @@ def idf(sentences: DataFrame, text: str = "sent_text") -> DataFrame:
 
 
 def term_counts(sentences: DataFrame, text: str = "sent_text") -> DataFrame:
-    """``corpus_id, sent_id, token, tf, n``: distinct lower-cased tokens of a sentence with their counts, made within the row."""
-    lowered = F.transform(X.tokens(F.col(text)), F.lower)
-    each = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("token"), F.size(F.filter("t", lambda x: x == w)).alias("tf")))
-    return sentences.withColumn("t", lowered).select("corpus_id", "sent_id", F.size("t").alias("n"), F.explode(each).alias("e")).select("corpus_id", "sent_id", "e.token", F.col("e.tf").cast("long").alias("tf"), "n")
+    """``corpus_id, sent_id, token, tf, n``: distinct lower-cased tokens of a sentence with their counts, made within the row by sorting it."""
+    rows = sentences.select("corpus_id", "sent_id", F.array_sort(F.transform(X.tokens(F.col(text)), F.lower)).alias("t")).where(F.size("t") > 0)
+    fresh = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    rows = rows.withColumn("s", fresh)
+    each = F.transform("s", lambda i, k: F.struct(F.get("t", i).alias("token"), (F.coalesce(F.get("s", k + 1), F.size("t")) - i).cast("long").alias("tf")))
+    return rows.select("corpus_id", "sent_id", F.size("t").alias("n"), F.explode(each).alias("e")).select("corpus_id", "sent_id", "e.token", "e.tf", "n")
 
 
 def tfidf(sentences: DataFrame, text: str = "sent_text") -> DataFrame:
@@ -46,11 +49,13 @@ def densities(sentences: DataFrame, text: str = "sent_text") -> DataFrame:
     """Rows with class shares of their tokens, mean shape points, token and character counts; all 0 without tokens."""
     n = F.size("__t")
     share = lambda c: F.coalesce(F.try_divide(c, n), F.lit(0.0))
-    rows = sentences.withColumn("__t", X.tokens(F.col(text)))
-    out = {name: share(F.size(F.filter("__t", test))) for name, test in DENSITIES.items()}
-    out["assignment_parameter_density"] = share(F.size(F.filter("__t", X.is_assignment)) + X.assignment_spans(F.col(text)))
-    out["token_shape_complexity_mean"] = share(F.aggregate("__t", F.lit(0), lambda s, t: s + X.shape_points(t)))
-    return rows.withColumns(out | {"token_count": n.cast("long"), "char_count": F.length(text).cast("long")}).drop("__t")
+    # Words in small letters, the usual case, are of no class, unless they are commands, and have no shape points.
+    plain = lambda t: t.rlike(r"^\p{Ll}+$") & ~t.rlike(P.COMMAND)
+    rows = sentences.withColumn("__t", X.tokens(F.col(text))).withColumn("__odd", F.filter("__t", lambda t: ~plain(t)))
+    out = {name: share(F.size(F.filter("__odd", test))) for name, test in DENSITIES.items()}
+    out["assignment_parameter_density"] = share(F.size(F.filter("__odd", X.is_assignment)) + X.assignment_spans(F.col(text)))
+    out["token_shape_complexity_mean"] = share(F.aggregate("__odd", F.lit(0), lambda s, t: s + X.shape_points(t)))
+    return rows.withColumns(out | {"token_count": n.cast("long"), "char_count": F.length(text).cast("long")}).drop("__t", "__odd")
 
 
 def feature_table(sentences: DataFrame, text: str = "sent_text") -> DataFrame:

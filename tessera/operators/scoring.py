@@ -200,6 +200,31 @@ def covered(rows: DataFrame, scorer: Scorer, key: str, identity: Callable[[], No
     return got
 
 
+def edited(cases: DataFrame, editor: Callable[[list[str], int], list[str]], gate: Callable[[DataFrame], DataFrame], key: list[str], text: str = "original", most: int = 3) -> DataFrame:
+    """The attempt log of an editor: ``key..., attempt, edited, reasons, accepted``; a case is tried until its gate has no reasons, ``most`` times at most.
+
+    ``editor`` gets the texts of a batch and the attempt's number, and gives as many texts. ``gate`` adds ``gate_reasons``, an array, to the
+    rows with their ``edited`` text. Each round is written, so a lost executor repeats a task of one round and no accepted
+    case is edited again; the number of rounds is bounded. Cases with a null text are not tried.
+    """
+    log, pending = None, cases.where(F.col(text).isNotNull())
+    for attempt in range(1, most + 1):
+
+        class Round:
+            name = "editor"
+
+            def __call__(self, texts, attempt=attempt):
+                return editor(texts, attempt)
+
+        made = gate(score(pending, Round(), text, "edited", kind=T.StringType()))
+        done = written(made.withColumn("attempt", F.lit(attempt)).select(*cases.columns, "attempt", "edited", F.col("gate_reasons").alias("reasons"), (F.size("gate_reasons") == 0).alias("accepted")), "attempts")
+        log = done if log is None else log.union(done)
+        pending = done.where("not accepted").select(*cases.columns)
+        if pending.isEmpty():
+            break
+    return log.select(*key, "attempt", "edited", "reasons", "accepted")
+
+
 def unscored(rows: DataFrame, have: DataFrame, key: str = "sent_id", text: str = "text") -> DataFrame:
     """Rows without a score for the same content: the cache is keyed by id and digest, not by a count of lines."""
     return rows.withColumn("content_id", F.sha2(text, 256)).join(have.select(key, "content_id"), [key, "content_id"], "left_anti")

@@ -169,3 +169,46 @@ def _(v):
     ask = {"tag": "hash", "digest": "1"}
     got = scoring.covered(v.sentences().select("sent_id", F.col("sent_id").alias("text")), scoring.HashScorer(), "sent_id", lambda: governance.preflight(ask, {"tag": "hash"}, ("hash", ["hash"])))
     return got.agg(F.count(F.lit(1)).alias("n"), q6(F.sum("score")).alias("total"))
+
+
+def _again(texts: list[str], attempt: int) -> list[str]:
+    """A surrogate editor: each attempt says one thing more."""
+    return [f"{t} and {'more ' * attempt}" for t in texts]
+
+
+@query("x6_editor", "SELECT case_id, slot, attempt, length(original) AS chars, attempt = need AS accepted FROM (SELECT case_id, slot, original, need, unnest(range(1, least(need, 3) + 1)) AS attempt FROM (SELECT *, 1 + length(original) % 5 AS need FROM pairs))")
+def _(v):
+    """Cases are accepted at the attempt that their text's length asks for, from 1 to 5; three are made at most."""
+    wanted = 1 + F.length("original") % 5
+    more = F.regexp_count("edited", F.lit("more ")) - F.regexp_count("original", F.lit("more "))
+    gate = lambda d: d.withColumn("gate_reasons", F.when(more == wanted, F.array().cast("array<string>")).otherwise(F.array(F.lit("too_little"))))
+    cases = v.pairs().select("case_id", "slot", "original")
+    log = scoring.edited(cases, _again, gate, ["case_id", "slot", "original"])
+    return log.select("case_id", "slot", F.col("attempt").cast("long").alias("attempt"), F.length("original").cast("long").alias("chars"), "accepted")
+
+
+@query("s1_manifest", "SELECT DISTINCT corpus_id AS id, corpus_id || '/**/*.md' AS include, 2 AS globs, '**/skip.md' AS exclude FROM docs")
+def _(v):
+    known = sorted(r["corpus_id"] for r in v.docs().select("corpus_id").distinct().collect())  # a row a corpus
+    text = "corpora:\n" + "".join(f"  - id: {c}  # a language\n    include:\n      - '{c}/**/*.md'\n      - more/*.rst\n    exclude: ['**/skip.md']\n" for c in known)
+    rows = [(m["id"], m["include"][0], len(m["include"]), m["exclude"][0]) for m in readers.manifest(text)]
+    return v.spark.createDataFrame(rows, "id string, include string, globs int, exclude string")
+
+
+@query("s13_archive_member", _STAT)
+def _(v):
+    """A table's rows as members of a packed archive, the same bytes in whatever order they are put in; each is read back by its name."""
+    rows = {f"stats/{r['corpus_id']}.json": json.dumps(r.asDict()).encode() for r in _stats(v).collect()}  # a row a corpus
+    packed = sinks.archive(rows)
+    if packed != sinks.archive(dict(reversed(rows.items()))):
+        raise AssertionError("the archive depends on the order of its members")
+    back = [json.loads(readers.archive_member(packed, name)) for name in rows]
+    return v.spark.createDataFrame([(b["corpus_id"], b["n"], b["mean"], b["least"]) for b in back], "corpus_id string, n long, mean double, least double")
+
+
+@query("m3_override", "SELECT event_type, count(*) AS n FROM events WHERE value >= 25.5 GROUP BY 1")
+def _(v):
+    """A protocol's bound replaced at its pointer, which is one of those that may be; then applied."""
+    protocol = governance.override({"bounds": {"value": [1.0, 99.0]}}, {"/bounds/value/0": 25.5}, {"/bounds/value/0"})
+    governance.frozen(protocol, {"bounds": {"value": [25.5, 99.0]}})
+    return v.table("events").where(F.col("value") >= protocol["bounds"]["value"][0]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
