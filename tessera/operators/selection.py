@@ -68,7 +68,8 @@ def divergence(rows: DataFrame, score: str, proxy: str, key: str, by: list[str],
     Mid-range rows are the k nearest in score to the middle row, out of the 4 k around it.
     """
     # Only rows at an edge of the scores, or around their middle, can be picked: what is left of the ranking is small, and written once.
-    d = edges(edges(rows.select(*by, key, score, proxy), proxy, key, by, "proxy_edge"), score, key, by, "score_edge")
+    base = written(rows.select(*by, key, score, proxy), "divergence")  # ranges are drawn from a first reading, rows dealt in a second
+    d = edges(edges(base, proxy, key, by, "proxy_edge"), score, key, by, "score_edge")
     off = F.col("score_edge_position") - 1 - F.floor(F.col("score_edge_total") / 2)
     picked = (F.col("score_edge_position") <= k) | (F.abs(off) <= 2 * k) | F.col("score_edge").isin("high", "low") & F.col("proxy_edge").isin("high", "low") & (F.col("score_edge") != F.col("proxy_edge"))
     d = written(d.withColumn("off", off).where(picked), "ranked")
