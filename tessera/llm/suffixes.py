@@ -168,8 +168,8 @@ def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
             if batch.num_rows:
                 yield from _compare(batch, k, least, reach)
 
-    # Sorted by more than the k-gram, so that a very frequent one is spread over tasks.
-    sorted_rows = array.select(*order, "left").repartitionByRange(*order).sortWithinPartitions(*order)
+    # Dealt by more than the k-gram, so that a very frequent one is spread over tasks; by few bytes, for the driver gets a sample of them.
+    sorted_rows = array.select(*order, "left").repartitionByRange("gram", F.substring("right", 1, 16), "digest", "pos").sortWithinPartitions(*order)
     found = written(sorted_rows.mapInArrow(neighbours, "digest binary, start int, stop int, pos int, passage long"), "neighbours")
     # Groups that a batch may hold in part: what is in one text of a batch and in another one elsewhere.
     apart = found.where("passage is not null")
