@@ -18,11 +18,11 @@ def split(spark, texts, **options):
 
 
 CASES = [
-    ("Hello there. My name is Ann.", 2), ("Is it so? It is! Good.", 3), ("Dr. Smith et al. wrote, e.g. in Fig. 3, that U.S. rates rose.", 1), ("My name is Ann E. Smith.", 1),
-    ("Please turn to p. 55 of vol. 2.", 1), ("Were Jane and co. at the party?", 1), ("Let's ask Jane and co. They should know.", 2), ("I can see Mt. Fuji from here.", 1),
-    ("At 5 a.m. Mr. Smith left. He went at 6 p.m. to the store.", 3), ("I live in the U.S. How about you?", 2), ("They work for the U.S. Government there.", 1), ("She has $100.00 and version 1.2.3 of it.", 1),
-    ('He turned, "This is great." and left.', 1), ('He said "This is great." She left.', 2), ("He teaches (he worked there. for years.) at the school.", 1), ("1. The first item. 2. The second item.", 2),
-    ("a. one item\nb. two items\n\nand more", 3), ("Thoughts ... or not. And so... it goes.", 2), ("Yahoo! is a site. Wow!! Then nothing.", 3), ("See www.example.com/a.b and x@y.z now. End.", 2),
+    ("Good day. This is a test.", 2), ("Is it so? It is! Good.", 3), ("Dr. Smith et al. wrote, e.g. in Fig. 3, that U.S. rates rose.", 1), ("It was written by Ann E. Smith.", 1),
+    ("The map is on p. 55 of vol. 2.", 1), ("Did Brown and co. build the bridge?", 1), ("It was built by Brown and co. They are gone.", 2), ("The path leads to Mt. Kenya first.", 1),
+    ("At 5 a.m. Mr. Brown left. He came at 6 p.m. to the farm.", 3), ("It came from the U.S. How did it travel?", 2), ("It belongs to the U.S. Navy there.", 1), ("It costs $100.00 in version 1.2.3 of it.", 1),
+    ('He turned, "This is great." and left.', 1), ('He said "This is great." She left.', 2), ("The house (it stood there. for years.) is gone.", 1), ("1. The first item. 2. The second item.", 2),
+    ("a. one item\nb. two items\n\nand more", 3), ("Thoughts ... or not. And so... it goes.", 2), ("Stop! is what it says. Oh!! Then nothing.", 3), ("See www.example.com/a.b and x@y.z now. End.", 2),
     ("No. 5 is alive. Prof. Dr. J. K. Rowling spoke.", 2), ("It was approx. etc. fine.", 1), ("no end mark", 1), ("", 0), (" \n\t ", 0), ("So do I. The others too.", 2), ("\u201cOne. Two.\u201d Then (three. four.) five.", 2),
 ]
 
@@ -101,16 +101,38 @@ def test_a_long_text_takes_time_in_proportion(spark):
 # --- edited sentences ----------------------------------------------------------------------------
 
 
-def plain_tokens(t):
-    return [m[0].casefold() for m in re.finditer(r"\b\w+(?:[-./:]\w+)*\b", unicodedata.normalize("NFKC", t))]
+# What counts as a concrete marker, in Python's patterns.
+MARKERS = {
+    "address": r"(?i)https?://\S+",
+    "path": r"(?<!\w)(?:[A-Za-z]:\\[^\s,;]+|/[^\s,;]+)",
+    "flag": r"(?<!\w)--?[A-Za-z][A-Za-z0-9-]*",
+    "number": r"(?<!\w)\d+(?:\.\d+)*(?!\w)",
+    "snake": r"\b[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+\b",
+    "camel": r"\b(?:[a-z]+[A-Z][A-Za-z0-9]*|[A-Z][a-z]+[A-Z][A-Za-z0-9]*)\b",
+    "code": r"`+([^`]+?)`+",
+}
 
 
 def plain_markers(t):
-    found = []
-    for p in (r"(?i)https?://\S+", r"(?<!\w)(?:[A-Za-z]:\\[^\s,;]+|/[^\s,;]+)", r"(?<!\w)--?[A-Za-z][A-Za-z0-9-]*", r"(?<!\w)\d+(?:\.\d+)*(?!\w)", r"\b[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+\b", r"\b(?:[a-z]+[A-Z][A-Za-z0-9]*|[A-Z][a-z]+[A-Z][A-Za-z0-9]*)\b"):
-        found += [m[0].casefold().rstrip(".,;:)\"]'") for m in re.finditer(p, t)]
-    found += [m[1].strip().casefold() for m in re.finditer(r"`+([^`]+?)`+", t)]
-    return sorted(x for x in found if x)
+    out = []
+    for kind, pattern in MARKERS.items():
+        for found in re.findall(pattern, t):
+            out.append(found.strip().casefold() if kind == "code" else found.casefold().rstrip(P.MARKER_TAIL))
+    return sorted(filter(None, out))
+
+
+def plain_tokens(t):
+    """Word by word: a run of letters, digits and underscores, and further runs that one of - . / : ties to it."""
+    out, at, t = [], 0, unicodedata.normalize("NFKC", t)
+    inside = lambda i: i < len(t) and (t[i].isalnum() or t[i] == "_")
+    while at < len(t):
+        end = at
+        while inside(end) or (end > at and end < len(t) and t[end] in "-./:" and inside(end + 1)):
+            end += 1
+        if end > at:
+            out.append(t[at:end].casefold())
+        at = max(end, at + 1)
+    return out
 
 
 def plain_integrity(original, edited):
@@ -143,9 +165,9 @@ def test_words_markers_and_integrity_of_all_turns(spark):
 
 
 @pytest.mark.parametrize(("original", "edited", "kind", "reasons"), [
-    ("Restart the service after deployment.", "Restart the nginx 1.24 service after deployment.", "add_specific", []), ("Restart nginx 1.24 after deployment.", "Restart the service after deployment.", "de_specify", []),
-    ("Restart nginx 1.24 after deployment.", "After deployment, restart nginx 1.24.", "irrelevant_rewrite", []), ("You can restart it.", "You should restart it now.", "add_specific", ["modality_changed"]),
-    ("Do not restart it.", "Restart it now.", "add_specific", ["polarity_changed"]), ("Restart it.", "Restart it now. Confirm success.", "add_specific", ["multiple_sentences"]), ("Restart it.", "Restart it for 测试.", "add_specific", ["new_non_latin_script"]),
+    ("Reload the server after each release.", "Reload the apache 2.4 server after each release.", "add_specific", []), ("Reload apache 2.4 after each release.", "Reload the server after each release.", "de_specify", []),
+    ("Reload apache 2.4 after each release.", "After each release, reload apache 2.4.", "irrelevant_rewrite", []), ("You may reload it.", "You must reload it now.", "add_specific", ["modality_changed"]),
+    ("Never reload it.", "Reload it now.", "add_specific", ["polarity_changed"]), ("Reload it.", "Reload it now. Check the result.", "add_specific", ["multiple_sentences"]), ("Reload it.", "Reload it for проба.", "add_specific", ["new_non_latin_script"]),
 ])
 def test_gates(spark, original, edited, kind, reasons):
     got = filters.gate(spark.createDataFrame([(original, edited, kind)], "original string, edited string, edit_type string")).first()["gate_reasons"]
