@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, langid, merkle, pii, secrets, simhash, suffixes, urls
+from . import bpe, decontaminate, embeddings, langid, merkle, mixing, periodic, pii, secrets, simhash, suffixes, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,7 +88,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *_counts(secrets.KINDS), *_digests())
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_merkle_fixity, op3_decontamination, op4_embedding_groups, op5_repeated_passages, op6_bpe, op7_pii, op8_url_filter, op9_simhash, op10_secrets)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = periodic.planted_runs(table(spark, sf_dir, "documents"))
+    return got.withColumn("exponent_milli", F.expr("1000 * length div period")).drop("n_words")
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_merkle_fixity, op3_decontamination, op4_embedding_groups, op5_repeated_passages, op6_bpe, op7_pii, op8_url_filter, op9_simhash, op10_secrets, op12_periodic_runs, op13_source_mix)}
 
 _UPPER, _LOWER = urls.UPPER, urls.LOWER
 
@@ -145,4 +154,38 @@ SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, ve
 FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
-SQL = {"op2_merkle_fixity": _OP2_SQL, "op4_embedding_groups": _OP4_SQL, "op3_decontamination": _OP3_SQL, "op8_url_filter": _op8_sql()}
+
+
+def _op13_sql() -> str:
+    """Targets by the level that meets limits; two fillings by rank and the closing document, with windows over whole sources."""
+    weights, bits = list(mixing.WEIGHTS), mixing.BITS
+
+    def fill(k: int) -> str:
+        """Rows not taken before that fit, the first rank beyond the words left, and what then is left."""
+        return f"""
+c{k} AS (SELECT r{k}.*, CASE WHEN NOT took AND place IS NOT NULL AND size > 0 AND size <= lft THEN sum(CASE WHEN NOT took AND place IS NOT NULL AND size > 0 AND size <= lft THEN size END) OVER (PARTITION BY name ORDER BY place NULLS LAST RANGE UNBOUNDED PRECEDING) END AS upto FROM r{k}),
+k{k} AS (SELECT *, coalesce(upto <= lft, false) AS now FROM c{k}),
+r{k + 1} AS (SELECT name, source, doc_id, size, source_size, target, whole, place, took OR now AS took, lft - coalesce(sum(CASE WHEN now THEN size END) OVER (PARTITION BY name), 0) AS lft FROM k{k})"""
+
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce('=' || source, '-') AS name, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+           (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, {bits // 4}) AS BIGINT) + 0.5::DOUBLE) / {1 << bits}::DOUBLE AS u FROM documents),
+s AS (SELECT name, source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY ALL),
+w AS (SELECT *, CAST({mixing.MOST} * source_size AS BIGINT) AS lim, {weights}[(row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(weights)} + 1] AS weight FROM s),
+o AS (SELECT *, sum(source_size) OVER () AS whole_size, coalesce(sum(lim) OVER (ORDER BY lim / weight, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+             sum(weight) OVER (ORDER BY lim / weight, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+f AS (SELECT *, lim * rest <= (whole_size - before) * weight AS is_full FROM o),
+g AS (SELECT *, coalesce(sum(CASE WHEN is_full THEN lim END) OVER (), 0) AS spent, sum(CASE WHEN NOT is_full THEN weight END) OVER () AS open_weight FROM f),
+t AS (SELECT name, source_size, CASE WHEN is_full THEN CAST(lim AS DOUBLE) ELSE CAST((whole_size - spent) * weight AS DOUBLE) / open_weight END AS target FROM g),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+q AS (SELECT *, greatest(0, CAST(floor(target + 0.5) AS BIGINT) - whole * source_size) AS lft FROM p),
+x AS (SELECT d.*, source_size, target, whole, lft, CASE WHEN lft > 0 AND lft < source_size THEN (u / (1 - u)) / ((lft / source_size) / (1 - lft / source_size)) END AS odds FROM d JOIN q USING (name)),
+r1 AS (SELECT *, CAST(floor(odds / (1 + odds) * {1 << bits}::DOUBLE) AS BIGINT) AS place, false AS took FROM x),{fill(1)},{fill(2)},
+near AS (SELECT name, place, sum(size) AS size, any_value(lft) AS lft FROM r3 WHERE NOT took AND place IS NOT NULL AND size > 0 AND size < 2 * lft GROUP BY name, place),
+last AS (SELECT name, place AS last FROM near WHERE size < 2 * lft QUALIFY row_number() OVER (PARTITION BY name ORDER BY abs(size - lft), place) = 1)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN size > 0 AND (took OR (coalesce(place = last, false) AND size < 2 * lft)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r3 LEFT JOIN last USING (name)
+"""
+
+
+SQL = {"op13_source_mix": _op13_sql(), "op2_merkle_fixity": _OP2_SQL, "op4_embedding_groups": _OP4_SQL, "op3_decontamination": _OP3_SQL, "op8_url_filter": _op8_sql()}

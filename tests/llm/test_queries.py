@@ -2,10 +2,14 @@
 
 import hashlib
 import re
+import zlib
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, pii, queries, secrets
+from tessera.llm import bpe, langid, mixing, periodic, pii, queries, secrets
 
 from .test_corpus import PII_TEXTS, plain_components, plain_fingerprint, plain_groups, plain_pii, plain_scan, prose
 
@@ -212,3 +216,127 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
         want.append((r[0], len(ids), SHA(" ".join(map(str, ids))), SHA(tok.decode(ids, skip_special_tokens=False))))
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)
     assert any(r[0] == 10**6 + 2 for r in want) and len(want) < len(rows) - 3
+
+
+def plain_runs(words):
+    """Maximal stretches for each period by trying every place; only those whose smallest period it is."""
+    n, out = len(words), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            stretch = words[i : j + q]
+            if j > i and len(stretch) >= max(6, 4 * q) and all(any(stretch[x] != stretch[x + p] for x in range(len(stretch) - p)) for p in range(1, q)):
+                out.append((i, len(stretch), q))
+            i = max(j, i) + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def plain_collapsed(words, found):
+    return [w for i, w in enumerate(words) if not any(a + q <= i < a + n for a, n, q in found)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=60), st.integers(0, 60), st.integers(1, 9), st.booleans(), st.sampled_from([1, 8, 1 << 20]))
+def test_runs_equal_all_stretches(words, start, period, spoil, most):
+    words = [w if i < start else words[start + (i - start) % min(period, len(words) - start)] for i, w in enumerate(words)]
+    if spoil and len(words) > 20:
+        words[17] = 7
+    named = [str(w).encode() for w in words]
+    got = periodic.runs(periodic.numbered(named), most)
+    assert [tuple(r) for r in got.tolist()] == plain_runs(words)
+    assert [w for w, s in zip(words, periodic.kept_words(len(words), got), strict=True) if s] == plain_collapsed(words, plain_runs(words))
+
+
+def test_op12(spark, tmp_path):
+    """All texts of the planted tables, and many ids, so that repeats of several shapes are planted."""
+    texts = [*TEXTS, "a " * 9, "x y x y x y x y z", "　wide space " * 7, "one", None, "", " \t\n"]
+    rows = [(i, texts[i % len(texts)], "z") for i in range(400)] + [(None, "ha " * 12, "z"), (3, texts[3], "z")]
+    spark.createDataFrame(rows, "doc_id long, text string, period string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in queries.op12_periodic_runs(spark, str(tmp_path)).collect():
+        assert got.setdefault(r["doc_id"], r) == r
+    n_planted = 0
+    for i, text, _ in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        h = zlib.crc32(str(i).encode())
+        if i is not None and h % 10 == 0 and words:
+            a = h // 10 % len(words)
+            p = 1 + (len(words) - a) // (3 + h // 10 % 8)
+            words = [w if j < a else words[a + (j - a) % p] for j, w in enumerate(words)]
+            n_planted += 1
+        if len(words) > 1000:
+            continue
+        found = plain_runs(words)
+        best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=(None,) * 3)
+        listed = "".join(f"{a},{n},{q}\n" for a, n, q in found)
+        want = (len(found), *best, SHA(listed), SHA(" ".join(plain_collapsed(words, found))), None if best[0] is None else 1000 * best[1] // best[2])
+        assert tuple(got[i][c] for c in ("n_runs", "start", "length", "period", "runs_sha256", "collapsed_sha256", "exponent_milli")) == want, i
+    assert n_planted > 20
+    assert queries.periodic.periodic_runs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_repeats_are_one_run(spark):
+    df = spark.createDataFrame([("word " * 200_000,), (" ".join(f"w{i % 50_000}" for i in range(200_000)),)], "text string").selectExpr("length(text) AS doc_id", "text")
+    got = periodic.periodic_runs(df).orderBy("period").collect()
+    assert [(r["n_runs"], r["start"], r["length"], r["period"]) for r in got] == [(1, 0, 200_000, 1), (1, 0, 200_000, 50_000)]
+    assert got[0]["collapsed"] == "word" and len(got[1]["collapsed"].split()) == 50_000
+
+
+def mixed(spark, rows, **how):
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, size string, target string"), **how).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["source"], []).append(r)
+    return got, by
+
+
+def test_mix_reaches_targets(spark):
+    rows = [(i, " ".join(["w"] * (1 + i * 7919 % 97)), ("a", "b", "c", "d", None, "none")[min(5, i % 11)], "s", "t") for i in range(3000)]
+    rows += [(None, None, "a", "s", "t"), (None, "", None, "s", "t"), (9000, " ".join(["long"] * 20_000), "b", "s", "t"), (9001, None, "empty", "s", "t")]
+    got, by = mixed(spark, rows)
+    assert len(got) == len(rows) and sorted(r["doc_id"] or -1 for r in got) == sorted(r[0] or -1 for r in rows)
+    total = sum(r["size"] for r in got)
+    assert abs(sum(rs[0]["target"] for rs in by.values()) - total) < 1e-6 * total
+    names = sorted((s for s in by if s is not None)) + [None]
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    levels = []
+    for s, rs in by.items():
+        size, target = rs[0]["source_size"], rs[0]["target"]
+        assert size == sum(r["size"] for r in rs) and target <= 3 * size
+        if target < 3 * size:
+            levels.append(target / weights[s])
+        assert abs(sum(r["taken"] for r in rs) - target) <= 1, s
+        assert all(r["taken"] == r["copies"] * r["size"] and r["copies"] <= 3 for r in rs)
+    assert max(levels) - min(levels) < 1e-6 * max(levels)  # one level for all that have no limit
+    assert all(3 * rs[0]["source_size"] <= max(levels) * weights[s] for s, rs in by.items() if rs[0]["target"] == 3 * rs[0]["source_size"])
+    again, _ = mixed(spark, list(reversed(rows)))
+    key = lambda r: (r["doc_id"] or -1, r["source"] or "", r["taken"])
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
+def test_mix_narrows_ranges_until_few_rows_are_left(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 5), "ab"[i % 3 == 0], "s", "t") for i in range(5000)]
+    whole, _ = mixed(spark, rows)
+    monkeypatch.setattr(mixing, "FEW", 1)
+    monkeypatch.setattr(mixing, "SOURCES", 0)
+    narrow, _ = mixed(spark, rows)
+    assert sorted((r["doc_id"], r["taken"]) for r in whole) == sorted((r["doc_id"], r["taken"]) for r in narrow)
+
+
+def test_mix_by_merit_includes_by_odds(spark):
+    rows = [(i, "w " * 3, "ab"[i % 2], "s", "t") for i in range(8000)]
+    got, by = mixed(spark, rows, weights=(1, 9), merit=F.when(F.col("doc_id") % 4 == 0, 3.0).when(F.col("doc_id") % 8 == 2, 0.0).otherwise(1.0))
+    picked = lambda rest: sum(r["copies"] for r in by["a"] if r["doc_id"] % 8 in rest)
+    assert abs(sum(r["taken"] for r in by["a"]) - by["a"][0]["target"]) <= 3
+    # f = 0.2 of a's words: odds 3 to 1 to 0 for halves, quarters and quarters of its documents.
+    assert picked((2,)) == 0 and 2.2 < picked((0, 4)) / 2 / picked((6,)) < 4
+
+
+def test_mix_of_equal_rows_and_nothing(spark):
+    assert mixed(spark, [])[0] == []
+    assert {r["taken"] for r in mixed(spark, [(1, None, "a", "", "")])[0]} == {0}
+    got, by = mixed(spark, [(1, "same words here", "a", "", "")] * 30 + [(2, "b", "b", "", "")] * 30)
+    assert len(got) == 60 and all(r["taken"] <= 3 * r["size"] for r in got)
