@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
 
     ``merit`` multiplies a document's inclusion odds; null or below zero counts as zero, which only certain copies can take. The sample
     of a source is filled in rank order up to its words, once more with the documents that still fit, and closed with the
-    one document that brings it nearest. So a source misses its target by less than half of any document left out.
+    one document that brings it nearest. So no document left out would alone bring a source nearer to its target.
     A null text has no words, and a source without words a target of zero; a null source is a source. Rows that agree in key, text and source
     are taken together or not at all. Other columns, whatever their names, are not read.
     """

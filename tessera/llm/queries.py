@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, langid, merkle, mixing, periodic, pii, secrets, simhash, suffixes, urls
+from . import bpe, decontaminate, embeddings, features_at, langid, merkle, mixing, periodic, pii, secrets, simhash, suffixes, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *_counts(secrets.KINDS), *_digests())
 
 
+def op11_features_at_sale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sale is looked at up to three days after it, by the CRC-32 of its id."""
+    sales, clicks, lines = (table(spark, sf_dir, t) for t in ("sales", "clicks", "sale_lines"))
+    return features_at.features_at(sales, clicks, lines, F.crc32(F.col("sale_id").cast("string").cast("binary")) % 259200 * features_at.SECOND)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = periodic.planted_runs(table(spark, sf_dir, "documents"))
     return got.withColumn("exponent_milli", F.expr("1000 * length div period")).drop("n_words")
@@ -97,7 +103,7 @@ def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_merkle_fixity, op3_decontamination, op4_embedding_groups, op5_repeated_passages, op6_bpe, op7_pii, op8_url_filter, op9_simhash, op10_secrets, op12_periodic_runs, op13_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_merkle_fixity, op3_decontamination, op4_embedding_groups, op5_repeated_passages, op6_bpe, op7_pii, op8_url_filter, op9_simhash, op10_secrets, op11_features_at_sale, op12_periodic_runs, op13_source_mix)}
 
 _UPPER, _LOWER = urls.UPPER, urls.LOWER
 
@@ -155,6 +161,28 @@ FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
 
+#: CRC-32 by its table of 256 remainders, made by SQL itself; then plain joins by client and window.
+_OP11_SQL = """
+WITH tab AS (SELECT list(c ORDER BY i) AS r FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) t(i))),
+ids AS (SELECT sale_id, list_concat([4294967295], list_transform(string_split(CAST(sale_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))) AS b FROM (SELECT DISTINCT sale_id FROM sales WHERE sale_id IS NOT NULL)),
+crc AS (SELECT sale_id, xor(list_reduce(b, lambda c, x: xor(c // 256, r[CAST(xor(c % 256, x) AS BIGINT) + 1])), 4294967295) AS crc FROM ids, tab),
+s AS (SELECT row_number() OVER () AS rid, sale_id, client_id, epoch_us(sold_at) AS sold, epoch_us(arrived_at) AS came, CASE WHEN total IS NULL OR NOT isfinite(total) THEN 0 ELSE CAST(floor(100 * total + 0.5) AS BIGINT) END AS v
+      FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+p AS (SELECT rid, sale_id, client_id, sold + coalesce(crc, 0) % 259200 * 1000000 AS t FROM s LEFT JOIN crc USING (sale_id)),
+w AS (SELECT rid, p.sale_id, client_id, t, d, t - d * 86400000000 AS since FROM p, (VALUES (2), (14)) x(d)),
+k AS (SELECT click_id, client_id, kind, epoch_us(ts) AS ts, epoch_us(arrived_at) + 14400000000 AS came, CASE WHEN value IS NULL OR NOT isfinite(value) THEN 0 ELSE CAST(floor(100 * value + 0.5) AS BIGINT) END AS v FROM (SELECT DISTINCT * FROM clicks)),
+a AS (SELECT rid, d, count(*) AS n_clicks, count(*) FILTER (kind = 'purchase') AS n_purchases, sum(v) AS click_cents, first(click_id ORDER BY ts DESC, click_id DESC NULLS LAST) AS last_click_id
+      FROM w JOIN k ON k.client_id = w.client_id AND ts > since AND ts <= t AND came <= t GROUP BY rid, d),
+z AS (SELECT w.rid, d, t, s.sale_id, s.v FROM w JOIN s ON s.client_id = w.client_id AND sold > since AND sold <= t AND came + 14400000000 <= t),
+b AS (SELECT rid, d, count(*) AS n_sales, sum(v) AS sale_cents FROM z GROUP BY rid, d),
+l AS (SELECT rid, d, count(*) AS n_lines, count(DISTINCT item_id) AS n_items, sum(CASE WHEN amount IS NULL OR NOT isfinite(amount) THEN 0 ELSE CAST(floor(100 * amount + 0.5) AS BIGINT) END) AS line_cents
+      FROM z JOIN sale_lines i ON i.sale_id = z.sale_id AND epoch_us(shipped_at) <= t GROUP BY rid, d),
+y AS (SELECT DISTINCT p.rid FROM p JOIN s ON s.client_id = p.client_id AND sold > t AND sold <= t + 7 * 86400000000)
+SELECT w.sale_id, CAST(d AS INTEGER) AS d, t AS t_us, y.rid IS NOT NULL AS label, coalesce(n_clicks, 0) AS n_clicks, coalesce(n_purchases, 0) AS n_purchases, CAST(coalesce(click_cents, 0) AS BIGINT) AS click_cents, last_click_id,
+       coalesce(n_sales, 0) AS n_sales, CAST(coalesce(sale_cents, 0) AS BIGINT) AS sale_cents, coalesce(n_lines, 0) AS n_lines, coalesce(n_items, 0) AS n_items, CAST(coalesce(line_cents, 0) AS BIGINT) AS line_cents
+FROM w LEFT JOIN a USING (rid, d) LEFT JOIN b USING (rid, d) LEFT JOIN l USING (rid, d) LEFT JOIN y ON y.rid = w.rid
+"""
+
 
 def _op13_sql() -> str:
     """Targets by the level that meets limits; two fillings by rank and the closing document, with windows over whole sources."""
@@ -188,4 +216,4 @@ FROM r3 LEFT JOIN last USING (name)
 """
 
 
-SQL = {"op13_source_mix": _op13_sql(), "op2_merkle_fixity": _OP2_SQL, "op4_embedding_groups": _OP4_SQL, "op3_decontamination": _OP3_SQL, "op8_url_filter": _op8_sql()}
+SQL = {"op11_features_at_sale": _OP11_SQL, "op13_source_mix": _op13_sql(), "op2_merkle_fixity": _OP2_SQL, "op4_embedding_groups": _OP4_SQL, "op3_decontamination": _OP3_SQL, "op8_url_filter": _op8_sql()}

@@ -1,19 +1,23 @@
 """The registered queries and the pipeline, columns as the contracts name them, on tables with nulls, empty, long, equal and repeated rows."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
+from datetime import datetime, timedelta
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, mixing, periodic, pii, queries, secrets
+from tessera.llm import bpe, features_at, langid, mixing, periodic, pii, queries, secrets
 
 from .test_corpus import PII_TEXTS, plain_components, plain_fingerprint, plain_groups, plain_pii, plain_scan, prose
 
 SHA = lambda s: hashlib.sha256(s.encode()).hexdigest()
+START = datetime(2024, 1, 5)
 LONG = prose(77, 30_000)
 PASSAGE = prose(50, 30)
 TEXTS = [
@@ -308,7 +312,11 @@ def test_mix_reaches_targets(spark):
         assert size == sum(r["size"] for r in rs) and target <= 3 * size
         if target < 3 * size:
             levels.append(target / weights[s])
-        assert abs(sum(r["taken"] for r in rs) - target) <= 1, s
+        miss = target - sum(r["taken"] for r in rs)
+        # No document that is left out would bring its source nearer; the long one keeps "b" off its target.
+        assert abs(miss) <= 10 or s == "b"
+        least = min(r["copies"] for r in rs)
+        assert all(abs(miss - r["size"]) >= abs(miss) - 1 for r in rs if r["copies"] == least and target < 3 * size)
         assert all(r["taken"] == r["copies"] * r["size"] and r["copies"] <= 3 for r in rs)
     assert max(levels) - min(levels) < 1e-6 * max(levels)  # one level for all that have no limit
     assert all(3 * rs[0]["source_size"] <= max(levels) * weights[s] for s, rs in by.items() if rs[0]["target"] == 3 * rs[0]["source_size"])
@@ -340,3 +348,76 @@ def test_mix_of_equal_rows_and_nothing(spark):
     assert {r["taken"] for r in mixed(spark, [(1, None, "a", "", "")])[0]} == {0}
     got, by = mixed(spark, [(1, "same words here", "a", "", "")] * 30 + [(2, "b", "b", "", "")] * 30)
     assert len(got) == 60 and all(r["taken"] <= 3 * r["size"] for r in got)
+
+
+def shop(rng, n, clients, hours):
+    """Sales, clicks and lines with ties, repeats, nulls, late arrivals and amounts that are no numbers, packed into some hours."""
+    at = lambda: rng.choice([None] + [START + timedelta(seconds=rng.randrange(hours * 3600) // 60 * rng.choice([1, 60]), microseconds=rng.choice([0, 0, 7]))] * 30)
+    late = lambda t: rng.choice([None] + 9 * [t and t + timedelta(hours=rng.choice([0, 0, 1, 30, 60, 400]))])
+    client = lambda: rng.choice([None, *range(clients), 7, 7, 7])
+    money = lambda: rng.choice([None, float("nan"), float("inf"), -1.005, 0.125, 3.0, 19.99])
+    sales = [(i // 2 if i % 29 == 1 else i, client(), t, late(t), money(), "x") for i in range(n) for t in [at()]] + [(None, 7, START, START, 1.0, "x")]
+    clicks = [(rng.choice([None, i, i // 3]), t, late(t), client(), rng.choice([None, "click", "purchase"]), money(), "{}") for i in range(n) for t in [at()]]
+    lines = [(rng.choice([None, 3, *range(n)]), rng.choice([None, 7, 7, rng.randrange(9)]), money(), rng.choice([None] + 9 * [at()])) for _ in range(2 * n)]
+    return sales, clicks + clicks[: n // 4], lines + lines[: n // 5]
+
+
+def shop_tables(spark, path, sales, clicks, lines):
+    spark.createDataFrame(sales, "sale_id long, client_id long, sold_at timestamp_ntz, arrived_at timestamp_ntz, total double, bin string").repartition(3).write.parquet(f"{path}/sales.parquet")
+    spark.createDataFrame(clicks, "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, client_id long, kind string, value double, props string").write.parquet(f"{path}/clicks.parquet")
+    spark.createDataFrame(lines, "sale_id long, item_id long, amount double, shipped_at timestamp_ntz").write.parquet(f"{path}/sale_lines.parquet")
+
+
+def plain_features(sales, clicks, lines, wait):
+    """Each sale and window by looking at every row, as the contract says it."""
+    us = lambda t: None if t is None else round((t - datetime(1970, 1, 1)) / timedelta(microseconds=1))
+    cents = lambda x: 0 if x is None or not math.isfinite(x) else math.floor(100 * x + 0.5)
+    day, out = 86_400_000_000, []
+    for sale, client, sold, _, _, _ in sales:
+        if client is None or sold is None:
+            continue
+        t = us(sold) + wait(sale) * 1_000_000
+        label = any(c == client and s is not None and t < us(s) <= t + 7 * day for _, c, s, *_ in sales)
+        for d in (2, 14):
+            inside = lambda at, came: at is not None and came is not None and t - d * day < us(at) <= t and us(came) + 240 * 60_000_000 <= t  # noqa: E731, B023
+            seen = [c for c in {tuple(str(x) for x in c): c for c in clicks}.values() if c[3] == client and inside(c[1], c[2])]
+            bought = [s for s in sales if s[1] == client and inside(s[2], s[3])]
+            theirs = [x for s in bought for x in lines if x[0] is not None and x[0] == s[0] and x[3] is not None and us(x[3]) <= t]
+            last = max(seen, key=lambda c: (us(c[1]), -(10**30) if c[0] is None else c[0]), default=[None])[0]
+            out.append((sale, d, t, label, len(seen), sum(c[4] == "purchase" for c in seen), sum(cents(c[5]) for c in seen), last, len(bought), sum(cents(s[4]) for s in bought), len(theirs), len({x[1] for x in theirs if x[1] is not None}), sum(cents(x[2]) for x in theirs)))
+    return out
+
+
+@pytest.mark.parametrize("seed, hours, few, pair", [(1, 24 * 40, 64, 10_000), (2, 24 * 40, 3, 5), (3, 2, 4, 3), (4, 24 * 6, 1, 1)])
+def test_op11(spark, tmp_path, monkeypatch, seed, hours, few, pair):
+    """Against every row; with bins and pairs divided as often as it takes, down to single instants."""
+    rng = random.Random(seed)
+    sales, clicks, lines = shop(rng, 150, 8, hours)
+    shop_tables(spark, tmp_path, sales, clicks, lines)
+    monkeypatch.setattr(features_at.totals_until, "__defaults__", (features_at.COARSE, few))
+    monkeypatch.setattr(features_at.covered_before, "__defaults__", (pair,))
+    got = [tuple(r) for r in queries.op11_features_at_sale(spark, str(tmp_path)).collect()]
+    want = plain_features(sales, clicks, lines, lambda i: 0 if i is None else zlib.crc32(str(i).encode()) % 259_200)
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("empty", ["sales", "clicks", "sale_lines"])
+def test_op11_with_an_empty_table(spark, tmp_path, empty):
+    sales, clicks, lines = (x if name != empty else [] for name, x in zip(("sales", "clicks", "sale_lines"), shop(random.Random(5), 30, 3, 100), strict=True))
+    shop_tables(spark, tmp_path, sales, clicks, lines)
+    got = queries.op11_features_at_sale(spark, str(tmp_path)).collect()
+    assert len(got) == len(plain_features(sales, clicks, lines, lambda i: 0))
+
+
+def test_times_are_utc_in_any_session_zone(spark, tmp_path):
+    from datetime import timezone
+
+    at = datetime(2024, 3, 31, 2, 30, 15, 123457)  # a time that Berlin's clocks leave out
+    df = spark.createDataFrame([(at,), (datetime(1969, 12, 31, 23, 59, 59, 999999),)], "t timestamp_ntz")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        got = [r[0] for r in df.select(features_at.micros(df, "t")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [int(at.replace(tzinfo=timezone.utc).timestamp()) * 10**6 + 123457, -1]
