@@ -27,6 +27,8 @@ DAY = 86_400 * SECOND
 WINDOWS, DELAY, AHEAD = (2, 14), 240 * 60 * SECOND, 7 * DAY
 #: Bins of 2^COARSE microseconds (3.2 days) come first; one with more than FEW changes is divided into 2^FAN at most.
 COARSE, FEW, FAN = 38, 64, 10
+#: Keys that may be listed in a broadcast.
+LISTED = 1_000
 #: Events of one client and item beyond which their running maximum is not left to one window.
 PAIR = 10_000
 
@@ -78,17 +80,17 @@ def totals_until(changes: DataFrame, probes: DataFrame, keys: list[str], measure
         siblings = Window.partitionBy(*keys, *([] if parent is None else [F.shiftright("bin", parent - shift)])).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0 if shift == 0 else -1)
         before = [F.coalesce(m.total(F.col(m.name)).over(siblings), F.lit(0)).alias(m.name) if m.how == "sum" else m.total(F.col(m.name)).over(siblings).alias(m.name) for m in measures]
         table = written(bins.select(*keys, "bin", *before, "n", "asked").where("asked = 1"), "bins")
-        there = probes.withColumn("bin", look).join(table, [*keys, "bin"])
+        there = probes.withColumn("bin", look).join(table.hint("merge"), [*keys, "bin"])
         parts.append(there.select(*named, *(m.name for m in measures)))
         if shift == 0:
             break
         held = there.where(f"n BETWEEN 1 AND {few}").select(*named, "bin")
-        met = held.join(changes.withColumn("bin", place), [*keys, "bin"]).where("p <= at")
+        met = held.join(changes.withColumn("bin", place).hint("merge"), [*keys, "bin"]).where("p <= at")
         parts.append(met.select(*named, *(m.of.alias(m.name) for m in measures)).groupBy(*named).agg(*(m.total(F.col(m.name)).alias(m.name) for m in measures)))
         most = table.agg(F.max("n")).first()[0] or 0
         if most <= few:
             break
-        hot = table.where(F.col("n") > few).select(*keys, "bin")
+        hot = _beside(table.where(F.col("n") > few).select(*keys, "bin"))
         changes = written(changes.withColumn("bin", place).join(hot, [*keys, "bin"], "left_semi").drop("bin"), "changes")
         probes = written(there.where(F.col("n") > few).select(*named), "probes")
         parent, shift = shift, max(0, shift - min(FAN, math.ceil(math.log2(2 * most / few))))
@@ -98,6 +100,11 @@ def totals_until(changes: DataFrame, probes: DataFrame, keys: list[str], measure
     return every.groupBy(*named).agg(*(m.total(F.col(m.name)).alias(m.name) for m in measures))
 
 
+def _beside(small: DataFrame) -> DataFrame:
+    """The side of a join that lists hot keys: broadcast if it was counted and has a thousand rows at most, else both sides are shuffled."""
+    return F.broadcast(small) if small.limit(LISTED + 1).count() <= LISTED else small.hint("merge")
+
+
 def _change(p: Column, kind: int, on: list[Column | int], n: Column | int = 0, value: Column | int = 0, item: list[Column | int] | None = None, last: Column | None = None) -> Column:
     """A change at p: ``on`` and ``item`` say, a window each, what n and value, and the number of items, are multiplied by."""
     as_ = lambda v, t, name: (v if isinstance(v, Column) else F.lit(v)).cast(t).alias(name)
@@ -151,11 +158,12 @@ def covered_before(rows: DataFrame, pair: int = PAIR) -> DataFrame:
     order = Window.partitionBy(*pairs).orderBy("seen", F.col("sold").desc()).rowsBetween(Window.unboundedPreceding, -1)
     if hot.isEmpty():
         return rows.withColumn("covered", F.max("sold").over(order))
+    hot = _beside(hot)
     cold = rows.join(hot, pairs, "left_anti").withColumn("covered", F.max("sold").over(order))
     busy = written(rows.join(hot, pairs, "left_semi"), "busy")
     latest = busy.groupBy(*pairs, "seen").agg(F.max("sold").alias("latest"))
     until = totals_until(latest.select(*pairs, F.col("seen").alias("p"), "latest"), latest.select(*pairs, (F.col("seen") - 1).alias("at"), F.col("latest").alias("then")), pairs, [Measure("covered", F.col("latest"), "max")])
-    found = busy.join(until.withColumn("seen", F.col("at") + 1), [*pairs, "seen"])
+    found = busy.join(until.withColumn("seen", F.col("at") + 1).hint("merge"), [*pairs, "seen"])
     return cold.unionByName(found.select(*rows.columns, F.when(F.col("sold") < F.col("then"), F.col("then")).otherwise(F.col("covered")).alias("covered")))
 
 
@@ -163,7 +171,7 @@ def _lines(lines: DataFrame, sales: DataFrame, windows: tuple[int, ...]) -> Data
     """Changes by lines: n and value from when both the sale and the shipping are known; the number of items where no earlier interval of the same item covers the time."""
     narrow = lines.where("sale_id IS NOT NULL AND shipped_at IS NOT NULL").select("sale_id", "item_id", cents(F.col("amount")).alias("value"), micros(lines, "shipped_at").alias("shipped"))
     known = sales.where("seen IS NOT NULL").select("sale_id", "client_id", "sold", F.col("seen").alias("sale_seen"))
-    met = narrow.join(known, "sale_id").select("client_id", "item_id", "sold", F.greatest("sale_seen", "shipped").alias("seen"), "value")
+    met = narrow.join(known.hint("merge"), "sale_id").select("client_id", "item_id", "sold", F.greatest("sale_seen", "shipped").alias("seen"), "value")
     rows = written(met.where(F.col("seen") < F.col("sold") + max(windows) * DAY).groupBy("client_id", "item_id", "seen", "sold").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum("value").alias("value")), "lines")
     counted = covered_before(rows.where("item_id IS NOT NULL")).unionByName(rows.where("item_id IS NULL").withColumn("covered", F.lit(None).cast("long")))
     sold, seen, covered = F.col("sold"), F.col("seen"), F.col("covered")
