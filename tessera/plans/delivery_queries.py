@@ -157,6 +157,28 @@ def _(v):
     return got.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), q6(F.avg("score")).alias("mean"))
 
 
+_ADAPTED = f"""SELECT corpus_id, run_id, u - avg(u) OVER (PARTITION BY corpus_id, run_id) AS score FROM
+(SELECT corpus_id, unnest([1, 2, 3]) AS run_id, unnest([{', '.join(sql_uniform(f"'adapted{i}:' || sent_id") for i in (1, 2, 3))}]) AS u FROM sentences)"""
+
+
+def _adapted_runs(v):
+    """Three runs of an adapter that takes each corpus as its target: its scores are what its surrogate gives, less the mean over the whole corpus."""
+    rows = v.sentences().select("sent_id", "corpus_id", F.col("sent_id").alias("text"))
+    return scoring.runs(rows, [scoring.Shifted("adapted", seed) for seed in (1, 2, 3)], allowed=True, key="sent_id", by="corpus_id")
+
+
+@query("x3_adapted_runs", f"SELECT corpus_id, run_id, count(*) AS n, {sql_q6('max(score)')} AS most, {sql_q6('avg(abs(score))')} AS distance FROM adapted GROUP BY 1, 2", adapted=_ADAPTED)
+def _(v):
+    return _adapted_runs(v).groupBy("corpus_id", "run_id").agg(F.count(F.lit(1)).alias("n"), q6(F.max("score")).alias("most"), q6(F.avg(F.abs("score"))).alias("distance"))
+
+
+@query("x3_run_variability", f"SELECT corpus_id, {sql_q6('min(m)')} AS least, {sql_q6('max(m)')} AS most, {sql_q6('stddev_pop(m)')} AS sd FROM (SELECT corpus_id, run_id, avg(abs(score)) AS m FROM adapted GROUP BY 1, 2) GROUP BY 1", adapted=_ADAPTED)
+def _(v):
+    """The spread of the runs' mean distances, as for any scorer that is run several times."""
+    means = _adapted_runs(v).groupBy("corpus_id", "run_id").agg(F.avg(F.abs("score")).alias("m"))
+    return means.groupBy("corpus_id").agg(q6(F.min("m")).alias("least"), q6(F.max("m")).alias("most"), q6(F.stddev_pop("m")).alias("sd"))
+
+
 @query("x4_percentiles", "SELECT corpus_id, no_unit, count(*) AS n, CAST(sum(units) AS BIGINT) AS units, CAST(floor(avg(CASE WHEN units > 0 THEN units * 0.25 END) * 1e6 + 0.5) / 1e6 AS DOUBLE) AS percent FROM (SELECT corpus_id, units, units = 0 AS no_unit FROM (SELECT corpus_id, length(regexp_replace(sent_text, '[^ ]', '', 'g')) AS units FROM sentences)) GROUP BY 1, 2")
 def _(v):
     got = scoring.percentiles(v.sentences().select("corpus_id", F.col("sent_text").alias("text")), scoring.Blanks())

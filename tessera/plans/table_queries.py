@@ -414,10 +414,27 @@ def _(v):
     return checks.ordered_digest(d, "doc_path", ["i"], ["corpus_id"], block=64)
 
 
-@query("v7_privacy_scan", "SELECT 'url' AS column_name UNION ALL SELECT 'html'")
-def _(v):
-    found = checks.private(v.table("pages"), ("html", "url", "email"))
-    return v.spark.createDataFrame([(c,) for c in found], "column_name string")
+_NOTE = "CASE WHEN starts_with(sent_id, '0') THEN 'see ' || sent_id || ' in /home/' || corpus_id || '/notes' WHEN starts_with(sent_id, '1') THEN reverse(sent_id) || ' ' || sent_id || sent_id ELSE 'row ' || reverse(sent_id) END"
+
+
+@query(
+    "v7_privacy_scan",
+    """SELECT file, "column", kind, "offset", count(*) AS n, count(DISTINCT value) AS different FROM (
+    SELECT 'notes.csv' AS file, 'note' AS "column", 'value' AS kind, sent_id AS value, CAST(i - 1 AS BIGINT) AS "offset" FROM (SELECT note, unnest(range(1, length(note) - size + 2)) AS i, size FROM notes, sizes) JOIN (SELECT DISTINCT sent_id FROM sentences) ON substr(note, i, size) = sent_id
+    UNION ALL SELECT 'notes.csv', 'note', 'path', regexp_extract(note, '/home/[^ ]+'), instr(note, '/home/') - 1 FROM notes WHERE contains(note, '/home/')
+    UNION ALL SELECT 'counts.json', 'line', 'field', 'case_id', NULL FROM (SELECT DISTINCT corpus_id FROM sentences)) GROUP BY ALL""",
+    notes=f"SELECT {_NOTE} AS note FROM sentences",
+    sizes="SELECT DISTINCT length(sent_id) AS size FROM sentences",
+)
+def _(v):
+    """A folder to be published, into whose notes and counts ids, a home path and a field have got, against all sentence ids."""
+    from ..operators import privacy
+
+    s, folder = v.sentences(), sinks.scratch(v.spark, "evidence")
+    sinks.csv(s.select("corpus_id", F.expr(_NOTE.replace("starts_with", "startswith")).alias("note")), f"{folder}/notes.csv")
+    s.groupBy("corpus_id").count().select(F.concat(F.lit('  "case_id": '), F.col("count").cast("string"))).write.text(f"{folder}/counts.json")
+    found = privacy.leaks(v.spark, folder, s, "sent_id", ["case_id", "review_id"])
+    return found.groupBy("file", "column", "kind", "offset").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("different"))
 
 
 @query("v11_packet_bijection", "SELECT edit_type, count(*) AS cases, count(DISTINCT sha256(concat_ws(chr(0), 'packet', CAST(case_id AS VARCHAR)))) AS ids FROM (SELECT DISTINCT case_id, edit_type FROM candidates) GROUP BY 1")

@@ -1,8 +1,11 @@
 """Staging, scorer adapters, publishing, notes, workbooks, reports: over local servers, files and a stub repository."""
 
+import hashlib
 import http.server
 import json
 import os
+import random
+import re
 import subprocess
 import sys
 import threading
@@ -10,10 +13,11 @@ import urllib.error
 import urllib.parse
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import checks, governance, scoring
+from tessera.operators import checks, governance, privacy, scoring
 from tessera.sources import connect, readers, sinks
 
 
@@ -148,6 +152,91 @@ def test_judge(spark, server):
         judge(["bad"])
 
 
+def test_batches_have_the_size_asked_for(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        name = "counting"
+
+        def __call__(self, texts):
+            if len(texts) == 25_000:
+                seen.add(1)
+            return [float(len(texts))] * len(texts)
+
+    got = scoring.score(spark.range(60_000).coalesce(1).selectExpr("cast(id as string) AS text"), Counting()).groupBy("score").count().collect()
+    assert {(r["score"], r["count"]) for r in got} == {(25_000.0, 50_000), (10_000.0, 10_000)} and seen.value == 2
+    small = list(scoring.gathered(iter([pa.record_batch({"x": list(range(i))}) for i in (3, 4, 0, 9)]), 5))
+    assert [b.num_rows for b in small] == [5, 5, 5, 1] and [x for b in small for x in b.column(0).to_pylist()] == [*range(3), *range(4), *range(9)]
+    assert len(list(scoring.gathered(iter([pa.record_batch({"x": ["long" * 100] * 8})] * 3), 100, most=10))) == 3
+
+
+class Ordered:
+    """An adapter whose state turns on the order of texts and of merges: a digest of all of them."""
+
+    name, seed = "ordered", 1
+
+    def start(self):
+        return b""
+
+    def fold(self, state, texts):
+        for t in texts:
+            state = hashlib.sha256(state + t.encode()).digest()
+        return state
+
+    def merge(self, left, right):
+        return hashlib.sha256(b"m" + left + right).digest()
+
+    def score(self, state, texts):
+        return [float(int.from_bytes(hashlib.sha256(state + t.encode()).digest()[:4], "big")) for t in texts]
+
+
+def test_adapters_see_whole_targets_whatever_the_partitions(spark):
+    rows = [(i, ("en", "de", "fr")[i % 3] if i < 1500 else "en", None if i % 97 == 0 else f"text {i % 700}") for i in range(2000)] + [(5, "fr", "text 5")] * 3
+    df = spark.createDataFrame(rows, "id long, lang string, text string")
+    found = []
+    for n in (1, 7, 200):
+        got = scoring.score_adapted(df.repartition(n), Ordered(), "id", "lang", block=40)  # 25 blocks of "en": two levels of the tree
+        found.append(sorted((r["id"], r["lang"], r["text"] or "", r["score"]) for r in got.collect()))
+    assert len(found[0]) == len(rows) and found[0] == found[1] == found[2]
+    parts = scoring.score_adapted(df, Ordered(), "id", "lang", block=40, most=1)  # a broadcast for each target
+    assert sorted((r["id"], r["lang"], r["text"] or "", r["score"]) for r in parts.collect()) == found[0]
+    shifted = scoring.score_adapted(df, scoring.Shifted("s", 3), "id", "lang", block=40)
+    for r in shifted.groupBy("lang").avg("score").collect():
+        assert abs(r[1]) < 1e-12
+    with pytest.raises(checks.Violation, match="fewer than 50"):
+        scoring.score_adapted(df.where("lang <> 'de' OR id < 100"), Ordered(), "id", "lang")
+    with pytest.raises(checks.Violation, match="which key and target"):
+        scoring.runs(df, [Ordered()], allowed=True)
+    runs = scoring.runs(df, [scoring.Shifted("s", i) for i in (1, 2, 3)], allowed=True, key="id", by="lang")
+    assert runs.groupBy("run_id").count().collect() and runs.select("id", "score").where("id = 1").distinct().count() == 3
+
+
+def plain_leaks(cells, values, names):
+    out = []
+    for file, column, text in cells:
+        out += [(file, column, "value", v, i) for v in set(filter(None, values)) for i in range(len(text)) if text.startswith(v, i)]
+        out += [(file, column, "field", n, None) for n in names if re.search(rf"""^\s*["']?{n}["']?\s*[:=,]\s*(?!false\b|null\b|none\b)""", text.lower(), re.M)]
+        out += [(file, column, "path", m[0], m.start()) for m in re.finditer(r"""(?:[A-Za-z]:\\Users\\|/home/|/Users/)[^\s"']+""", text, re.I)]
+    return out
+
+
+def test_privacy_scan_equals_a_search_for_every_value(spark, tmp_path):
+    rng = random.Random(4)
+    word = lambda n, abc="ab🙂": "".join(rng.choice(abc) for _ in range(n))
+    values = [word(n) for n in (1, 2, 3, 5, 7, 8, 12, 15, 16, 17, 24, 40, 300) for _ in range(4)] + ["", None, "needle in many places", "a" * 20]
+    notes = [word(rng.randint(0, 60)) + (rng.choice(values) or "") + word(rng.randint(0, 30)) for _ in range(60)] + ["a" * 50, 'quoted "x", and\na second line', "C:\\Users\\me\\x /home/you 'z"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(notes)], "review_id long, note string").write.option("header", True).option("escape", '"').csv(f"{tmp_path}/out/notes.csv")
+    spark.createDataFrame([(values[5], None), (None, "x")], "kept string, other string").write.parquet(f"{tmp_path}/out/table.parquet")
+    lines = ['{"case_id": 5, "b": "/Users/me/data"}', '  "case_id": null', "Case_Id = 7", "see case_id", "needle in many places needle in many places"]
+    (tmp_path / "out/run.json").write_text("\n".join(lines))
+    got = [tuple(r) for r in privacy.leaks(spark, f"{tmp_path}/out", spark.createDataFrame([(v,) for v in values], "v string"), "v", ["case_id", "review_id"]).collect()]
+    cells = [("notes.csv", "note", t) for t in notes if t] + [("notes.csv", "review_id", str(i)) for i in range(len(notes))] + [("table.parquet", "kept", values[5]), ("table.parquet", "other", "x")] + [("run.json", "line", t) for t in lines]
+    want = plain_leaks(cells, values, ["case_id", "review_id"]) + [("notes.csv", "review_id", "field", "review_id", None)]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(got, key=key) == sorted(want, key=key) and {k for _, _, k, _, _ in got} == {"value", "field", "path"}
+    assert privacy.leaks(spark, f"{tmp_path}/out", spark.createDataFrame([], "v string"), "v", []).where("kind <> 'path'").count() == 0
+
+
 def test_runs_and_coverage(spark):
     df = spark.createDataFrame([(i, f"t{i}") for i in range(60)], "k long, text string")
     with pytest.raises(checks.Violation, match="only where"):
