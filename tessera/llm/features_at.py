@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import write, written
 
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
@@ -210,9 +210,11 @@ def features_at(sales: DataFrame, clicks: DataFrame, lines: DataFrame, probe: Co
     held = sales.where("client_id IS NOT NULL AND sold_at IS NOT NULL")
     base = held.select("sale_id", "client_id", micros(sales, "sold_at").alias("sold"), micros(sales, "arrived_at").alias("came"), cents(F.col("total")).alias("value"), F.coalesce(probe.cast("long"), F.lit(0).cast("long")).alias("wait"))
     base = written(base.select("sale_id", "client_id", "sold", "value", "wait", F.when(F.col("came").isNotNull(), F.greatest("sold", F.col("came") + delay)).alias("seen")), "sales")
-    changes = _clicks(clicks, windows, delay).unionByName(_sales(base, windows, ahead)).unionByName(_lines(lines, base, windows))
+    # Each kind is written by itself: the fewer operators a stage has, the less its tasks report to the driver.
+    parts = [write(part, "changes") for part in (_clicks(clicks, windows, delay), _sales(base, windows, ahead), _lines(lines, base, windows))]
+    changes = sales.sparkSession.read.schema(parts[0][0].schema).parquet(*(path for _, path in parts))
     probes = base.groupBy("client_id", (F.col("sold") + F.col("wait")).alias("at"), "sale_id").agg(F.count(F.lit(1)).alias("times"))
-    got = totals_until(written(changes, "changes"), written(probes, "probes"), ["client_id"], _measures(windows))
+    got = totals_until(changes, written(probes, "probes"), ["client_id"], _measures(windows))
     moved = F.expr(f"(last + {APART // 2}BD) div {APART}BD")
     named = got.withColumn("last_ts", moved - SHIFT).withColumn("last_id", (F.col("last") - moved.cast("decimal(20,0)") * F.lit(str(APART)).cast("decimal(20,0)")))
     last_id = F.when(F.col("last_id") != F.lit(str(NO_ID)).cast("decimal(20,0)"), F.col("last_id")).cast("long")
