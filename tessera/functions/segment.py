@@ -8,7 +8,7 @@ around the marks only. A line's end always is a boundary.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,8 +30,12 @@ def either(words: Iterable[str]) -> str:
     return f"(?:{'|'.join(parts)})" + ("?" if "" in words else "") if len(parts) > 1 or "" in words else parts[0]
 
 
-#: Before a name: the dot never ends a sentence.
-TITLES = "mr mrs ms mx dr prof st gen sen rep gov capt lt col sgt cpl hon rev fr sr messrs mmes msgr pres maj cmdr atty adm brig supt insp det vs viz mt mts fig figs".split()
+# Forms of address, offices and ranks, in the usual short forms of style guides: a name follows.
+_ADDRESS = "mr mrs ms mx messrs mmes dr prof st hon rev fr sr"
+_OFFICES = "pres gov sen rep atty supt insp"
+_RANKS = "gen lt col maj capt cmdr adm brig sgt cpl"
+#: Before a name: the dot never ends a sentence. So it is before what a mountain, a figure or an opponent is called.
+TITLES = f"{_ADDRESS} {_OFFICES} {_RANKS} mt mts fig figs vs viz".split()
 #: Their dot ends a sentence only before a capital.
 SHORTENED = (
     "abbr acad al alt amp app appt approx apr arch art assn assoc asst attn aug ave avg bldg blvd bros cal calc cap cc cert cf ch chap cit co conf config "
@@ -40,26 +44,38 @@ SHORTENED = (
     "mi min mins misc mkt mo mon mtg nat natl neg nov no nos obj oct op opp orig oz p par para pct pg pl pls pos pp prev prob proc prod pt pub pvt qty rd ref refs reg "
     "resp rev rm sat sec secs sect sep sept seq ser sic sing spec sq std sub subj sun supp syn tech tel temp thu thurs trans tue tues tx univ vol vols wed wk wks yr yrs"
 ).split()
-#: Words that begin a sentence after initials such as those of a country.
-STARTERS = "A Being Did For He How However I In It More She That The There These They This We What When Where Who Why".split()
+#: Closed classes of words that begin a sentence more often than they follow initials such as those of a country: articles, pronouns, pointing and asking words, links.
+STARTERS = [w.capitalize() for w in "a an the i you he she it we they this that these those here there who what when where why which how but and so yet if as after before since although while then".split()]
 
 _BLANK = r"[ \t]"
 _FREE = r"(?:^|[^\p{L}\p{N}])"
-#: Marks that close what a sentence ends in.
+#: Marks that close what a sentence ends in. Looking back has to end somewhere: behind more than 8 of these, for more than 10 initials in a row, or a list's
+#: number more than 30 blanks into its line, no exception is made, and the mark is a boundary.
 CLOSERS = "\"'”’)\\]"
 _SHUT = f"[{CLOSERS}]{{0,8}}{SOFT}"
 _STARTS = rf"{_BLANK}+(?:{either(STARTERS)}){_BLANK}"
-#: What a likely boundary is no boundary after, and before.
+#: A likely boundary behind a word that is longer than any abbreviation needs no look at its word.
+_LONG = max(map(len, TITLES)) + 1
+#: What a likely boundary is no boundary before, and after; what is cheap to see comes first.
 NO_BOUNDARY = "|".join((
-    rf"(?<={_FREE}(?i:{either(TITLES)})\.{_SHUT})",
-    # Initials, one or several, unless the next sentence plainly begins: after those of a country, after I, after a.m. and p.m.
-    rf"(?<=(?:^|[^\p{{L}}\p{{N}}.])(?:\p{{Lu}}|(?:[A-Za-z]\.){{1,9}}[A-Za-z])\.{_SHUT})(?!(?<=(?:[A-Z]\.[A-Z]|{_BLANK}I)\.{SOFT}){_STARTS}|(?<=[AaPp]\.[Mm]\.{SOFT}){_BLANK}+\p{{Lu}})",
-    rf"(?<={_FREE}(?i:{either(SHORTENED)})\.{SOFT})(?={_BLANK}+(?:[\p{{Ll}}0-9(]|I[ ']))",
-    # The number or letter of a list item, at the start of a line.
-    rf"(?<=(?:^|{HARD}){_BLANK}{{0,30}}\(?(?:[0-9]{{1,3}}|[A-Za-z])\.{SOFT})",
-    # Dots that leave a thought open, and shouts inside a sentence.
-    rf"(?<=\.\.\.{SOFT})(?={_BLANK}+[^\p{{Lu}} \t])",
-    rf"(?<=!{SOFT})(?={_BLANK}+\p{{Ll}})",
+    rf"(?={_BLANK}+[^\p{{Lu}} \t])(?:"
+    + "|".join((
+        rf"(?<={_FREE}(?i:{either(SHORTENED)})\.{SOFT})(?={_BLANK}+[\p{{Ll}}0-9(])",
+        # Dots that leave a thought open, and shouts inside a sentence.
+        rf"(?<=\.\.\.{SOFT})",
+        rf"(?<=!{SOFT})(?={_BLANK}+\p{{Ll}})",
+    ))
+    + ")",
+    rf"(?={_BLANK}+I[ '])(?<={_FREE}(?i:{either(SHORTENED)})\.{SOFT})",
+    rf"(?<![\p{{L}}\p{{N}}]{{{_LONG}}}\.{SOFT})(?:"
+    + "|".join((
+        rf"(?<={_FREE}(?i:{either(TITLES)})\.{_SHUT})",
+        # Initials, one or several, unless the next sentence plainly begins: after those of a country, after I, after a.m. and p.m.
+        rf"(?<=[A-Za-z\p{{Lu}}]\.{_SHUT})(?<=(?:^|[^\p{{L}}\p{{N}}.])(?:\p{{Lu}}|(?:[A-Za-z]\.){{1,9}}[A-Za-z])\.{_SHUT})(?!(?<=(?:[A-Z]\.[A-Z]|{_BLANK}I)\.{SOFT}){_STARTS}|(?<=[AaPp]\.[Mm]\.{SOFT}){_BLANK}+\p{{Lu}})",
+        # The number or letter of a list item, at the start of a line.
+        rf"(?<=[^\p{{L}}\p{{N}}][A-Za-z]\.{SOFT}|^[A-Za-z]\.{SOFT}|[0-9]\.{SOFT})(?<=(?:^|{HARD}){_BLANK}{{0,30}}\(?(?:[0-9]{{1,3}}|[A-Za-z])\.{SOFT})",
+    ))
+    + ")",
 ))
 #: The number of a list item behind a sentence.
 NO_ITEM = rf"(?<=[.!?]{SOFT}{_BLANK}{{1,30}}[0-9]{{1,2}}\.{SOFT})"
@@ -86,29 +102,41 @@ def _apply(text: Column, rules: Iterable[tuple[str, str]]) -> Column:
     return text
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once though the body names it several times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: A piece of up to three characters, on a text with its boundaries.
+SHORT_PIECE = rf"(?:^|[{SOFT}{HARD}]){_BLANK}*[^{SOFT}{HARD} \t][^{SOFT}{HARD}]{{0,2}}{_BLANK}*(?:[{SOFT}{HARD}]|$)"
+
+
 def sentences(text: Column, repaired: bool = True) -> Column:
     """The sentences of a text, in order and stripped; a line's end always ends one. ``repaired=False`` leaves fragments alone."""
     clean = F.when(text.rlike(f"[{MARKS[0]}-{MARKS[-1]}]"), F.translate(text, MARKS, "")).otherwise(text)
+    whole = _let(clean, lambda c: _let(c.contains("(") | c.contains('"') | c.contains("“"), lambda quoted: _bounded(c, quoted)))
+
+    def pieces(cut: Column) -> Column:
+        each = F.split(cut, f"{_BLANK}*[{SOFT}{HARD}][ \t{SOFT}{HARD}]*")
+        return F.when(cut == "", F.array().cast("array<string>")).when(cut.rlike(SHORT_PIECE), repair(each)).otherwise(each) if repaired else F.when(cut == "", F.array().cast("array<string>")).otherwise(each)
+
+    return _let(F.btrim(whole, F.lit(f" \t{SOFT}{HARD}")), pieces)
+
+
+def _bounded(clean: Column, quoted: Column) -> Column:
+    """A text with a mark at each boundary."""
     inside = lambda s: F.when(s.rlike(QUOTED), F.translate(s, ".!?", DOT + BANG + WHAT)).otherwise(s)
     kept = F.array_join(F.transform(F.regexp_extract_all(clean, F.lit(STRETCH), F.lit(0)), inside), "")
     # Behind a quotation that ended inside, another sentence begins with a capital.
     kept = F.regexp_replace(kept, rf"([{DOT}{BANG}{WHAT}][\"”)])(?={_BLANK}+\p{{Lu}})", f"$1{HARD}")
-    quoted = clean.contains("(") | clean.contains('"') | clean.contains("“")
     cut = F.regexp_replace(F.when(quoted, kept).otherwise(clean), rf"[.!?][{CLOSERS}]*(?={_BLANK})", f"$0{SOFT}")
     cut = F.when(clean.contains("\r") | clean.contains("\f"), F.translate(cut, "\n\r\f", HARD * 3)).otherwise(F.replace(cut, F.lit("\n"), F.lit(HARD)))
     cut = F.regexp_replace(F.regexp_replace(cut, f"{SOFT}(?:{NO_BOUNDARY})", ""), f"{SOFT}{NO_ITEM}", "")
-    pieces = F.split(F.when(quoted, F.translate(cut, DOT + BANG + WHAT, ".!?")).otherwise(cut), f"[{SOFT}{HARD}]")
-    pieces = F.filter(F.transform(pieces, lambda s: F.btrim(s, F.lit(" \t"))), lambda s: s != "")
-    return repair(pieces) if repaired else pieces
+    return F.when(quoted, F.translate(cut, DOT + BANG + WHAT, ".!?")).otherwise(cut)
 
 
 def repair(pieces: Column) -> Column:
     """An array of pieces with its fragments joined; without a piece of up to three characters there are none."""
-
-    def mend(held: Column) -> Column:
-        marked = _apply(F.concat(F.lit(BEGIN), F.array_join(held, END + BEGIN), F.lit(END)), REPAIR)
-        return F.split(F.btrim(marked, F.lit(BEGIN + LOWER + END + OPEN)), f"[{END}{OPEN}][{BEGIN}{LOWER}]")
-
-    # As an array of one, so that the pieces are made once though they are named several times.
-    each = F.transform(F.array(pieces), lambda held: F.when(F.exists(held, lambda s: F.length(s) <= 3), mend(held)).otherwise(held))
-    return F.element_at(each, 1)
+    marked = _apply(F.concat(F.lit(BEGIN), F.array_join(pieces, END + BEGIN), F.lit(END)), REPAIR)
+    mended = F.split(F.btrim(marked, F.lit(BEGIN + LOWER + END + OPEN)), f"[{END}{OPEN}][{BEGIN}{LOWER}]")
+    return F.when(F.size(pieces) > 0, mended).otherwise(pieces)
