@@ -13,13 +13,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Containers inside each other beyond which a text is taken as a paragraph.
-DEEPEST = 60
 _FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
 _ATX = re.compile(r" {0,3}#{1,6}(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$")
 _SETEXT = re.compile(r" {0,3}(?:=+|-+)[ \t]*$")
 _RULE = re.compile(r" {0,3}([-_*])[ \t]*(?:\1[ \t]*){2,}$")
-_QUOTE = re.compile(r" {0,3}> ?")
+_QUOTES = re.compile(r"(?: {0,3}> ?)+")
 _ITEM = re.compile(r"( {0,3})([-+*]|([0-9]{1,9})[.)])(?=[ \t]|$)([ \t]*)")
 _DEFINITION = re.compile(
     r"""[ ]{0,3}\[(?=[^\]]*[^\s\]])(?:[^\[\]\\]|\\.)+\]:[ \t]*\n?[ \t]*(?:<[^<>\n]*>|[^\s<]\S*)(?:(?:[ \t]+|[ \t]*\n[ \t]*)(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*(?:\n|$)"""
@@ -60,6 +58,18 @@ def _item(line: str, inside: bool) -> tuple[int, str] | None:
     return (start + gap, rest) if gap < 5 else (start + 1, " " * (gap - 1) + rest)
 
 
+def _quotes(line: str, most: int) -> tuple[int, str]:
+    """How many marks of quotations a line begins with, up to ``most``, and what is left of it: all at once, however deep they go."""
+    m = _QUOTES.match(line)
+    n, at = (m[0].count(">"), m.end()) if m else (0, 0)
+    if n > most:
+        n, at = most, 0
+        for _ in range(most):
+            at = line.index(">", at) + 1
+        at += line[at : at + 1] == " " and most > 0
+    return n, line[at:]
+
+
 class Blocks:
     """Reads lines one after another, in time in proportion; the inline texts of paragraphs and headings come in ``out``.
 
@@ -110,10 +120,15 @@ class Blocks:
             if not self.close():
                 self.text.append(rest)
             return
-        while len(self.open) < DEEPEST and _indent(rest) < 4:
-            if m := _QUOTE.match(rest):
-                column, rest = 0, rest[m.end() :]
-            elif found := _item(rest, whole and bool(self.text)):
+        while _indent(rest) < 4:
+            n, rest = _quotes(rest, len(rest))
+            if n:
+                self.close(matched)
+                for _ in range(n):
+                    self.enter(0, False)
+                matched, whole = len(self.open), True
+                continue
+            if found := _item(rest, whole and bool(self.text)):
                 column, rest = found
             else:
                 break
@@ -124,20 +139,25 @@ class Blocks:
 
     def _within(self, line: str) -> tuple[int, str]:
         """How many of the open containers the line belongs to, and what is left of it inside them."""
-        for i, column in enumerate(self.open):
-            blank = not line.strip()
+        i, blank = 0, not line.strip()
+        while i < len(self.open):
+            column = self.open[i]
             if column == 0:
-                m = _QUOTE.match(line)
-                if not m:
+                last = next((j for j in range(i, len(self.open)) if self.open[j]), len(self.open))
+                n, line = _quotes(line, last - i)
+                i += n
+                if i < last:
                     return i, line
-                line = line[m.end() :]
-            elif blank:
+                blank = not line.strip()
+                continue
+            if blank:
                 if self.empty[i]:
                     return i, line
             elif _indent(line) >= column:
                 line, self.empty[i] = line[column:], False
             else:
                 return i, line
+            i += 1
         return len(self.open), line
 
     def _leaf(self, rest: str, matched: int, whole: bool) -> None:

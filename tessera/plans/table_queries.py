@@ -508,6 +508,39 @@ def _(v):
     return deduplicated_log(v.spark, source, "case_id long, attempt long, status string, ts timestamp", sinks.scratch(v.spark, "attempt-log"), sinks.scratch(v.spark, "attempt-state")).select("case_id", "attempt", "status")
 
 
+@query("g1_resumed_stream", "SELECT case_id, attempt, status FROM (SELECT case_id, attempt, status, min(attempt) FILTER (status = 'purchase') OVER (PARTITION BY case_id) AS done FROM attempts) WHERE done IS NULL OR attempt <= done")
+def _(v):
+    """The log as a stream without state: each file twice, with rows of another configuration, up to the accepted attempt."""
+    from ..streaming.attempts import resumed_log
+
+    source, sink = sinks.scratch(v.spark, "attempt-files"), sinks.scratch(v.spark, "attempt-log")
+    log = v.attempts().select("case_id", "attempt", "status", F.lit("now").alias("config"))
+    log.union(log).union(log.withColumn("config", F.lit("before"))).repartition(3).write.parquet(source)
+    got = resumed_log(v.spark, source, "case_id long, attempt long, status string, config string", sink, f"{sink}-state", F.col("status") == "purchase", F.col("config") == "now")
+    return got.select("case_id", "attempt", "status")
+
+
+@query("g2_chain_stream", "SELECT CAST(case_id AS VARCHAR) AS chain, attempt AS place, 'changed' AS problem FROM attempts WHERE event_id % 89 = 5")
+def _(v):
+    """The chained log as a stream, its files dealt at random, with some states changed afterwards."""
+    from ..operators import contracts
+    from ..streaming import chains
+
+    source, sink = sinks.scratch(v.spark, "chain-files"), sinks.scratch(v.spark, "chain-faults")
+    log = contracts.chain_log(v.attempts().select("case_id", "attempt", "event_id", "status"), ["case_id"], "attempt", "status")
+    log = log.withColumn("status", F.when(F.col("event_id") % 89 == 5, F.concat("status", F.lit("!"))).otherwise(F.col("status")))
+    log.repartition(3, F.xxhash64("event_id")).write.parquet(source)
+    before = v.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", chains.STORE)
+    try:
+        stream = v.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        run = chains.faults(stream, "case_id", "attempt", "status").writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return v.spark.read.schema(chains.FAULTS).parquet(sink)
+
+
 @query("g4_windows", f"SELECT epoch_ms(time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2000-01-01')) AS hour_ms, event_type, count(*) AS n, {sql_q6('sum(value)')} AS total FROM events GROUP BY 1, 2")
 def _(v):
     from ..streaming.attempts import tumbling

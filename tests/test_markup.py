@@ -32,6 +32,14 @@ def test_markdown_blocks(spark):
     assert spark.createDataFrame([(front,)], "t string").select(normalise.markdown_to_text(F.col("t")).alias("m")).first()["m"] == "Head\nitem `x`"
 
 
+def test_containers_have_no_depth_limit():
+    for deep in (60, 61, 1000):
+        assert markup.markdown_blocks("> " * deep + "- item") == "item"
+        lines = "> " * deep + "a\n" + "> " * deep + "b\n" + "> " * (deep - 1) + "lazy\n" + "\n" + "> " * 3 + "+ c"
+        assert markup.markdown_blocks(lines) == "a\nb\nlazy\nc"
+    assert markup.markdown_blocks("\n".join("  " * i + f"- x{i}" for i in range(1000))) == "\n".join(f"x{i}" for i in range(1000))
+
+
 def test_html_strings(spark):
     for text, want in HTML:
         assert markup.html_strings(text) == want, text
@@ -43,7 +51,7 @@ def test_formats_by_suffix(spark):
     assert [r["x"] for r in got] == ["x", "x", "x", "# x", "<p>x</p>", None]
 
 
-@pytest.mark.parametrize("text", ["> a\nb\n" * 20_000, "- a\n" * 20_000 + "x\n" * 20_000, ("> " * 90 + "a\n") * 500, "- " * 5000 + "x", "[a]: b\n" * 20_000, "[" * 50_000, "<" * 50_000, "`" * 50_000, "#" * 50_000, "- \n" * 20_000, "    x\n" * 20_000])
+@pytest.mark.parametrize("text", ["> a\nb\n" * 20_000, "- a\n" * 20_000 + "x\n" * 20_000, ("> " * 90 + "a\n") * 500, "> " * 500_000 + "x", "- " * 5000 + "x", "[a]: b\n" * 20_000, "[" * 50_000, "<" * 50_000, "`" * 50_000, "#" * 50_000, "- \n" * 20_000, "    x\n" * 20_000])
 def test_long_input_takes_time_in_proportion(text):
     began = time.perf_counter()
     markup.markdown_blocks(text)
