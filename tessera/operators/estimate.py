@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import correlation, percentile
 from ..sources.sinks import written
-from .order import average_ranks, cumulative, quantiles, ranks_within, row_number
+from .order import average_ranks, cumulative, quantiles, ranges, ranks_within, row_number, spread
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str], empty: float | None = 0.0) -> DataFrame:
@@ -50,14 +50,28 @@ def cluster_means(rows: DataFrame, value: str, cluster: str, by: list[str], reps
     return draws(sums, cluster, by, reps, seed).join(sums, [*by, cluster]).groupBy("rep", *by).agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("c"))).alias("mean"))
 
 
-def cluster_medians(rows: DataFrame, value: str, cluster: str, by: list[str], reps: int, seed: str = "7") -> DataFrame:
-    """``rep, by..., median``: the median of the values, each as often as its cluster was drawn."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, cluster, value).agg(F.count(F.lit(1)).alias("c"))
-    weighted = draws(rows.select(*by, cluster).distinct(), cluster, by, reps, seed).join(counts, [*by, cluster]).groupBy("rep", *by, value).agg(F.sum(F.col("w") * F.col("c")).alias("w"))
-    order = Window.partitionBy("rep", *by).orderBy(value)
-    run = weighted.withColumn("upto", F.sum("w").over(order)).withColumn("all", F.sum("w").over(Window.partitionBy("rep", *by)))
-    at = lambda p: F.max(F.when((p > F.col("upto") - F.col("w")) & (p <= F.col("upto")), F.col(value)))
-    return run.groupBy("rep", *by).agg(((at(F.floor((F.col("all") - 1) / 2) + 1) + at(F.floor(F.col("all") / 2) + 1)) / 2).alias("median"))
+def cluster_medians(rows: DataFrame, value: str, cluster: str, by: list[str], reps: int, seed: str = "7", buckets: int | None = None) -> DataFrame:
+    """``rep, by..., median``: the median of the values, each as often as its cluster was drawn.
+
+    All replicates share ranges of values. Sums by range say which one or two ranges hold a replicate's middle; only their values are
+    weighed one by one, so no task sorts a replicate's values. ``buckets``: how many ranges, by default as ``spread`` says.
+    """
+    buckets = spread(rows) if buckets is None else buckets
+    counts = ranges(rows.where(F.col(value).isNotNull()), value, by, buckets).groupBy(*by, cluster, "range", value).agg(F.count(F.lit(1)).alias("c"))
+    counts = written(counts, "counts")
+    drawn = written(draws(rows.select(*by, cluster).distinct(), cluster, by, reps, seed), "draws")
+    sizes = counts.groupBy(*by, cluster, "range").agg(F.sum("c").alias("c"))
+    sums = drawn.join(sizes, [*by, cluster]).groupBy("rep", *by, "range").agg(F.sum(F.col("w") * F.col("c")).alias("n"))
+    order = Window.partitionBy("rep", *by).orderBy("range")  # ``buckets`` rows at most
+    upto, whole = F.sum("n").over(order), F.sum("n").over(Window.partitionBy("rep", *by))
+    sums = sums.select("rep", *by, "range", (upto - F.col("n")).alias("before"), upto.alias("upto"), F.floor((whole - 1) / 2).alias("low"), F.floor(whole / 2).alias("high"))
+    holds = lambda p: (F.col(p) >= F.col("before")) & (F.col(p) < F.col("upto"))
+    middle = written(sums.where(holds("low") | holds("high")).drop("upto"), "middle")
+    near = counts.join(middle, [*by, "range"]).join(drawn, ["rep", *by, cluster]).groupBy("rep", *by, "range", "before", "low", "high", value).agg(F.sum(F.col("w") * F.col("c")).alias("n"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("rep", *by, "range").orderBy(value))
+    run = near.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
+    at = lambda p: F.max(F.when(holds(p), F.col(value)))
+    return run.groupBy("rep", *by).agg(((at("low") + at("high")) / 2).alias("median"))
 
 
 def cluster_rank_correlations(rows: DataFrame, x: str, y: str, cluster: str, by: list[str], reps: int, seed: str = "7") -> DataFrame:

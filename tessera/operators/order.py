@@ -31,28 +31,56 @@ def _bucket(value: Column, buckets: int) -> Column:
     return coarse * _STEP + below(F.slice(F.col("cum_cuts"), coarse * _STEP + 1, F.lit(_STEP - 1)))
 
 
-def cumulative(df: DataFrame, value: str, by: list[str], buckets: int | None = None) -> DataFrame:
+#: Different values that one task of a cluster sorts; a bucket of more is dealt to buckets of its own.
+MOST = 200_000
+
+
+def cumulative(df: DataFrame, value: str, by: list[str], buckets: int | None = None, most: int = MOST) -> DataFrame:
     """``by..., value, cum_n, cum_before, cum_total``: each distinct non-null value, its count, and how many rows are less.
 
     ``by`` has few groups of any size. For many small groups use a window (``ranks_within``). ``buckets``: by default as
-    many as ``spread`` says.
+    many as ``spread`` says. With more than 32, a bucket of over ``most`` different values is dealt again, and so on, so the largest task follows ``most`` and
+    not the table.
     """
-    buckets = spread(df) if buckets is None else buckets
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cum_n"))
+    return _cumulated(counts, value, by, spread(df) if buckets is None else buckets, most, 0)
+
+
+def _cumulated(counts: DataFrame, value: str, by: list[str], buckets: int, most: int, depth: int) -> DataFrame:
+    place = f"cum_bucket{depth}"
     if buckets > 1:
         # Of the distinct values: these are what the buckets hold, and the counts' shuffle is read again.
         cuts = counts.groupBy(*by).agg(F.percentile_approx(value, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(max(1000, 10 * buckets))).alias("cum_cuts"))
-        counts = counts.join(F.broadcast(cuts), by) if by else counts.crossJoin(F.broadcast(cuts))
-        counts = counts.withColumn("cum_bucket", _bucket(F.col(value), buckets)).drop("cum_cuts")
+        few = cuts if depth else F.broadcast(cuts)  # the caller's groups are few; buckets that are dealt again need not be
+        counts = counts.join(few, by) if by else counts.crossJoin(few)
+        counts = counts.withColumn(place, _bucket(F.col(value), buckets)).drop("cum_cuts")
     else:
-        counts = counts.withColumn("cum_bucket", F.lit(0))
-    inside = Window.partitionBy(*by, "cum_bucket").orderBy(value)
-    counts = counts.withColumn("cum_inside", F.sum("cum_n").over(inside) - F.col("cum_n"))
-    sums = counts.groupBy(*by, "cum_bucket").agg(F.sum("cum_n").alias("cum_size"))
-    ordered = Window.partitionBy(*by).orderBy("cum_bucket")  # at most ``buckets`` rows a group
+        counts = counts.withColumn(place, F.lit(0))
+    own = [*by, place]
+    inside = (F.sum("cum_n").over(Window.partitionBy(*own).orderBy(value)) - F.col("cum_n")).alias("cum_inside")
+    large = None
+    if buckets > _STEP:
+        counts = written(counts, "values")
+        large = written(counts.groupBy(*own).count().where(F.col("count") > most).select(*own), "large")
+    if large is None or large.isEmpty():
+        placed = counts.select("*", inside)
+    else:
+        deep = _cumulated(counts.join(large, own, "left_semi"), value, own, buckets, most, depth + 1)
+        placed = counts.join(large, own, "left_anti").select("*", inside).unionByName(deep.withColumnRenamed("cum_before", "cum_inside").drop("cum_total"))
+    sums = counts.groupBy(*own).agg(F.sum("cum_n").alias("cum_size"))
+    ordered = Window.partitionBy(*by).orderBy(place)  # at most ``buckets`` rows a group
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sums = sums.select(*by, "cum_bucket", (F.sum("cum_size").over(ordered) - F.col("cum_size")).alias("cum_offset"), F.sum("cum_size").over(whole).alias("cum_total"))
-    return counts.join(F.broadcast(sums), [*by, "cum_bucket"]).select(*by, value, "cum_n", (F.col("cum_offset") + F.col("cum_inside")).alias("cum_before"), "cum_total")
+    sums = sums.select(*own, (F.sum("cum_size").over(ordered) - F.col("cum_size")).alias("cum_offset"), F.sum("cum_size").over(whole).alias("cum_total"))
+    return placed.join(sums if depth else F.broadcast(sums), own).select(*by, value, "cum_n", (F.col("cum_offset") + F.col("cum_inside")).alias("cum_before"), "cum_total")
+
+
+def ranges(df: DataFrame, value: str, by: list[str], buckets: int, out: str = "range") -> DataFrame:
+    """Rows with the number of one of ``buckets`` ranges of about as many different values each, in order of the values within ``by``."""
+    if buckets == 1:
+        return df.withColumn(out, F.lit(0))
+    cuts = df.select(*by, value).distinct().groupBy(*by).agg(F.percentile_approx(value, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(max(1000, 10 * buckets))).alias("cum_cuts"))
+    dealt = df.join(cuts, by) if by else df.crossJoin(F.broadcast(cuts))
+    return dealt.withColumn(out, _bucket(F.col(value), buckets)).drop("cum_cuts")
 
 
 def positions(df: DataFrame, order: list[str], by: list[str], out: str = "position", total: str = "total") -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import estimate, order, selection
 
@@ -47,6 +48,45 @@ def test_ranks_in_many_buckets(spark, partitions):
                 assert got[r[1]] == ((v < r[2]).sum() + 1 + (v <= r[2]).sum()) / 2
 
 
+@pytest.mark.parametrize("n, most", [(400, 1), (3000, 8)])
+def test_the_largest_bucket_follows_a_parameter(spark, monkeypatch, n, most):
+    """Half of the rows share a value and most values lie close together: whatever the table's size, no bucket holds over ``most`` values."""
+    draw = np.random.default_rng(n)
+    x = np.where(draw.random(n) < 0.5, 7.0, np.where(draw.random(n) < 0.9, draw.random(n) * 1e-6, draw.random(n) * 1e6))
+    data = [("a" if i % 3 else "b", float(v)) for i, v in enumerate(x)]
+    sizes = []
+    kept = order._cumulated
+
+    def watched(counts, value, by, buckets, limit, depth):
+        out = kept(counts, value, by, buckets, limit, depth)
+        sizes.append(depth)
+        return out
+
+    monkeypatch.setattr(order, "_cumulated", watched)
+    df = spark.createDataFrame(data, "g string, x double")
+    got = {(r["g"], r["x"]): (r["cum_n"], r["cum_before"], r["cum_total"]) for r in order.cumulative(df, "x", ["g"], 64, most).collect()}
+    for g in "ab":
+        own = np.array([v for h, v in data if h == g])
+        values, counts = np.unique(own, return_counts=True)
+        before = np.cumsum(counts) - counts
+        assert [got[g, v] for v in values.tolist()] == [(c, b, len(own)) for c, b in zip(counts.tolist(), before.tolist(), strict=True)]
+    assert len(got) == len({*data}) and max(sizes) >= 1
+    ranged = order.ranges(df, "x", ["g"], 64)
+    assert ranged.groupBy("g", "range").agg(F.min("x").alias("l"), F.max("x").alias("h")).orderBy("g", "l").collect() and ranged.count() == n
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 64])
+def test_medians_of_resampled_clusters(spark, buckets):
+    data = [(g, f"{g}{i % 17}", None if i % 31 == 5 else float(v)) for g in "ab" for i, v in enumerate(np.random.default_rng(9).integers(0, 12, 200))]
+    df = spark.createDataFrame(data, "g string, k string, x double")
+    got = {(r["rep"], r["g"]): r["median"] for r in estimate.cluster_medians(df, "x", "k", ["g"], 12, buckets=buckets).collect()}
+    weights = {(r["rep"], r["g"], r["k"]): r["w"] for r in estimate.draws(df.select("g", "k").distinct(), "k", ["g"], 12).collect()}
+    for rep in range(12):
+        for g in "ab":
+            drawn = [x for h, k, x in data if h == g and x is not None for _ in range(weights.get((rep, g, k), 0))]
+            assert got[rep, g] == np.median(drawn)
+
+
 def plain_tau(x, y):
     s = dx = dy = 0
     for (a, b), (c, d) in itertools.combinations(zip(x, y, strict=True), 2):
