@@ -201,19 +201,23 @@ def _scanner(name: str, shared) -> Scanner:
     return _HELD[name]
 
 
+#: Stands for a null item id; named items have a mark before their id.
+UNNAMED = "-"
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 13, share: float = 0.05, most_bytes: int = 8 << 20) -> DataFrame:
     """For every document: ``key, n_words, n_hit, items array<string>, spans array<array<int>>, contaminated``.
 
     A document is contaminated if at least ``share`` of its words, and at least one, lie in an
     occurrence of a benchmark window. ``spans`` are code-point ranges of the source text. Null and
-    empty texts have no words and are clean; items without words never occur; an empty benchmark
+    empty texts have no words and are clean; items without words never occur; the words of an item without id are hit, but it isn't listed; an empty benchmark
     leaves all documents clean; repeated rows each get a row.
 
     The benchmark's size is summed first. Up to ``most_bytes`` of its text make one automaton (at some
     20 times the text's size in each worker process) and the documents are read once. A larger one is dealt by item into as many
     parts as it takes; for each the documents are read again, and what is found so far is written in between.
     """
-    items = benchmark.where(F.col(f"`{item_text}`").isNotNull() & F.col(f"`{item}`").isNotNull()).select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{item_text}`").cast("string").alias("text"))
+    items = benchmark.where(F.col(f"`{item_text}`").isNotNull()).select(F.coalesce(F.concat(F.lit("="), F.col(f"`{item}`").cast("string")), F.lit(UNNAMED)).alias("item"), F.col(f"`{item_text}`").cast("string").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-int(size) // most_bytes))
     limit = Fraction(str(share))
@@ -222,7 +226,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
     fields = [("n_words", "bigint"), ("n_hit", "bigint"), ("items", "array<string>"), ("spans", "array<array<int>>"), ("contaminated", "boolean")]
     closing = T.StructType([T.StructField(key, docs.schema[KEY].dataType), *(T.StructField(n, T._parse_datatype_string(t)) for n, t in fields)])
     for part in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
+        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
         shared = documents.sparkSession.sparkContext.broadcast(passages([tuple(r) for r in own.collect()], width))  # bounded above
         name = uuid.uuid4().hex
         if part < parts - 1:
@@ -232,7 +236,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
 
 def _found(scanner: Scanner, words: list[bytes], ranges: list, items: list) -> tuple[list[tuple[int, int]], list[str]]:
     more, names = scanner.ranges(words)
-    return merge([*ranges, *more]) if ranges else more, sorted({*items, *names})
+    return merge([*ranges, *more]) if ranges else more, sorted({*items, *(n[1:] for n in names if n != UNNAMED)})
 
 
 def _search(name: str, shared):

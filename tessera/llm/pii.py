@@ -81,8 +81,28 @@ _SPELLED = {
 }
 _WORD = "|".join(sorted(_SPELLED, key=lambda w: (-len(w), w)))
 #: Eight or more digits, at least one of them spelled, one after another: shorter runs are ordinary counting.
-_SPELLED_RUN = re.compile(rf"(?:(?<!\w)plus[\s-]+|\+)?(?<!\w)(?:{_WORD}|[0-9])(?:[\s,.()-]{{0,3}}(?<!\w|[0-9])?(?:{_WORD}|[0-9])(?!\w(?<![0-9]))){{7,}}", re.I)
+_TIMES = {"double": 2, "triple": 3}
+_SPELLED_UNIT = rf"(?:(?:{'|'.join(_TIMES)})[ \t-])?(?:{_WORD}|[0-9])"
+_SPELLED_RUN = re.compile(rf"(?:(?<!\w)plus[\s-]+|\+)?(?<!\w){_SPELLED_UNIT}(?:[\s,.()-]{{0,3}}(?<!\w|[0-9])?{_SPELLED_UNIT}(?!\w(?<![0-9]))){{7,}}", re.I)
 _SPELLED_ONE = re.compile(rf"(?<!\w)(?:{_WORD})(?!\w)", re.I)
+_UNIT = re.compile(rf"(?:({'|'.join(_TIMES)})[ \t-])?({_WORD}|[0-9])", re.I)
+#: An address as HTML entities, and one whose signs are words between one kind of joiner.
+_ENTITY = re.compile(r"&(?:(#64|#x40|commat)|#46|#x2e|period);", re.I)
+_JOINED = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9.%+]+(([_-])at\2)[A-Za-z0-9]+(?:\2dot\2[A-Za-z0-9]+)+(?![A-Za-z0-9])", re.I)
+_JOINED_DOT = re.compile(r"([_-])dot\1", re.I)
+#: Signs with blanks around them: "@" with blanks on both sides, dots without or with two.
+_SPACED = re.compile(r"(?<=[A-Za-z0-9])([ \t]+@[ \t]+)[A-Za-z0-9-]+(?:(?:[ \t]\.[ \t]|\.)[A-Za-z0-9-]+)*(?:[ \t]\.[ \t]|\.)[A-Za-z]{2,}(?!\w)")
+_SPACED_DOT = re.compile(r"[ \t]\.[ \t]")
+#: A spelled "at" before a host with plain dots is a disguise unless a word stands before it that is said of places.
+_AT_HOST = re.compile(r"(?<![A-Za-z0-9._%+@-])([A-Za-z0-9._%+-]+)([ \t]+(?:at|arroba)[ \t]+)(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w@]|[.-]\w)", re.I)
+# Words that stand before "at" and a site's name in plain sentences.
+_PLACED = frozenset(
+    "a about accessible aimed all also and are arrive arrived article at available be been begin begins blog book bought buy call can check code contact data demo details directed docs documentation download downloaded "
+    "email file files find findable following form found free from get go guide have here home hosted hosts in info information is it join just know learn line lines link links list listed live lives locate located log "
+    "login look looked looking mail me meet more more, news not now of off offer offered on online only or order out page pages photos point pointed points posted published purchase read register released report "
+    "resides run running runs save see sell served shop shopping sign site sold source start starts stay store stored support talk team that them then there this ticket tickets today up us version via video visible visit "
+    "was watch we website were will with work worked working works write you".split()
+)
 _AT_BRACKET = re.compile(r"[ \t]?[\[({<][ \t]?(?:at|arroba|ät|@)[ \t]?[\])}>][ \t]?", re.I)
 _DOT_BRACKET = re.compile(r"[ \t]?[\[({<][ \t]?(?:dot|punkt|point|punto|\.)[ \t]?[\])}>][ \t]?", re.I)
 #: Without brackets "at" counts only in a whole address: name at host dot end. Each blank run is tried once, from the name's last character.
@@ -93,6 +113,8 @@ _DOT_DIGITS = re.compile(r"(?<=[0-9])[ \t]+(?:dot|punto|punkt|point)[ \t]+(?=[0-
 _SIGNED_HOST = re.compile(r"(?:@|[\])}>])[ \t]?[A-Za-z0-9-]+(?:(?:[ \t]+(?:dot|punto|punkt|point)[ \t]+|\.)[A-Za-z0-9-]+)+", re.I)
 #: What each of the patterns with a bare spelled "dot" needs.
 _HAS_DOT = re.compile(r"(?:dot|punto|punkt|point)[ \t]", re.I)
+#: What the patterns with a spelled "at" of their own need.
+_HAS_AT = re.compile(r"[_-]at[_-]|[ \t](?:at|arroba)[ \t]+[A-Za-z0-9-]+\.[A-Za-z0-9]", re.I)
 _ODD = re.compile(f"[{''.join(_LOOKALIKE)}{re.escape(''.join(_POINTS))}{_UNSEEN}０-９٠-٩۰-۹०-९Ａ-Ｚａ-ｚ]")
 
 
@@ -152,7 +174,6 @@ def _letters(text: str) -> list[tuple[int, int, str]]:
     for m in _ODD.finditer(text):
         c = m[0]
         if c in _UNSEEN:
-            # Inside a word or number only: elsewhere it is a mere break.
             new = ""
         elif (new := _LOOKALIKE.get(c) or _POINTS.get(c)) is None:
             new = unicodedata.normalize("NFKC", c) if c >= "＀" else str(unicodedata.digit(c))
@@ -165,7 +186,7 @@ def _numbers(text: str) -> list[tuple[int, int, str]]:
     for m in _SPELLED_RUN.finditer(text):
         if not _SPELLED_ONE.search(m[0]):
             continue
-        digits = "".join(str(_SPELLED[p[0].lower()]) if p[0].lower() in _SPELLED else p[0] for p in re.finditer(rf"{_WORD}|[0-9]", m[0], re.I) if p[0])
+        digits = "".join(str(_SPELLED.get(p[2].lower(), p[2])) * _TIMES.get((p[1] or "").lower(), 1) for p in _UNIT.finditer(m[0]))
         plus = "+" if m[0][:1] == "+" or m[0][:4].lower() == "plus" else ""
         if plus or not (14 <= len(digits) <= 19 and luhn(digits)):
             plus = "+" if 10 <= len(digits) <= 15 else plus
@@ -200,6 +221,17 @@ def _signs(text: str, gated: bool = True) -> list[tuple[int, int, str]]:
     """``gated=False`` tries every pattern, also those whose fixed parts the text lacks; the edits are the same."""
     out = [(*m.span(), "@") for m in _AT_BRACKET.finditer(text)]
     out += [(*m.span(), ".") for m in _DOT_BRACKET.finditer(text)]
+    if not gated or "&" in text:
+        out += [(*m.span(), "@" if m[1] else ".") for m in _ENTITY.finditer(text)]
+    if not gated or " @" in text or "\t@" in text:
+        for m in _SPACED.finditer(text):
+            out.append((*m.span(1), "@"))
+            out += [(*d.span(), ".") for d in _SPACED_DOT.finditer(text, m.end(1), m.end())]
+    if not gated or _HAS_AT.search(text):
+        for m in _JOINED.finditer(text):
+            out.append((*m.span(1), "@"))
+            out += [(*d.span(), ".") for d in _JOINED_DOT.finditer(text, m.end(1), m.end())]
+        out += [(*m.span(2), "@") for m in _AT_HOST.finditer(text) if m[1].lower() not in _PLACED]
     if not gated or _HAS_DOT.search(text):
         out += [(*m.span(), ".") for m in _DOT_DIGITS.finditer(text)]
         upto = 0

@@ -1,9 +1,11 @@
 """The registered queries and the pipeline, columns as the contracts name them, on tables with nulls, empty, long, equal and repeated rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 from datetime import datetime, timedelta
 
@@ -422,3 +424,72 @@ def test_times_are_utc_in_any_session_zone(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == [int(at.replace(tzinfo=timezone.utc).timestamp()) * 10**6 + 123457, -1]
+
+
+@pytest.mark.parametrize("most", [8 << 20, 40])
+def test_items_without_an_id_are_hit_but_not_listed(spark, most):
+    docs = spark.createDataFrame([(1, "some words of the hidden item stand here"), (2, "the named item"), (3, "nothing")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "the hidden item"), (None, "stand here"), (7, "named item"), (8, "the hidden item")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in queries.decontaminate.decontaminate(docs, items, most_bytes=most).collect()}
+    assert [(got[i]["n_hit"], got[i]["items"], got[i]["contaminated"]) for i in (1, 2, 3)] == [(5, ["8"], True), (2, ["7"], True), (0, [], False)]
+
+
+def test_more_disguises():
+    for text, kind in (
+        ("jane at example.com", "email"), ("jane.doe at example.co.uk", "email"), ("jane_at_example_dot_com", "email"), ("jane-at-example-dot-com", "email"), ("jane @ example . com", "email"), ("jane&#64;example.com", "email"),
+        ("jane&commat;example&period;com", "email"), ("double five five triple two one nine oh four seven", "phone"),
+    ):
+        for before, after in (("", ""), ("mail (", ") soon"), ("🙂 to: ", ", please")):
+            text_ = before + text + after
+            assert pii.find(text_)[1] == [(len(before), len(before) + len(text), kind)], text_
+    for text in ("look at example.com", "more is available at docs.example.org.", "price 5 @ shop. Then go", "he was at home. Then", "state-of-the-art_at_scale", "x_at_y", "five double six and so on"):
+        assert pii.find(text)[1] == [], text
+    for long in ("a at b.c " * 100_000, "x_at_y_dot_" * 80_000, "a @ b . c " * 100_000, "double five " * 80_000, "&#64;" * 100_000):
+        began = time.time()
+        pii.find(long)
+        assert time.time() - began < 20
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["abc", "42", " ", "e", "@", "."]), max_size=12), st.data())
+def test_tapes_map_back(parts, data):
+    """Pieces rewritten in several rounds: what stands for a piece maps to the whole of it, what was left alone to itself."""
+    source = "".join(parts)
+    tape, held = pii.Tape(source), [(i, i + 1, c) for i, c in enumerate(source)]  # source range and text of each plain piece
+    for _ in range(3):
+        edits, at, text = [], 0, tape.text
+        while at < len(text):
+            size, keep = data.draw(st.integers(1, 3)), data.draw(st.booleans())
+            if not keep:
+                edits.append((at, min(len(text), at + size), data.draw(st.sampled_from(["", "x", "long"]))))
+            at += size
+        merged, place = [], 0
+        bounds = []
+        for a, b, c in held:
+            bounds.append((place, place + len(c), a, b, c))
+            place += len(c)
+        k = 0
+        for start, end, new in edits:
+            while k < len(bounds) and bounds[k][1] <= start:
+                merged.append(bounds[k][2:])
+                k += 1
+            inside = []
+            while k < len(bounds) and bounds[k][0] < end:
+                inside.append(bounds[k])
+                k += 1
+            if any(b[0] < start or b[1] > end for b in inside):
+                return  # a rewritten piece is cut: no transducer does that
+            merged.append((inside[0][2], inside[-1][3], new) if inside else (tape.source(start, end)[0],) * 2 + (new,))
+        merged += [b[2:] for b in bounds[k:]]
+        tape.rewrite(edits)
+        held = merged
+        assert tape.text == "".join(c for *_, c in held)
+        place = 0
+        for i, (a, b, c) in enumerate(held):
+            if c:
+                start, end = tape.source(place, place + len(c))
+                # What was taken out beside a piece may count with it.
+                behind = [x[1] for x in itertools.takewhile(lambda x: not x[2], held[i + 1 :])]
+                before = [x[0] for x in itertools.takewhile(lambda x: not x[2], held[:i][::-1])]
+                assert start in (a, *before) and end in (b, *behind)
+            place += len(c)
