@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..sources.sinks import written
 
 
 def document_frequency(sentences: DataFrame, text: str = "sent_text") -> DataFrame:
@@ -30,9 +31,25 @@ def term_counts(sentences: DataFrame, text: str = "sent_text") -> DataFrame:
     return rows.select("corpus_id", "sent_id", F.size("t").alias("n"), F.explode(each).alias("e")).select("corpus_id", "sent_id", "e.token", "e.tf", "n")
 
 
-def tfidf(sentences: DataFrame, text: str = "sent_text") -> DataFrame:
-    """``corpus_id, sent_id, tfidf_mean_nonzero, tfidf_max``: over the distinct tokens present; 0 without tokens."""
-    weights = term_counts(sentences, text).join(idf(sentences, text), ["corpus_id", "token"]).select("corpus_id", "sent_id", (F.col("tf") / F.col("n") * F.col("idf")).alias("w"))
+#: Tokens of all corpora whose idf one broadcast may hold.
+TOKENS = 500_000
+
+
+def tfidf(sentences: DataFrame, text: str = "sent_text", most: int = TOKENS) -> DataFrame:
+    """``corpus_id, sent_id, tfidf_mean_nonzero, tfidf_max``: over the distinct tokens present; 0 without tokens.
+
+    The idf table is written and counted. Up to ``most`` tokens it is broadcast, and a sentence's terms are summed where they are made. Of a larger one only
+    the tokens of a thousandth of a corpus' sentences or more are broadcast, which are few whatever the size; so no frequent token meets in one task.
+    """
+    table = written(idf(sentences, text).join(F.broadcast(sentences.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("sentences"))), "corpus_id"), "idf")
+    terms, on = term_counts(sentences, text), ["corpus_id", "token"]
+    if table.count() <= most:
+        met = terms.join(F.broadcast(table.select(*on, "idf")), on)
+    else:
+        frequent = table.where(F.col("df") * 1000 >= F.col("sentences")).select(*on, "idf")
+        rest = terms.join(F.broadcast(frequent), on, "left_anti").join(table.select(*on, "idf"), on)
+        met = terms.join(F.broadcast(frequent), on).unionByName(rest)
+    weights = met.select("corpus_id", "sent_id", (F.col("tf") / F.col("n") * F.col("idf")).alias("w"))
     stats = weights.groupBy("corpus_id", "sent_id").agg(F.avg("w").alias("tfidf_mean_nonzero"), F.max("w").alias("tfidf_max"))
     return sentences.select("corpus_id", "sent_id").join(stats, ["corpus_id", "sent_id"], "left").na.fill(0.0, ["tfidf_mean_nonzero", "tfidf_max"])
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import estimate, order, selection
+from tessera.operators import estimate, features, order, selection
 
 
 @pytest.fixture(params=["4", "70"])
@@ -87,6 +87,16 @@ def test_medians_of_resampled_clusters(spark, buckets):
             assert got[rep, g] == np.median(drawn)
 
 
+def test_tfidf_with_few_and_many_tokens(spark):
+    data = [("a" if i % 3 else "b", f"s{i}", " ".join(f"w{j}" for j in range(i % 9) if (i * 7 + j) % 4) + (" the" if i % 5 else "") + (" rare%d" % i if i % 50 == 1 else "")) for i in range(2500)]
+    df = spark.createDataFrame(data, "corpus_id string, sent_id string, sent_text string")
+    few, many = (sorted(tuple(r) for r in features.tfidf(df, most=most).collect()) for most in (10**6, 0))
+    assert len(few) == len(many) == len(data)
+    for x, y in zip(few, many, strict=True):
+        assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:])
+    assert {r[1] for r in few if r[2] == 0} == {i for _, i, t in data if not t.strip()}
+
+
 def plain_tau(x, y):
     s = dx = dy = 0
     for (a, b), (c, d) in itertools.combinations(zip(x, y, strict=True), 2):
