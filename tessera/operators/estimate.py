@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,35 +152,76 @@ def spline_knots(df: DataFrame, value: str, ps: tuple[float, ...] = (0.05, 0.275
     return knots
 
 
+#: Rows of a design that are factored at once, and factors that meet in one step of the tree.
+_ROWS, _FAN = 4096, 16
+
+
+def _factor(parts: list[np.ndarray]) -> np.ndarray:
+    return np.linalg.qr(np.vstack(parts), mode="r")
+
+
+def triangle(design: DataFrame) -> np.ndarray:
+    """The triangle R of a QR factorisation of all columns of a design: blocks of rows are factored in their tasks, and factors merged in a tree, ``_FAN`` at a time.
+
+    R holds all that least squares need, and unlike X'X it does not square the design's condition. Rows with a null are left out.
+    """
+    width = len(design.columns)
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[np.ndarray] = []
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) if batch.num_rows else np.zeros((0, width))
+            for i in range(0, len(x), _ROWS):
+                own = [_factor([*own, x[i : i + _ROWS]])]
+        if own:
+            yield pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId()], pa.int64()), "r": pa.array([own[0].ravel().tolist()], pa.list_(pa.float64()))})
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [_factor([np.array(x["r"]).reshape(-1, width) for x in held]).ravel().tolist() for held in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(each, pa.list_(pa.float64()))], names=["slot", "r"])
+
+    kind = "slot long, r array<double>"
+    factors = written(design.na.drop().mapInArrow(leaves, kind), "factors")
+    while (factors.agg(F.max("slot")).first()[0] or 0) > 0:
+        held = factors.groupBy(F.floor(F.col("slot") / _FAN).cast("long").alias("slot")).agg(F.array_sort(F.collect_list(F.struct("slot", "r"))).alias("held"))  # _FAN at most
+        factors = written(held.mapInArrow(merged, kind), "factors")
+    last = factors.first()
+    return np.array(last["r"]).reshape(-1, width) if last else np.zeros((0, width))
+
+
 def cluster_ols(rows: DataFrame, y: str, terms: dict[str, Column], cluster: str) -> dict:
     """Least squares with CR1 cluster-robust covariance.
 
-    X'X, X'y and the clusters' scores are sums in Spark; only p by p matrices come to the driver. Returns
-    names, coefficients, standard errors, n, clusters, r2, rmse and condition; ValueError if X'X is singular.
+    Coefficients come from the triangle of a QR factorisation merged over the tasks, the clusters' scores are sums in Spark; only p by p matrices come to the driver.
+    Returns names, coefficients, standard errors, n, clusters, r2, rmse, rank and condition (of the design with columns of length one); ValueError if it is not of full rank.
     """
     names, p = list(terms), len(terms)
     x = [F.col(f"x{i}") for i in range(p)]
     d = rows.select(F.col(y).cast("double").alias("y"), F.col(cluster).alias("g"), *(c.cast("double").alias(f"x{i}") for i, c in enumerate(terms.values())))
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    s = d.agg(*(F.sum(x[i] * x[j]).alias(f"a{i}_{j}") for i, j in pairs), *(F.sum(x[i] * F.col("y")).alias(f"b{i}") for i in range(p)), F.sum(F.col("y") ** 2).alias("yy"), F.sum("y").alias("ys"), F.count(F.lit(1)).alias("n"), F.countDistinct("g").alias("groups")).first()
-    xtx, xty = np.zeros((p, p)), np.array([s[f"b{i}"] for i in range(p)])
-    for i, j in pairs:
-        xtx[i, j] = xtx[j, i] = s[f"a{i}_{j}"]
-    scale = np.sqrt(np.diag(xtx))
-    values = np.linalg.eigvalsh(xtx / np.outer(scale, scale))
-    if values[0] <= 1e-12 * values[-1]:
-        raise ValueError("the design is not of full rank")
-    beta, inverse = np.linalg.solve(xtx, xty), np.linalg.inv(xtx)
+    d = written(d.na.drop(subset=["y", *(f"x{i}" for i in range(p))]), "design")
+    s = d.agg(F.sum(F.col("y") ** 2).alias("yy"), F.sum("y").alias("ys"), F.count(F.lit(1)).alias("n"), F.countDistinct("g").alias("groups")).first()
+    r = triangle(d.select(*(f"x{i}" for i in range(p)), "y"))
+    r = np.vstack([r, np.zeros((max(0, p + 1 - len(r)), p + 1))])
+    length = np.linalg.norm(r[:, :p], axis=0)
+    sizes = np.linalg.svd(r[:p, :p] / np.where(length > 0, length, 1), compute_uv=False)
+    rank = int((sizes > 1e-12 * sizes[0]).sum()) if sizes[0] > 0 else 0
+    if rank < p:
+        raise ValueError(f"the design is not of full rank: {rank} of {p}")
+    beta, back = np.linalg.solve(r[:p, :p], r[:p, p]), np.linalg.inv(r[:p, :p])
+    inverse = back @ back.T
     fitted = sum((x[i] * float(beta[i]) for i in range(1, p)), x[0] * float(beta[0]))
     e = d.withColumn("e", F.col("y") - fitted)
     scores = e.groupBy("g").agg(*(F.sum(x[i] * F.col("e")).alias(f"s{i}") for i in range(p)), F.sum(F.col("e") ** 2).alias("ee"))
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
     m = scores.agg(*(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i, j in pairs), F.sum("ee").alias("sse")).first()
     meat = np.zeros((p, p))
     for i, j in pairs:
         meat[i, j] = meat[j, i] = m[f"m{i}_{j}"]
     n, g = s["n"], s["groups"]
     cov = inverse @ meat @ inverse * (g / (g - 1) * (n - 1) / (n - p))
-    return {"names": names, "beta": beta, "cov": cov, "se": np.sqrt(np.diag(cov)), "n": n, "clusters": g, "sse": m["sse"], "r2": 1 - m["sse"] / (s["yy"] - s["ys"] ** 2 / n), "rmse": float(np.sqrt(m["sse"] / n)), "condition": float(np.sqrt(values[-1] / values[0]))}
+    fit = {"names": names, "beta": beta, "cov": cov, "se": np.sqrt(np.diag(cov)), "n": n, "clusters": g, "sse": m["sse"], "r2": 1 - m["sse"] / (s["yy"] - s["ys"] ** 2 / n), "rmse": float(np.sqrt(m["sse"] / n))}
+    return fit | {"rank": rank, "condition": float(sizes[0] / sizes[-1])}
 
 
 #: Fixed value: the two-sided 95 % point of the normal distribution.

@@ -35,9 +35,9 @@ def _(v):
     return got.select(F.col("doc_path").alias("path"), F.octet_length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("digest"))
 
 
-@query("s5_wiki_scan", "SELECT lpad(CAST(row_number() OVER (ORDER BY page_id) AS VARCHAR), 4, '0') || '_page_' || page_id || '.txt' AS doc_path, 'page ' || page_id AS title FROM (SELECT page_id FROM pages WHERE page_id % 3 <> 0 AND page_id % 5 <> 0 ORDER BY page_id LIMIT 50)")
+@query("s5_wiki_scan", "SELECT lpad(CAST(row_number() OVER (ORDER BY page_id % 2, page_id) AS VARCHAR), 4, '0') || '_page_' || page_id || '.txt' AS doc_path, 'page ' || page_id AS title FROM (SELECT page_id FROM pages WHERE page_id % 3 <> 0 AND page_id % 5 <> 0 ORDER BY page_id % 2, page_id LIMIT 50)")
 def _(v):
-    """Every third page is a redirect and every fifth in another namespace; the first fifty others are read, which is the scan's own limit."""
+    """Two sets of shards whose ids interleave. Every third page is a redirect and every fifth in another namespace; the first fifty others in the order of shards are read, which is the scan's own limit."""
     k = F.col("page_id")
     tail = F.when(k % 3 == 0, '<redirect title="x"/>').otherwise("")
     body = F.format_string("<page><id>%d</id><ns>%d</ns><title>page %d</title>%s<revision><text a='1'>text %d</text></revision></page>", k, F.when(k % 5 == 0, 1).otherwise(0), k, tail, k)
@@ -49,7 +49,9 @@ def _(v):
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
         yield pa.RecordBatch.from_pydict({"value": ["</dump>"]})
 
-    v.table("pages").select(body.alias("value")).mapInArrow(shard, "value string").write.option("compression", "bzip2").text(root)
+    for name, half in (("b", 1), ("a", 0)):
+        pages = v.table("pages").where(k % 2 == half).select("page_id", body.alias("value")).repartitionByRange(4, "page_id").sortWithinPartitions("page_id")
+        pages.select("value").mapInArrow(shard, "value string").write.option("compression", "bzip2").text(f"{root}/{name}")
     return readers.wiki_pages(v.spark, root, 50).select("doc_path", "title")
 
 

@@ -133,13 +133,43 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def wiki_pages(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """``doc_path, title, content`` of the first n articles of a dump, by page id: namespace 0, no redirect, not empty."""
+    """``doc_path, title, content`` of the first n articles of a dump: namespace 0, no redirect, with a title and a text.
+
+    First is what comes first in the shards by name, and within a shard where it stands: pages are numbered by shard, split and place. Shards
+    are counted from the first on, twice as many each time, until they have n articles; those behind are not read.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.globStatus(root) or []
+    files, folders = [], list(found)
+    while folders:
+        for status in system.listStatus(folders.pop().getPath()):
+            name = status.getPath().getName()
+            if not name.startswith(("_", ".")):
+                (folders if status.isDirectory() else files).append(status)
+    shards = sorted({s.getPath().toString() for s in files})
     schema = "id long, ns int, title string, redirect struct<_title: string>, revision struct<text: struct<_VALUE: string>>"
-    p = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path)
-    body = F.coalesce("revision.text._VALUE", F.lit(""))
-    good = p.where((F.col("ns") == 0) & F.col("redirect").isNull() & (F.trim(body) != "")).select("id", "title", body.alias("content")).orderBy("id").limit(n)
-    i = F.row_number().over(Window.orderBy("id"))  # n rows
-    return good.select(F.concat(F.lpad(i.cast("string"), 4, "0"), F.lit("_"), slug(F.col("title")), F.lit(".txt")).alias("doc_path"), "title", "content")
+
+    def articles(names: list[str]) -> DataFrame:
+        pages = spark.read.format("xml").option("rowTag", "page").schema(schema).load(names)
+        body, title = F.btrim(F.coalesce("revision.text._VALUE", F.lit("")), F.lit(_WHITE)), F.btrim(F.coalesce("title", F.lit("")), F.lit(_WHITE))
+        place = (F.col("_metadata.file_path").alias("shard"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
+        return pages.select(*place, "ns", "redirect", title.alias("title"), body.alias("content")).where((F.col("ns") == 0) & F.col("redirect").isNull() & (F.col("title") != "") & (F.col("content") != ""))
+
+    upto = total = 0
+    while upto < len(shards) and total < n:
+        more = shards[upto : 2 * upto + 1]
+        total += articles(more).count()
+        upto += len(more)
+    if not upto:
+        return spark.createDataFrame([], "doc_path string, title string, content string")
+    order = ["shard", "split", "place"]
+    first = articles(shards[:upto]).orderBy(*order).limit(n)
+    i = F.row_number().over(Window.orderBy(*order))  # n rows
+    return first.select(F.concat(F.format_string("%04d_", i), slug(F.col("title")), F.lit(".txt")).alias("doc_path"), "title", "content")
+
+
+_WHITE = " \t\n\r\f\v"
 
 
 def annotated_name(path: Column) -> tuple[Column, Column]:

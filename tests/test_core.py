@@ -132,9 +132,25 @@ def test_ols_matches_numpy(spark):
     assert estimate.contrast(fit, {"x": 1.0})[:2] == pytest.approx((beta[1], math.sqrt(cov[1, 1])))
     with pytest.raises(ValueError, match="rank"):
         estimate.cluster_ols(df, "y", {"one": F.lit(1.0), "two": F.lit(2.0)}, "g")
+    assert fit["rank"] == 2
     assert estimate.heterogeneous([0.1, -0.01]) and not estimate.heterogeneous([0.1, 0.15])
 
 
+def test_least_squares_of_a_design_near_to_singular(spark, monkeypatch):
+    """Powers of a narrow range: X'X would lose all digits of it; factors are merged in two steps of the tree."""
+    monkeypatch.setattr(estimate, "_FAN", 3)
+    draw = np.random.default_rng(2)
+    x = 1 + draw.random(900) / 50
+    d = np.stack([x**k for k in range(4)], 1)
+    y = d @ [1.0, -2.0, 3.0, 0.5] + draw.normal(size=900) / 1e6
+    df = spark.createDataFrame([(float(a), float(b), i % 30) for i, (a, b) in enumerate(zip(x, y, strict=True))], "x double, y double, g long").repartition(11)
+    fit = estimate.cluster_ols(df, "y", {f"x{k}": F.pow(F.col("x"), F.lit(float(k))) for k in range(4)}, "g")
+    want = np.linalg.lstsq(d, y, rcond=None)[0]
+    assert 1e7 < fit["condition"] < 1e9 and fit["rank"] == 4
+    assert np.abs(d @ fit["beta"] - d @ want).max() < 1e-9 and fit["beta"] == pytest.approx(want, rel=1e-5)
+    assert estimate.triangle(df.select("x", "y").limit(0)).shape == (0, 2)
+
+
 def test_draws_are_multinomial_and_stable(spark):
     units = spark.createDataFrame([("a", str(i)) for i in range(40)], "g string, k string")
     got = estimate.draws(units, "k", ["g"], 30).collect()
@@ -203,6 +219,13 @@ def test_readers(spark, tmp_path):
     assert readers.scores(spark, f"{tmp_path}/d.tsv", "last").count() == 1
     (tmp_path / "w.xml").write_text("<m><page><id>2</id><ns>0</ns><title>B c</title><revision><text a='1'>two</text></revision></page><page><id>1</id><ns>0</ns><title>A</title><redirect title='x'/><revision><text a='1'>r</text></revision></page><page><id>3</id><ns>1</ns><title>T</title><revision><text a='1'>t</text></revision></page></m>")
     assert [(r.doc_path, r.content) for r in readers.wiki_pages(spark, f"{tmp_path}/w.xml", 5).collect()] == [("0001_B_c.txt", "two")]
+    page = lambda i: f"<page><id>{i}</id><ns>0</ns><title> P{i} </title><revision><text a='1'>text {i}</text></revision></page>"
+    for name, ids in (("dump-b", (1, 4, 6)), ("dump-a", (5, 2)), ("dump-c", (0, 3))):  # ids interleave, and are out of order in a shard
+        (tmp_path / "shards").mkdir(exist_ok=True)
+        (tmp_path / f"shards/{name}.xml").write_text("<m>" + "".join(map(page, ids)) + page(9).replace("text 9", " ") + "</m>")
+    for n in (2, 4, 100):
+        assert [r.doc_path for r in readers.wiki_pages(spark, f"{tmp_path}/shards", n).orderBy("doc_path").collect()] == [f"{i:04d}_P{p}.txt" for i, p in enumerate((5, 2, 1, 4, 6, 0, 3), 1)][:n]
+    assert readers.wiki_pages(spark, f"{tmp_path}/shards/none*", 3).count() == 0
     with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
         z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>hello</t></si></sst>')
         z.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1"><v>5</v></c><c r="C1" t="inlineStr"><is><t>X</t></is></c></row></sheetData></worksheet>')
