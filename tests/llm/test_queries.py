@@ -159,6 +159,7 @@ def test_empty_tables(spark, tmp_path):
     docs = "doc_id long, text string, lang string, source string, n_chars long"
     for name, schema in (("documents", docs), ("benchmark", "item_id long, text string"), ("embeddings", "vec_id long, embedding array<float>"), ("pages", "page_id long, url string, html string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    shop_tables(spark, tmp_path, [], [], [])
     for name, query in queries.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
     import corpus_pipeline
