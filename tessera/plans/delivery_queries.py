@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.numeric import q6
 from ..operators import governance, scoring
-from ..sources import readers, sinks
+from ..sources import archives, readers, sinks, workbooks
 from .views import lit, sql, sql_q6, sql_uniform, sql_words
 
 ALL: dict = {}
@@ -66,11 +66,40 @@ def _(v):
 
 @query("s12_workbook", "SELECT CAST(case_id AS VARCHAR) AS case_id, max(CAST(slot AS VARCHAR)) AS slot, 0 AS changed FROM reviews GROUP BY 1")
 def _(v):
-    """A review packet, one row a case, handed off as a workbook and read back; a packet is small by its own rule."""
+    """A review packet, one row a case, handed off as workbooks and read back; only the column to be filled in comes back changed."""
     packet = v.reviews().groupBy(F.col("case_id").cast("string").alias("case_id")).agg(F.max(F.col("slot").cast("string")).alias("slot"))
-    book = readers.xlsx(sinks.hand_off(packet, "case_id", ["slot"]))
-    rows = [(r["case_id"], r["slot"], len(readers.changed_cells(book, book, ("B",)))) for r in readers.sheet(book)]
-    return v.spark.createDataFrame(rows, "case_id string, slot string, changed int")
+    root = sinks.scratch(v.spark, "books")
+    workbooks.hand_offs(packet, "case_id", ["slot"], root, 2000)
+    found = workbooks.cells(v.spark, root)
+    filled = found.withColumn("value", F.when((F.col("column") == "B") & (F.col("row") > 1), F.concat("value", F.lit("!"))).otherwise(F.col("value")))
+    differ = workbooks.changed(found, filled, ["B"]).groupBy("book", "sheet", "row").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    rows = workbooks.table(found, ["case_id", "slot"]).withColumn("book", F.element_at(F.split("book", "/"), -1))
+    return rows.join(differ, ["book", "sheet", "row"], "left").select("case_id", "slot", F.coalesce("n", F.lit(0)).alias("changed"))
+
+
+_SENT = "SELECT DISTINCT CAST(case_id AS VARCHAR) || '/' || CAST(slot AS VARCHAR) AS id, case_id, edit_type, side, rating FROM reviews WHERE case_id IS NOT NULL AND slot IS NOT NULL"
+
+
+@query(
+    "s12_returned_workbooks",
+    """SELECT id, 'B' AS "column", edit_type AS released, CASE WHEN case_id % 7 = 2 THEN upper(edit_type) END AS returned FROM sent WHERE case_id % 7 IN (2, 4)
+    UNION ALL SELECT id, 'C', side, side || ' & <more>' FROM sent WHERE case_id % 11 = 3""",
+    sent=_SENT,
+)
+def _(v):
+    """Workbooks come back with ratings, which are for the reviewer to fill in, and with cells changed that are not: some rewritten, some emptied, some longer."""
+    r, k = v.reviews(), F.col("case_id")
+    sent = r.where("case_id is not null and slot is not null").select(F.concat(k.cast("string"), F.lit("/"), F.col("slot").cast("string")).alias("id"), "edit_type", "side", "case_id", "rating")
+    sent = sinks.written(sent.distinct(), "sent")
+    kind = F.when(k % 7 == 2, F.upper("edit_type")).when(k % 7 == 4, None).otherwise(F.col("edit_type"))
+    side = F.when(k % 11 == 3, F.concat("side", F.lit(" & <more>"))).otherwise(F.col("side"))
+    one, two = sinks.scratch(v.spark, "released"), sinks.scratch(v.spark, "returned")
+    workbooks.hand_offs(sent.select("id", "edit_type", "side", F.lit(None).cast("string").alias("rating")), "id", ["edit_type", "side"], one, 2000)
+    workbooks.hand_offs(sent.select("id", kind.alias("edit_type"), side.alias("side"), "rating"), "id", ["rating"], two, 2000)
+    released = sinks.written(workbooks.cells(v.spark, one), "released-cells")
+    differ = workbooks.changed(released, workbooks.cells(v.spark, two), ["D"])
+    rows = workbooks.table(released, ["id"]).withColumn("book", F.element_at(F.split("book", "/"), -1))
+    return differ.join(rows, ["book", "sheet", "row"]).select("id", "column", "released", "returned")
 
 
 @query("k3_scorer_files", f"SELECT sent_id, array_to_string({sql_words('sent_text')}, ' ') AS tokens FROM sentences")
@@ -221,13 +250,37 @@ def _(v):
 
 @query("s13_archive_member", _STAT)
 def _(v):
-    """A table's rows as members of a packed archive, the same bytes in whatever order they are put in; each is read back by its name."""
-    rows = {f"stats/{r['corpus_id']}.json": json.dumps(r.asDict()).encode() for r in _stats(v).collect()}  # a row a corpus
-    packed = sinks.archive(rows)
-    if packed != sinks.archive(dict(reversed(rows.items()))):
-        raise AssertionError("the archive depends on the order of its members")
-    back = [json.loads(readers.archive_member(packed, name)) for name in rows]
-    return v.spark.createDataFrame([(b["corpus_id"], b["n"], b["mean"], b["least"]) for b in back], "corpus_id string, n long, mean double, least double")
+    """A table's rows as members of a packed archive, each read back by its name."""
+    rows = _stats(v).select(F.lit("stats.zip").alias("archive"), F.concat(F.lit("stats/"), "corpus_id", F.lit(".json")).alias("name"), F.to_json(F.struct("*")).alias("content"))
+    root = sinks.scratch(v.spark, "stats")
+    archives.packed(rows, root)
+    back = archives.members(v.spark, root, "stats/*.json").select(F.from_json(F.decode("content", "utf-8"), "corpus_id string, n long, mean double, least double").alias("r"))
+    return back.select("r.*")
+
+
+_SHARD = "'docs-' || CAST(CAST('0x' || substr(sha256(doc_path), 1, 4) AS BIGINT) % 16 AS VARCHAR) || '.zip'"
+
+
+@query("s13_archive_members", f"SELECT {_SHARD} AS archive, {_MD} AS name, CAST(strlen(content) AS BIGINT) AS size_bytes, CAST(strlen(content) // 4096 + CASE WHEN strlen(content) % 4096 > 0 OR strlen(content) = 0 THEN 1 ELSE 0 END AS BIGINT) AS pieces, sha256(content) AS sha256 FROM docs")
+def _(v):
+    """All documents as members of sixteen archives, read back in pieces of up to 4 KB."""
+    shard = F.conv(F.substring(F.sha2("doc_path", 256), 1, 4), 16, 10).cast("long") % 16
+    docs = v.docs().select(F.concat(F.lit("docs-"), shard.cast("string"), F.lit(".zip")).alias("archive"), F.concat("corpus_id", F.lit("/"), "doc_path", F.lit(".md")).alias("name"), "content")
+    root = sinks.scratch(v.spark, "archives")
+    archives.packed(docs, root)
+    found = archives.members(v.spark, root, piece=4096, block=1 << 20)
+    whole = found.groupBy("archive", "name", "size_bytes").agg(F.count(F.lit(1)).alias("pieces"), F.max("sha256").alias("sha256"))
+    return whole.withColumn("archive", F.element_at(F.split("archive", "/"), -1))
+
+
+@query("v8_archive_contract", f"SELECT archive, name, CASE WHEN h % 5 = 0 THEN 'missing' WHEN h % 5 = 1 THEN 'not in the contract' ELSE 'differs' END AS problem FROM (SELECT {_SHARD} AS archive, {_MD} AS name, CAST('0x' || substr(sha256(doc_path), 5, 4) AS BIGINT) AS h FROM docs) WHERE h % 5 < 3")
+def _(v):
+    """Archives against the hashes that were promised: of five documents one was not packed, one not promised, and one packed with another text."""
+    part = lambda i: F.conv(F.substring(F.sha2("doc_path", 256), i, 4), 16, 10).cast("long")
+    docs = v.docs().select(F.concat(F.lit("docs-"), (part(1) % 16).cast("string"), F.lit(".zip")).alias("archive"), F.concat("corpus_id", F.lit("/"), "doc_path", F.lit(".md")).alias("name"), "content", (part(5) % 5).alias("h"))
+    root = sinks.scratch(v.spark, "promised")
+    archives.packed(docs.where("h <> 0").select("archive", "name", F.when(F.col("h") == 2, F.concat("content", F.lit("."))).otherwise(F.col("content")).alias("content")), root)
+    return archives.bound(archives.members(v.spark, root), docs.where("h <> 1").select("archive", "name", F.sha2("content", 256).alias("sha256")))
 
 
 @query("m3_override", "SELECT event_type, count(*) AS n FROM events WHERE value >= 25.5 GROUP BY 1")

@@ -11,8 +11,11 @@ import tarfile
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from itertools import chain
+from typing import BinaryIO
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -82,7 +85,7 @@ def files(df: DataFrame, root: str) -> DataFrame:
     def run(batches):
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(_uri(root))
+        system, base = fs.FileSystem.from_uri(uri(root))
         made = set()
         for batch in batches:
             paths, sizes = [], []
@@ -104,7 +107,7 @@ def files(df: DataFrame, root: str) -> DataFrame:
     return written(df.mapInArrow(run, "path string, size_bytes long"), "files")
 
 
-def _uri(path: str) -> str:
+def uri(path: str) -> str:
     """An address with a scheme; Spark's ``file:/x`` has a slash or three."""
     return f"file://{path}" if path.startswith("/") else re.sub("^file:/+", "file:///", path)
 
@@ -133,14 +136,18 @@ def qa_note(spark: SparkSession, path: str) -> Iterator[None]:
 
 def legacy_bundle(df: DataFrame, key: str, text: str, path: str, label: str = "0") -> DataFrame:
     """Input of scorers that read a target file and drop its first row: ``path/target.txt`` with the first row doubled, ``path/labels.txt`` with as many
-    filler labels, and the row map ``row, key``, from 1, in the order of keys. One file is one task's work.
+    filler labels, and the row map ``row, key``, from 1, in the order of keys.
+
+    Rows are numbered and written by ranges of keys, a part file each; in the order of their names the parts are the scorer's file.
     """
-    numbered = df.select(F.col(key).alias("k"), F.regexp_replace(text, r"[\r\n]+", " ").alias("t")).orderBy("k").coalesce(1).select(F.monotonically_increasing_id().alias("row"), "k", "t")
-    held = written(numbered, "bundle")
-    lines = held.union(held.where("row = 0").withColumn("row", F.lit(-1).cast("long"))).coalesce(1).sortWithinPartitions("row")
+    from ..operators.order import positions
+
+    held = written(positions(df.select(F.col(key).alias("k"), F.regexp_replace(text, r"[\r\n]+", " ").alias("t")), ["k"], [], "row"), "bundle")
+    lines = held.select("row", F.explode(F.when(F.col("row") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("copy"), "t")
+    lines = lines.repartitionByRange("row", "copy").sortWithinPartitions("row", "copy")
     lines.select("t").write.text(f"{path}/target.txt")
     lines.select(F.lit(label).alias("t")).write.text(f"{path}/labels.txt")
-    return held.select((F.col("row") + 1).alias("row"), F.col("k").alias(key))
+    return held.select("row", F.col("k").alias(key))
 
 
 def edit_tables(template: DataFrame, scored: DataFrame, stats: DataFrame, root: str) -> None:
@@ -196,37 +203,61 @@ def markdown(df: DataFrame, title: str, note: str = "", decimals: int = 3, most:
     return "\n".join([f"## {title}", "", *([note, ""] if note else []), line(df.columns), line("---" for _ in df.columns), *rows, ""])
 
 
-def workbook(rows: list[list], header: list[str]) -> bytes:
-    """A workbook of one sheet; cells are inline text or numbers, null ones are left out. The same rows give the same bytes."""
-    from xml.sax.saxutils import escape
+#: The parts of a workbook of one sheet, but for the sheet.
+_PARTS = {
+    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="review" sheetId="1" r:id="r1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+}
+_HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+
+
+def column_name(i: int) -> str:
+    """A to Z, AA and so on, from 0."""
+    return (column_name(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
+
 
-    def column(i: int) -> str:
-        return (column(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
-
-    def cell(at: str, x) -> str:
-        if x is None:
-            return ""
-        if isinstance(x, (int, float)) and not isinstance(x, bool):
-            return f'<c r="{at}"><v>{x!r}</v></c>'
-        return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(str(x))}</t></is></c>'
-
-    lines = "".join(f'<row r="{r}">{"".join(cell(f"{column(i)}{r}", x) for i, x in enumerate(row))}</row>' for r, row in enumerate([header, *rows], 1))
-    parts = {
-        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
-        "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="review" sheetId="1" r:id="r1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{lines}</sheetData></worksheet>',
-    }
+#: What a cell's XML can't hold as it is, or would be read as something else: written as _xHHHH_, which is how workbooks say a character by its number.
+_UNSAID = re.compile("[\x00-\x08\x0b-\x1f\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)")
+
+
+def _workbook_cell(at: str, x) -> str:
+    if x is None:
+        return ""
+    if isinstance(x, (int, float)) and not isinstance(x, bool):
+        return f'<c r="{at}"><v>{x!r}</v></c>'
+    said = escape(_UNSAID.sub(lambda m: f"_x{ord(m[0]):04X}_", str(x)))
+    return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{said}</t></is></c>'
+
+
+def write_workbook(out: BinaryIO, rows: Iterable[list], header: list[str]) -> int:
+    """A workbook of one sheet, written row by row; how many rows. Cells are inline text or numbers, null ones are left out. The same rows give the same bytes."""
+    info = lambda name: zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in _PARTS.items():
+            z.writestr(info(name), _HEAD + body, zipfile.ZIP_DEFLATED)
+        entry = info("xl/worksheets/sheet1.xml")
+        entry.compress_type = zipfile.ZIP_DEFLATED
+        n = 0
+        with z.open(entry, "w") as sheet:
+            sheet.write(f'{_HEAD}<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'.encode())
+            for n, row in enumerate(chain([header], rows), 1):
+                cells = "".join(_workbook_cell(f"{column_name(i)}{n}", x) for i, x in enumerate(row))
+                sheet.write(f'<row r="{n}">{cells}</row>'.encode())
+            sheet.write(b"</sheetData></worksheet>")
+    return n - 1
+
+
+def workbook(rows: list[list], header: list[str]) -> bytes:
+    """The same in memory."""
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, body in parts.items():
-            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + body)
+    write_workbook(out, rows, header)
     return out.getvalue()
 
 
 def hand_off(packet: DataFrame, key: str, needed: list[str], most: int = 5000) -> bytes:
-    """A review packet as a workbook, in the order of its key; released only if every needed cell is filled and no key repeats."""
+    """A review packet as a workbook, in the order of its key; released only if every needed cell is filled and no key repeats. Larger packets: ``workbooks.hand_offs``."""
     rows = _small(packet.orderBy(key), most)
     if blank := [r[key] for r in rows if any(r[c] is None or not str(r[c]).strip() for c in [key, *needed])]:
         raise Violation(f"not complete: {blank[:5]}")
