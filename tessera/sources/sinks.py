@@ -138,15 +138,16 @@ def legacy_bundle(df: DataFrame, key: str, text: str, path: str, label: str = "0
     """Input of scorers that read a target file and drop its first row: ``path/target.txt`` with the first row doubled, ``path/labels.txt`` with as many
     filler labels, and the row map ``row, key``, from 1, in the order of keys.
 
-    Rows are numbered and written by ranges of keys, a part file each; in the order of their names the parts are the scorer's file.
+    Rows are sorted and written by ranges of keys, a part file each; in the order of their names the parts are the scorer's file. Texts are shuffled
+    once; the map is made of keys alone, so rows with the same key are told apart in the file only. ``df`` is read for each of the two, and has to be the same each time.
     """
     from ..operators.order import positions
 
-    held = written(positions(df.select(F.col(key).alias("k"), F.regexp_replace(text, r"[\r\n]+", " ").alias("t")), ["k"], [], "row"), "bundle")
-    lines = held.select("row", F.explode(F.when(F.col("row") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("copy"), "t")
-    lines = lines.repartitionByRange("row", "copy").sortWithinPartitions("row", "copy")
-    lines.select("t").write.text(f"{path}/target.txt")
-    lines.select(F.lit(label).alias("t")).write.text(f"{path}/labels.txt")
+    lines = df.select(F.col(key).alias("k"), F.regexp_replace(text, r"[\r\n]+", " ").alias("t"))
+    lines.unionByName(lines.orderBy("k", "t").limit(1)).orderBy("k", "t").select("t").write.text(f"{path}/target.txt")
+    held = positions(lines.select("k"), ["k"], [], "row")
+    copies = F.when(F.col("row") == 1, 2).otherwise(1)
+    held.select(F.explode(F.array_repeat(F.lit(label), copies)).alias("t")).write.text(f"{path}/labels.txt")
     return held.select("row", F.col("k").alias(key))
 
 
