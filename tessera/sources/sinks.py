@@ -144,7 +144,8 @@ def legacy_bundle(df: DataFrame, key: str, text: str, path: str, label: str = "0
     from ..operators.order import positions
 
     lines = df.select(F.col(key).alias("k"), F.regexp_replace(text, r"[\r\n]+", " ").alias("t"))
-    lines.unionByName(lines.orderBy("k", "t").limit(1)).orderBy("k", "t").select("t").write.text(f"{path}/target.txt")
+    lines = lines.withColumn("tie", F.xxhash64("t"))  # ranges are cut by a sample of what is sorted, so no text is in it
+    lines.unionByName(lines.orderBy("k", "tie").limit(1)).orderBy("k", "tie").select("t").write.text(f"{path}/target.txt")
     held = positions(lines.select("k"), ["k"], [], "row")
     copies = F.when(F.col("row") == 1, 2).otherwise(1)
     held.select(F.explode(F.array_repeat(F.lit(label), copies)).alias("t")).write.text(f"{path}/labels.txt")
