@@ -414,7 +414,7 @@ def test_url_rules(spark):
     cases = [
         (None, "", "", None, "allow"), ("no scheme", "", "", None, "allow"), ("http://A.Example.COM/en/71?x", "a.example.com", "/en/71", "example.com/en/7", "allow"),
         ("http://com/en/", "com", "/en/", "com/en/", "block"), ("http://xcom/en/", "xcom", "/en/", None, "allow"), ("http://a.org/x.com/en/", "a.org", "/x.com/en/", None, "allow"),
-        ("x://example.net/de/8#f", "example.net", "/de/8", "example.net/de/8", "block"), ("x://b.net/de/9", "b.net", "/de/9", "net/de/", "block"), ("x://net/DE/", "net", "/DE/", None, "allow"),
+        ("x://example.net/de/8#f", "example.net", "/de/8", "example.net/de/8", "block"), ("x://b.net/de/9", "b.net", "/de/9", "net/de/", "allow"), ("x://net/DE/", "net", "/DE/", None, "allow"),
         ("http://casino.a.de", "casino.a.de", "", None, "block"), ("http://a\x00.com/en/\x00", "a\x00.com", "/en/\x00", "com/en/", "block"), ("http://?q", "", "", None, "allow"), ("a://b://c/d", "b:", "//c/d", None, "allow"),
         ("http://h/" + "p" * 5000, "h", "/" + "p" * 5000, None, "allow"),
     ]
@@ -425,6 +425,13 @@ def test_url_rules(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_rules_are_the_contracts(spark):
+    want = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+    assert [(r.action, r.name) for r in urls.RULES] == want
+    df = spark.createDataFrame([(1, "x://net/de/"), (2, "x://a.example.net/de/7"), (3, "x://casino.net/de/"), (4, "x://example.net/de/81")], "page_id long, url string")
+    assert {k: (r["rule"], r["verdict"]) for k, r in rows_of(urls.filter_urls(df), "page_id").items()} == {1: ("net/de/", "allow"), 2: ("net/de/", "allow"), 3: ("net/de/", "allow"), 4: ("example.net/de/8", "block")}
+
+
 # --- language ID ---------------------------------------------------------------------------------
 
 
