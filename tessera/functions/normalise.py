@@ -39,9 +39,9 @@ def markdown_to_text(text: Column) -> Column:
     return markup.markdown(strip_fences(F.regexp_replace(text, r"(?s)^---\s*\n.*?\n---\s*\n", "")))
 
 
-def html_to_text(html: Column) -> Column:
-    """Text outside pre, script, style and nav, its pieces stripped and joined by a blank."""
-    return markup.html(html)
+def html_to_text(html: Column, bare: bool = True) -> Column:
+    """Text outside pre, script, style and nav, its pieces stripped and joined by a blank; ``bare`` as in ``markup.html_strings``."""
+    return markup.html(html, bare)
 
 
 def to_text(path: Column, content: Column) -> Column:

@@ -45,6 +45,11 @@ def test_html_strings(spark):
         assert markup.html_strings(text) == want, text
 
 
+def test_references_that_need_their_semicolon():
+    for text, want in [("<p>a &amp;&amp</p> b", "a &&amp b"), ("a&quo</b>c &quot", "a&quo c &quot"), ("&ampx; &ltx &lt;", "&ampx; &ltx <"), ("&#39;&#x41;&copy;&nosuch;", "'A©&nosuch;"), ("a & b &; &1", "a & b &; &1"), ("<a t='&amp' u=&lt>x</a>", "x")]:
+        assert markup.html_strings(text, bare=False) == want, text
+
+
 def test_formats_by_suffix(spark):
     rows = [("a.MD", "# x"), ("b.html", "<p>x</p>"), ("c.rst", ".. note:: y\nx"), ("d.txt", "# x"), ("e", "<p>x</p>"), ("f.markdown", None)]
     got = spark.createDataFrame(rows, "p string, t string").select(normalise.to_text(F.col("p"), F.col("t")).alias("x")).collect()
