@@ -124,3 +124,13 @@ def test_dominated_pairs():
         m = draw.integers(1, 60)
         x, y, n = draw.integers(0, 12, m), draw.integers(0, 9, m), draw.integers(1, 4, m)
         assert estimate.dominated(x, y, n) == sum(n[i] * n[j] for i in range(m) for j in range(m) if x[i] < x[j] and y[i] < y[j])
+
+
+def test_invariance_of_a_corpus_without_spread(spark, tmp_path):
+    """A corpus of one sentence has no deviation to divide by, and still has its row."""
+    from tessera.plans import registry
+
+    texts = ["One short sentence is here. Another follows it! 12 34 is a third one.", "Ein Satz.", "Noch einer steht 9 hier."]
+    spark.createDataFrame([(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(zip(texts, ("en", "xx", "de"), strict=True))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["corpus_id"]: r for r in registry.QUERIES["e20_invariance"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == ["de", "en", "xx"] and all(r["invariant"] for r in got.values()) and got["xx"]["rho"] == 0
