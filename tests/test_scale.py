@@ -134,3 +134,29 @@ def test_invariance_of_a_corpus_without_spread(spark, tmp_path):
     spark.createDataFrame([(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(zip(texts, ("en", "xx", "de"), strict=True))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["corpus_id"]: r for r in registry.QUERIES["e20_invariance"](spark, str(tmp_path)).collect()}
     assert sorted(got) == ["de", "en", "xx"] and all(r["invariant"] for r in got.values()) and got["xx"]["rho"] == 0
+
+
+def test_values_that_stand_for_several_rows(spark, partitions):
+    data = [("a", i % 7 / 7, i % 3 + 1) for i in range(60)] + [("b", None, 4), ("b", 2.0, 5)]
+    df = spark.createDataFrame(data, "g string, x double, c long")
+    got = {(r["g"], r["x"]): (r["cum_n"], r["cum_before"], r["cum_total"]) for r in order.cumulative(df, "x", ["g"], times="c").collect()}
+    long = df.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("c"))))
+    assert got == {(r["g"], r["x"]): (r["cum_n"], r["cum_before"], r["cum_total"]) for r in order.cumulative(long, "x", ["g"]).collect()} and got["b", 2.0] == (5, 0, 5)
+
+
+def test_feature_correlations_rank_no_row_for_each_feature(spark, monkeypatch):
+    """What is ranked are a row for each sentence, and the different values of a feature."""
+    from tessera.plans import statistic_queries
+    from tessera.plans.views import Views
+
+    held = {}
+
+    def watched(df, name, real=statistic_queries.written):
+        held[name] = real(df, name)
+        return held[name]
+
+    monkeypatch.setattr(statistic_queries, "written", watched)
+    v = Views(spark, "/root/testdata/sf0.001")
+    got = statistic_queries._feature_rhos(v).collect()
+    assert held["features"].count() == v.sentences().count() == sum(r["n"] for r in got if r["feature"] == "char_count")
+    assert held["sums"].count() == held["sums"].select("corpus_id", "feature", "x").distinct().count()
