@@ -41,6 +41,70 @@ def draws(units: DataFrame, key: str, by: list[str], reps: int, seed: str = "7")
     return weights.join(numbered.select(*by, key, "j"), [*by, "j"]).select("rep", *by, key, "w")
 
 
+#: Draws that one task weighs at once: a cell has so many units over the number of replicates, 65,536 at most.
+_CELL = 1 << 22
+
+
+def resampled_sums(units: DataFrame, key: str, by: list[str], columns: list[str], reps: int, seed: str = "7") -> DataFrame:
+    """``rep, by..., columns``: the sums of the units' columns over each of ``reps`` resamples, whose draws are those of ``draws``.
+
+    Units are numbered and cut into cells. A draw is not a row: those that a batch of digests makes for one cell are shuffled as one array of four
+    bytes each, and meet the cell's units once. A null in a column counts as 0.
+    """
+    width = max(256, min(1 << 16, _CELL // reps))
+    packed = "<u4" if reps <= 1 << 16 else "<u8"
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]
+    numbered = written(row_number(units.select(*by, key, *values), [key], by, "j", key=F.col(key).cast("string")).drop(key).withColumn("cell", F.floor(F.col("j") / width)), "units")
+    group = [F.col(b).cast("string") for b in by]
+    blocks = numbered.select(*by, "total", "j", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // 8))).alias("block"))
+    digest = F.unhex(F.sha2(F.concat_ws(":", F.lit(seed), F.col("block").cast("string"), *group, F.col("j").cast("string")), 256))
+    blocks = blocks.select(*by, "total", "block", digest.alias("digest"))
+    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in numbered.select(*by).schema)
+    size = len(by)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            codes = np.zeros(n, np.int64)
+            for column in batch.columns[:size]:
+                known = column.dictionary_encode()
+                codes = codes * len(known.dictionary) + known.indices.to_numpy(zero_copy_only=False)
+            total, block, digests = (c for c in batch.columns[size:])
+            words = np.frombuffer(b"".join(digests.to_pylist()), ">u4").reshape(n, 8)
+            unit = np.floor(words / 4294967296.0 * total.to_numpy()[:, None]).astype(np.int64).ravel()
+            rep = (block.to_numpy().astype(np.int64)[:, None] * 8 + np.arange(8)).ravel()
+            _, first, kind = np.unique(codes, return_index=True, return_inverse=True)
+            kept = rep < reps
+            unit, rep, kind = unit[kept], rep[kept], np.repeat(kind, 8)[kept]
+            slot = kind * (unit.max() // width + 1) + unit // width
+            order = np.argsort(slot, kind="stable")
+            starts = np.flatnonzero(np.diff(slot[order], prepend=-1))
+            picks = (rep << 16 | unit % width)[order].astype(packed)
+            rows = pa.array(first[kind[order[starts]]])
+            cells = pa.array((unit // width)[order[starts]], pa.int64())
+            arrays = pa.array([x.tobytes() for x in np.split(picks, starts[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[:size]), cells, arrays], names=[*by, "cell", "picks"])
+
+    def weigh(cell: pa.Table, dealt: pa.Table) -> pa.Table:
+        drawn = np.frombuffer(b"".join(dealt["picks"].to_pylist()), packed).astype(np.int64)
+        rep, at = drawn >> 16, drawn & 0xFFFF
+        place = cell["j"].to_numpy() % width
+        seen = np.flatnonzero(np.bincount(rep, minlength=reps))
+        sums = []
+        for c in columns:
+            worth = np.zeros(width)
+            worth[place] = cell[c].to_numpy()
+            sums.append(pa.array(np.bincount(rep, worth[at], reps)[seen]))
+        same = pa.array(np.zeros(len(seen), np.int64))
+        return pa.Table.from_arrays([pa.array(seen, pa.int32()), *(cell[b].take(same) for b in by), *sums], names=["rep", *by, *columns])
+
+    dealt = blocks.mapInArrow(deal, f"{own}cell long, picks binary")
+    parts = numbered.groupBy(*by, "cell").cogroup(dealt.groupBy(*by, "cell")).applyInArrow(weigh, f"rep int, {own}{', '.join(f'`{c}` double' for c in columns)}")
+    return parts.groupBy("rep", *by).agg(*(F.sum(c).alias(c) for c in columns))
+
+
 def interval(replicates: DataFrame, value: str, by: list[str], least_valid: float = 0.0) -> DataFrame:
     """``by..., valid, low, high``: the 2.5 and 97.5 % points of the valid replicates; null if too few are valid."""
     got = replicates.groupBy(*by).agg(F.count(value).alias("valid"), F.count(F.lit(1)).alias("reps"), percentile(F.col(value), 0.025).alias("low"), percentile(F.col(value), 0.975).alias("high"))
@@ -51,7 +115,7 @@ def interval(replicates: DataFrame, value: str, by: list[str], least_valid: floa
 def cluster_means(rows: DataFrame, value: str, cluster: str, by: list[str], reps: int, seed: str = "7") -> DataFrame:
     """``rep, by..., mean``: ratio of weighted sums over resampled clusters; only sums by cluster meet the weights."""
     sums = rows.groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-    return draws(sums, cluster, by, reps, seed).join(sums, [*by, cluster]).groupBy("rep", *by).agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("c"))).alias("mean"))
+    return resampled_sums(sums, cluster, by, ["s", "c"], reps, seed).select("rep", *by, F.try_divide("s", "c").alias("mean"))
 
 
 def cluster_medians(rows: DataFrame, value: str, cluster: str, by: list[str], reps: int, seed: str = "7", buckets: int | None = None) -> DataFrame:
@@ -83,7 +147,7 @@ def cluster_rank_correlations(rows: DataFrame, x: str, y: str, cluster: str, by:
     ranked = average_ranks(rows, {x: "a", y: "b"}, by)
     a, b = F.col("a"), F.col("b")
     sums = ranked.groupBy(*by, cluster).agg(F.count(F.lit(1)).alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"), F.sum(a * b).alias("ab"))
-    total = draws(sums, cluster, by, reps, seed).join(sums, [*by, cluster]).groupBy("rep", *by).agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in ("n", "sa", "sb", "aa", "bb", "ab")))
+    total = resampled_sums(sums, cluster, by, ["n", "sa", "sb", "aa", "bb", "ab"], reps, seed)
     n = F.col("n")
     over = F.sqrt(F.greatest(F.lit(0.0), n * F.col("aa") - F.col("sa") ** 2)) * F.sqrt(F.greatest(F.lit(0.0), n * F.col("bb") - F.col("sb") ** 2))
     return total.select("rep", *by, F.try_divide(n * F.col("ab") - F.col("sa") * F.col("sb"), over).alias("rho"))

@@ -160,3 +160,16 @@ def test_feature_correlations_rank_no_row_for_each_feature(spark, monkeypatch):
     got = statistic_queries._feature_rhos(v).collect()
     assert held["features"].count() == v.sentences().count() == sum(r["n"] for r in got if r["feature"] == "char_count")
     assert held["sums"].count() == held["sums"].select("corpus_id", "feature", "x").distinct().count()
+
+
+@pytest.mark.parametrize("reps, cell", [(50, 1 << 22), (13, 1), (70_000, 1)])
+def test_resampled_sums_are_those_of_the_draws(spark, partitions, monkeypatch, reps, cell):
+    """Several cells, replicates that are no multiple of eight, more of them than two bytes count, a null value, a null group; and the plan explodes no draw."""
+    monkeypatch.setattr(estimate, "_CELL", cell)
+    n = 3 if reps > 1000 else 900
+    data = [("a" if i % 3 else "b", f"k{i}", i / 8 if i % 11 else None, i) for i in range(n)] + [(None, "k", 1.0, 1)]
+    df = spark.createDataFrame(data, "g string, k string, s double, c long")
+    got = estimate.resampled_sums(df, "k", ["g"], ["s", "c"], reps)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    want = estimate.draws(df, "k", ["g"], reps).join(df, ["g", "k"]).groupBy("rep", "g").agg(F.coalesce(F.sum(F.col("w") * F.col("s")), F.lit(0.0)).alias("s"), F.sum(F.col("w") * F.col("c")).cast("double").alias("c"))
+    assert sorted(map(tuple, got.select("rep", "g", "s", "c").where("g is not null").collect())) == sorted(map(tuple, want.collect()))
