@@ -334,6 +334,11 @@ def widest_calm(examples: Iterable[tuple[str, str]]) -> int:
     return 2 * max((len(m) for name, token in examples if not name.startswith(ORDINARY) for m in _CALM.findall(token)), default=0)
 
 
+def has_bare(examples: Iterable[tuple[str, str]]) -> bool:
+    """Whether some labelled credential has neither a digit nor a capital: then others may have none either."""
+    return any(_CALM.fullmatch(token) for name, token in examples if not name.startswith(ORDINARY))
+
+
 class Tables:
     """Several automata side by side as arrays: for each character what every state gains and where it leads."""
 
@@ -457,11 +462,20 @@ def extended(run: str, found: list[tuple[int, int, str]], machines: Machines, th
     return out
 
 
-def islands(run: str, calm: int, edge: list[bool]) -> list[tuple[int, int]]:
-    """The parts of a run that may hold credentials: its digits and capitals, and ``calm`` characters around them, widened to edges."""
+def islands(run: str, calm: int, edge: list[bool], bare: bool = False) -> list[tuple[int, int]]:
+    """The parts of a run that may hold credentials: its digits and capitals, and ``calm`` characters around them, widened to edges.
+
+    ``bare``: credentials may have neither; then all else too, except what lies between two edges and is longer than ``calm``.
+    """
     out: list[list[int]] = []
+    short = [False] * len(run)
+    if bare:
+        places = [i for i, x in enumerate(edge) if x]
+        for a, b in zip([0, *places], [*places, len(run)], strict=True):
+            if b - a <= calm:
+                short[a:b] = [True] * (b - a)
     for i, c in enumerate(run):
-        if c.isdigit() or c.isupper():
+        if short[i] or c.isdigit() or c.isupper():
             if out and i - out[-1][1] <= calm:
                 out[-1][1] = i + 1
             else:
@@ -480,7 +494,7 @@ def islands(run: str, calm: int, edge: list[bool]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in parts]
 
 
-def find(text: str | None, machines: Machines, threshold: float = 1.0, least: int = LEAST, calm: int = 32) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[int, int, str]]]:
+def find(text: str | None, machines: Machines, threshold: float = 1.0, least: int = LEAST, calm: int = 32, bare: bool = False) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[int, int, str]]]:
     """Base spans by kind; and all spans (start, end, kind), with the likely credentials of ``least`` characters or more that overlap no base span."""
     text = text or ""
     base = base_spans(text)
@@ -503,7 +517,7 @@ def find(text: str | None, machines: Machines, threshold: float = 1.0, least: in
             if a - at >= least:
                 piece, begins, ends = text[at:a], at == m.start() or not text[at - 1].isalnum(), a == m.end() or not text[a].isalnum()
                 edge = edges(piece, begins, ends)
-                for x, y in islands(piece, calm, edge):
+                for x, y in islands(piece, calm, edge, bare):
                     if y - x >= least and (found := stretches(piece[x:y], machines, threshold, least, edge[x], edge[y])):
                         near = edges(piece[x:y], edge[x], edge[y])
                         longer = extended(piece[x:y], found, machines, threshold, near, ordinary_reading(piece[x:y], machines.plain, near))
@@ -520,11 +534,12 @@ def find_secrets(documents: DataFrame, key: str = "doc_id", text: str = "text",
     ``plain``; if None, the published formats, kinds of ordinary tokens, and the values that the documents assign (``corpus_examples``, a bounded sample). Null
     text counts as empty; repeated rows each get a row; no row is dropped. ``threshold``: bits per character in favour of a format.
     Tokens and their parts of 16 characters or more are scored, shorter ones from the length of the shortest labelled credential;
-    stretches of small letters and marks over twice as long as any labelled credential has are in none.
+    stretches of small letters and marks over twice as long as any labelled credential has are in none, and those without a digit
+    or capital count only if some labelled credential has neither.
     The automata are inferred once, by the driver, and sent as tables of some hundred states.
     """
     pairs = [*labelled(), *corpus_examples(documents, key, text)] if examples is None else list(examples)
-    least, calm = least_length(pairs), widest_calm(pairs)
+    least, calm, bare = least_length(pairs), widest_calm(pairs), has_bare(pairs)
     shared = documents.sparkSession.sparkContext.broadcast(infer(pairs))
 
     def make():
@@ -533,7 +548,7 @@ def find_secrets(documents: DataFrame, key: str = "doc_id", text: str = "text",
         def each(texts):
             base, spans = [], []
             for x in texts:
-                own, all_ = find(x, machines, threshold, least, calm)
+                own, all_ = find(x, machines, threshold, least, calm, bare)
                 base.append([f"{k}:{a}:{b}" for a, _, k, b in sorted((a, KINDS.index(k), k, b) for k in KINDS for a, b in own[k])])
                 spans.append([f"{k}:{a}:{b}" for a, b, k in all_])
             return [base, spans]

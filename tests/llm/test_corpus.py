@@ -366,6 +366,17 @@ def test_long_runs_of_short_pieces_are_quick(machines):
         assert time.time() - began < 10
 
 
+def test_formats_without_digits_and_capitals_are_found(spark):
+    pick = random.Random(5)
+    make = lambda: "tok_" + "".join(pick.choice("qxzjkvwbp") for _ in range(40))
+    examples = [("small", make()) for _ in range(200)] + [e for e in secrets.labelled() if e[0].startswith("plain")]
+    around = [("", ""), ("see/", ""), ("lorem/ipsum-" * 9, "/dolor" * 9), ("A1/" + "lorem/ipsum-" * 9, "/dolor" * 9 + "/B2")]
+    tokens = [make() for _ in around]
+    texts = [f"use {a}{t}{b} ok" for t, (a, b) in zip(tokens, around, strict=True)] + ["x" * 50_000, "lorem-ipsum/" * 20]
+    got = rows_of(secrets.find_secrets(docs(spark, texts), examples=examples))
+    assert [got[i]["spans"] for i in range(6)] == [*([f"small:{4 + len(a)}:{4 + len(a) + len(t)}"] for t, (a, _) in zip(tokens, around, strict=True)), [], []]
+
+
 def test_credentials_without_digits_and_short_formats(spark, machines):
     for kind, t in (("gitlab", "glpat-aBcDEfgHiJKlmNoPqRsT"), ("stripe", "sk_live_aBcDEfgHiJKlmNoPqRsTuVwX"), ("github", "ghp_QwErTyUiOpAsDfGhJkLzXcVbNmqWeRtYuIoP")):
         assert secrets.find(f"use {t} ok", machines)[1] == [(4, 4 + len(t), kind)]
