@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import zipfile
 
 import duckdb
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import normalise, segment, treebank
+from tessera.functions import patterns as P
 from tessera.functions import text as X
 from tessera.operators import agreement, checks, estimate, filters, governance, ladders, order, scoring, selection, summary
 from tessera.plans import pipeline, registry
@@ -187,6 +189,24 @@ def test_gate(spark):
     assert got[0] == [] and "original_concrete_marker_lost" in got[1] and "polarity_changed" in got[2] and "unchanged_normalized" in got[3]
 
 
+def test_searches_before_patterns_change_no_flag(spark):
+    pick = random.Random(4)
+    parts = ["https://", "FTP://x", "wWw.a", "MailTo:b", "www.", "```", "`", "<code>", "</PRE >", "[[a|b]]", "|", "---|---", "#", " # h", "- ", "12) ", "\t", " ", "\u2028", "\x85", "\x0b", "a=b", "--x", "\\\\s", "./y", "$ ", ">>> ", "PS> ", "git", "Wörter", "9", ".", "?"]
+    texts = ["", " ", *("".join(pick.choice(parts) for _ in range(pick.randrange(1, 7))) for _ in range(1500))]
+    t = F.col("t")
+    flags = {
+        "url": (filters.url(t), t.rlike(P.URL)), "heading": (filters.heading_fragment(t), t.rlike(P.HEADING)), "code": (filters.code_markup(t), filters.inline_code(t) | t.rlike(P.CODE_TAG)),
+        "list": (filters.list_fragment(t), t.rlike(P.LIST_ITEM) & ~X.strip(t).rlike(r"[.?!]\z")), "words": (F.size(X.words(t)), F.size(F.filter(F.split(t, rf"{P.BLANK}+"), lambda w: w != ""))),
+        "shell": (filters.command_evidence(t), F.size(F.filter(X.words(t), filters.shell_syntax)) + filters._led(X.words(t)).cast("int")),
+        "letters": (X.alpha_ratio(t), F.coalesce(F.try_divide(F.length(F.regexp_replace(t, r"[^\p{L}]", "")), F.length(F.regexp_replace(t, P.BLANK, ""))), F.lit(0.0))),
+    }
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", *(F.struct(a.alias("got"), b.alias("want")).alias(k) for k, (a, b) in flags.items())).collect()
+    assert [(k, r["t"]) for r in rows for k in flags if r[k]["got"] != r[k]["want"]] == []
+    # A blank before a line separator that ends a text stays, as in SQL.
+    got = spark.createDataFrame([(" a \u2028",), ("b \f",), (" ",)], "t string").select(X.strip(t)).collect()
+    assert [r[0] for r in got] == ["a \u2028", "b", ""]
+
+
 def test_strict_join_and_expectations(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string"), spark.createDataFrame([(1, 1.0), (3, 2.0)], "k int, b double")
     with pytest.raises(checks.Violation, match="same"):
