@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import patterns as P
+from tessera.functions import text as X
 from tessera.operators import estimate, features, order, selection
 
 
@@ -87,6 +89,18 @@ def test_medians_of_resampled_clusters(spark, buckets):
             assert got[rep, g] == np.median(drawn)
 
 
+def test_few_groups_are_never_what_rows_are_dealt_by(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([("ab"[i % 2], f"k{i % 5}", float(i % 9)) for i in range(90)], "g string, k string, x double")
+        plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+        ranged = plan(order.ranges(df, "x", ["g"], 8))
+        assert "BroadcastHashJoin" in ranged and "SortMergeJoin" not in ranged
+        assert "BroadcastHashJoin" in plan(estimate.cluster_medians(df, "x", "k", ["g"], 4, buckets=3))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_tfidf_with_few_and_many_tokens(spark):
     data = [("a" if i % 3 else "b", f"s{i}", " ".join(f"w{j}" for j in range(i % 9) if (i * 7 + j) % 4) + (" the" if i % 5 else "") + (" rare%d" % i if i % 50 == 1 else "")) for i in range(2500)]
     df = spark.createDataFrame(data, "corpus_id string, sent_id string, sent_text string")
@@ -97,6 +111,39 @@ def test_tfidf_with_few_and_many_tokens(spark):
     assert {r[1] for r in few if r[2] == 0} == {i for _, i, t in data if not t.strip()}
 
 
+def test_features_read_the_sentences_once(spark):
+    seen, n = spark.sparkContext.accumulator(0), 40
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "corpus_id string, sent_id string, sent_text string"
+    df = spark.createDataFrame([("ab"[i % 2], f"s{i}", f"Word {i % 7} the, the x=1.") for i in range(n)], schema).mapInArrow(watched, schema)
+    for make in (features.idf, lambda d: features.tfidf(d, most=0), features.tfidf, features.feature_table):
+        before = seen.value
+        make(df).collect()
+        assert seen.value - before == n
+    counts = features.term_counts(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert counts.count("regexp_extract_all(sent_text") == 1 and "sort_array" in counts
+
+
+def test_densities_equal_those_of_each_token(spark):
+    words = ["the", "The", "git", "Git", "git.", "gitx", "THE", "a", "A", "a.", "..", ".", "...", "-", "x:", "x=1", "--flag=2", "--flag", "a/b", "1.2", "v1.2", "snake_case", "camelCase", "CamelCase", "Mr.", "bash:", "été", "Über", "(", "“", "3", "Ubuntu22", "pip3", "run.exe", "-o", "word.word", "C:\\x", "key:", "Python.", "K", "\u00a0", "B.C.", "/", "é.b"]
+    rng = np.random.default_rng(3)
+    texts = ["", " ", *words, *(" ".join(rng.choice(words, k)) for k in (2, 3, 5, 9, 30) for _ in range(40)), *("".join(rng.choice(words, 4)) for _ in range(60))]
+    df = spark.createDataFrame([("a", str(i), t) for i, t in enumerate(texts)], "corpus_id string, sent_id string, sent_text string")
+    got = {int(r["sent_id"]): r for r in features.densities(df).collect()}
+    each = df.withColumn("t", X.tokens(F.col("sent_text")))
+    share = lambda c: F.coalesce(F.try_divide(c, F.size("t")), F.lit(0.0))
+    plain = {k: share(F.size(F.filter("t", f))) for k, f in features.DENSITIES.items()}
+    spans = F.regexp_count("sent_text", F.lit(P.YAML_SPAN)) + F.regexp_count("sent_text", F.lit(P.FLAG_SPAN))
+    plain |= {"assignment_parameter_density": share(F.size(F.filter("t", X.is_assignment)) + spans), "token_shape_complexity_mean": share(F.aggregate("t", F.lit(0), lambda s, t: s + X.shape_points(t)))}
+    for r in each.select("sent_id", F.size("t").alias("token_count"), *(c.alias(k) for k, c in plain.items())).collect():
+        assert {k: got[int(r["sent_id"])][k] for k in (*plain, "token_count")} == {k: r[k] for k in (*plain, "token_count")}, texts[int(r["sent_id"])]
+
+
 def plain_tau(x, y):
     s = dx = dy = 0
     for (a, b), (c, d) in itertools.combinations(zip(x, y, strict=True), 2):
