@@ -135,7 +135,8 @@ def cluster_medians(rows: DataFrame, value: str, cluster: str, by: list[str], re
     sums = sums.select("rep", *by, "range", (upto - F.col("n")).alias("before"), upto.alias("upto"), F.floor((whole - 1) / 2).alias("low"), F.floor(whole / 2).alias("high"))
     holds = lambda p: (F.col(p) >= F.col("before")) & (F.col(p) < F.col("upto"))
     middle = written(sums.where(holds("low") | holds("high")).drop("upto"), "middle")
-    near = counts.join(middle, [*by, "range"]).join(drawn, ["rep", *by, cluster]).groupBy("rep", *by, "range", "before", "low", "high", value).agg(F.sum(F.col("w") * F.col("c")).alias("n"))
+    # A row or two for each replicate of a group: joined by their keys, all values of a range that many replicates share would meet in one task.
+    near = counts.join(F.broadcast(middle), [*by, "range"]).join(drawn, ["rep", *by, cluster]).groupBy("rep", *by, "range", "before", "low", "high", value).agg(F.sum(F.col("w") * F.col("c")).alias("n"))
     upto = F.col("before") + F.sum("n").over(Window.partitionBy("rep", *by, "range").orderBy(value))
     run = near.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
     at = lambda p: F.max(F.when(holds(p), F.col(value)))
