@@ -63,13 +63,14 @@ def _grams(text: str, k: int) -> np.ndarray:
     return out
 
 
-def _chosen(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Places of the least k-gram of each window of neighbours, the first of equal ones."""
-    if window == 1 or not len(hashes):
-        return np.arange(len(hashes))
-    if len(hashes) < window:
+def _chosen(hashes: np.ndarray, window: int, starts: int) -> np.ndarray:
+    """Places of the least k-gram of each of the first ``starts`` windows of neighbours, the first of equal ones."""
+    starts = min(starts, len(hashes) - window + 1)
+    if starts <= 0:
         return np.zeros(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(hashes, window)
+    if window == 1:
+        return np.arange(starts)
+    views = np.lib.stride_tricks.sliding_window_view(hashes, window)[:starts]
     return np.unique(np.arange(len(views)) + views.argmin(axis=1))
 
 
@@ -112,7 +113,7 @@ def private_values(spread: DataFrame, values: DataFrame, column: str) -> DataFra
     """``file, column, value, offset``: each place (from 0, in characters) where a cell of ``cells`` holds a value of ``values``; as they are written, whatever their case."""
     wanted = values.select(F.col(column).cast("string").alias("value")).where("length(value) > 0").distinct()
     anchors = written(_anchors(wanted), "anchors")
-    sizes = {r[0]: r[1] for r in anchors.groupBy("class").agg(F.max(F.length("value"))).collect()}
+    sizes = {r[0]: (r[1], r[2]) for r in anchors.groupBy("class").agg(F.min(F.length("value")), F.max(F.length("value"))).collect()}
     if not sizes:
         return spread.select("file", "column", F.lit("").alias("value"), F.lit(0).cast("long").alias("offset")).limit(0)
     shared = spread.sparkSession.sparkContext.broadcast(_bloom(anchors))
@@ -122,12 +123,15 @@ def private_values(spread: DataFrame, values: DataFrame, column: str) -> DataFra
         for batch in batches:
             rows = []
             for file, name, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for place, longest in sizes.items():
+                for place, (least, longest) in sizes.items():
                     _, k, window = CLASSES[place]
-                    hashes = _grams(text, k)
-                    at = _chosen(hashes, window)
+                    starts = len(text) - least + 1  # a value that begins later would not fit
+                    if starts <= 0:
+                        continue
+                    hashes = _grams(text[: starts + k + window - 2], k)
+                    at = _chosen(hashes, window, starts)
                     for i in at[_passes(bloom, hashes[at])].tolist():
-                        start = max(0, i - longest)
+                        start = max(0, i - window + 1)
                         rows.append((file, name, place, int(hashes[i].astype(np.int64)), i, start, text[start : i + longest]))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             types = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())

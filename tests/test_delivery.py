@@ -237,6 +237,15 @@ def test_privacy_scan_equals_a_search_for_every_value(spark, tmp_path):
     assert privacy.leaks(spark, f"{tmp_path}/out", spark.createDataFrame([], "v string"), "v", []).where("kind <> 'path'").count() == 0
 
 
+def test_privacy_scan_looks_only_where_a_value_fits():
+    """Sixty-four characters after five others can begin at six places, whose windows choose two k-grams here, not fourteen."""
+    hashes = privacy._grams("note " + "".join(random.Random(1).choice("0123456789abcdef") for _ in range(64)), 8)
+    every, some = (privacy._chosen(hashes, 9, n).tolist() for n in (10**6, 6))
+    assert set(some) <= set(every) and len(some) <= 3 < len(every)
+    assert all(any(p <= i < p + 9 for i in some) for p in range(6)) and max(some) < 6 + 8
+    assert not len(privacy._chosen(hashes[:8], 9, 6)) and not len(privacy._chosen(hashes, 9, 0))
+
+
 def test_runs_and_coverage(spark):
     df = spark.createDataFrame([(i, f"t{i}") for i in range(60)], "k long, text string")
     with pytest.raises(checks.Violation, match="only where"):
