@@ -126,7 +126,14 @@ def test_features_read_the_sentences_once(spark):
         make(df).collect()
         assert seen.value - before == n
     counts = features.term_counts(df)._jdf.queryExecution().optimizedPlan().toString()
-    assert counts.count("regexp_extract_all(sent_text") == 1 and "sort_array" in counts
+    assert counts.count("regexp_extract_all(") == 1 and "sort_array" in counts
+
+
+def test_idf_counts_sentences_without_text(spark):
+    df = spark.createDataFrame([("a", "1", "The the x"), ("a", "2", None), ("a", "3", "")], "corpus_id string, sent_id string, sent_text string")
+    got = {r["token"]: (r["df"], r["idf"]) for r in features.idf(df).collect()}
+    assert got == {t: (1, pytest.approx(np.log(4 / 2) + 1)) for t in ("the", "x")}
+    assert {r["sent_id"]: r["tfidf_max"] > 0 for r in features.tfidf(df).collect()} == {"1": True, "2": False, "3": False}
 
 
 def test_densities_equal_those_of_each_token(spark):
