@@ -69,6 +69,7 @@ def totals_until(changes: DataFrame, probes: DataFrame, keys: list[str], measure
     Each round handles the bins of one width: the totals of a bin's earlier siblings go to its probes; bins of at most ``few`` changes
     are joined with their probes; what lies in the others goes to the next round. No window holds more than
     the bins of one parent (for the first, the bins of the calendar), and no join more than ``few`` rows a probe.
+    Each join is made once and written, so no plan, which the driver holds, has the joins of several rounds.
     """
     named = probes.columns
     parts, shift, parent = [], coarse, None
@@ -80,19 +81,19 @@ def totals_until(changes: DataFrame, probes: DataFrame, keys: list[str], measure
         siblings = Window.partitionBy(*keys, *([] if parent is None else [F.shiftright("bin", parent - shift)])).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0 if shift == 0 else -1)
         before = [F.coalesce(m.total(F.col(m.name)).over(siblings), F.lit(0)).alias(m.name) if m.how == "sum" else m.total(F.col(m.name)).over(siblings).alias(m.name) for m in measures]
         table = written(bins.select(*keys, "bin", *before, "n", "asked").where("asked = 1"), "bins")
-        there = probes.withColumn("bin", look).join(table.hint("merge"), [*keys, "bin"])
+        there = written(probes.withColumn("bin", look).join(table.drop("asked").hint("merge"), [*keys, "bin"]), "there")
         parts.append(there.select(*named, *(m.name for m in measures)))
         if shift == 0:
             break
         held = there.where(f"n BETWEEN 1 AND {few}").select(*named, "bin")
         met = held.join(changes.withColumn("bin", place).hint("merge"), [*keys, "bin"]).where("p <= at")
-        parts.append(met.select(*named, *(m.of.alias(m.name) for m in measures)).groupBy(*named).agg(*(m.total(F.col(m.name)).alias(m.name) for m in measures)))
+        parts.append(written(met.select(*named, *(m.of.alias(m.name) for m in measures)).groupBy(*named).agg(*(m.total(F.col(m.name)).alias(m.name) for m in measures)), "met"))
         most = table.agg(F.max("n")).first()[0] or 0
         if most <= few:
             break
         hot = _beside(table.where(F.col("n") > few).select(*keys, "bin"))
         changes = written(changes.withColumn("bin", place).join(hot, [*keys, "bin"], "left_semi").drop("bin"), "changes")
-        probes = written(there.where(F.col("n") > few).select(*named), "probes")
+        probes = there.where(F.col("n") > few).select(*named)
         parent, shift = shift, max(0, shift - min(FAN, math.ceil(math.log2(2 * most / few))))
     every = parts[0]
     for part in parts[1:]:

@@ -494,3 +494,13 @@ def test_tapes_map_back(parts, data):
                 before = [x[0] for x in itertools.takewhile(lambda x: not x[2], held[:i][::-1])]
                 assert start in (a, *before) and end in (b, *behind)
             place += len(c)
+
+
+def test_totals_of_several_rounds_are_no_plan_of_many_joins(spark):
+    """Whatever the number of rounds, what the driver plans at the end only reads what was written."""
+    at = [i * i % 97 for i in range(60)]
+    changes = spark.createDataFrame([("a", p, 1) for p in at], "k string, p long, n1 long")
+    probes = spark.createDataFrame([("a", t) for t in range(0, 100, 7)], "k string, at long")
+    got = features_at.totals_until(changes, probes, ["k"], [features_at.Measure("s", F.col("n1"))], coarse=6, few=2)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["at"]: r["s"] for r in got.collect()} == {t: sum(p <= t for p in at) for t in range(0, 100, 7)}
