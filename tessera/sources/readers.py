@@ -6,13 +6,16 @@ import io
 import re
 import tarfile
 import zipfile
+from functools import reduce
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
 from ..operators.checks import Violation, duplicates, require
+from .sinks import uri, written
 
 SENTENCES = "corpus_id string, doc_path string, sent_idx int, sent_text string, sent_id string"
 SCORES = "sent_id string, score double"
@@ -33,20 +36,93 @@ def first_of(df: DataFrame, *names: str) -> Column:
 def documents(spark: SparkSession, root: str, include: list[str], exclude: list[str] = ()) -> DataFrame:
     """``doc_path, content`` of the files under root that match a glob and no exclusion; each file once.
 
-    ``**`` crosses folders, ``*`` does not; undecodable bytes are dropped.
+    ``**`` crosses folders, ``*`` does not; undecodable bytes are dropped. Names that begin with a dot or underscore are passed over.
+    Folders are listed by the executors and their files dealt out by name, thousands to a task, so the driver holds none. Where
+    only Spark opens the root (a store of its own, a pattern), its binary files are read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").rsplit("://", 1)[-1].removeprefix("file:")
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(base if base.startswith("/") else f"/{base}") + "/", "")
     kept = F.lit(False)
     for g in include:
         kept = kept | F.col("doc_path").rlike(_glob(g))
     for g in exclude:
         kept = kept & ~F.col("doc_path").rlike(_glob(g))
     text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
+    at = _opened(spark, root)
+    if at:
+        return _contents(_listed(spark, at).where(kept), at).select("doc_path", text.alias("content"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = root.rstrip("/").rsplit("://", 1)[-1].removeprefix("file:")
+    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(base if base.startswith("/") else f"/{base}") + "/", "")
     return files.select(path.alias("doc_path"), text.alias("content")).where(kept)
 
 
+def _opened(spark: SparkSession, root: str) -> str | None:
+    """The address of a folder as Spark resolves it, if Arrow opens it too."""
+    from pyarrow import fs
+
+    if re.search(r"[*?\[\]{}]", root):
+        return None
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    try:
+        at = uri(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString())
+        system, base = fs.FileSystem.from_uri(at)
+        return at if system.get_file_info(base).type == fs.FileType.Directory else None
+    except Exception:  # whatever stands against it, Spark's own reader says it better
+        return None
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """``doc_path, size`` of all files below root, a level of folders after the other; a folder is one task's, as stores list it in one go."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = [i for i in system.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"))) if not re.match(r"\.|_[^=]*$", i.base_name)]
+                for k in range(0, len(found), _NAMES):
+                    some = found[k : k + _NAMES]
+                    names = [f"{folder}/{i.base_name}".lstrip("/") for i in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([i.size if i.is_file else None for i in some], pa.int64())], names=["doc_path", "size"])
+
+    folders, levels = spark.createDataFrame([("",)], "folder string"), []
+    while not levels or not folders.isEmpty():
+        level = written(folders.mapInArrow(run, "doc_path string, size long"), "listing")
+        levels.append(level.where("size IS NOT NULL"))
+        folders = level.where("size IS NULL").select(F.col("doc_path").alias("folder")).repartition(spark.sparkContext.defaultParallelism, "folder")
+    return reduce(DataFrame.unionByName, levels)
+
+
+#: Names in a batch of a listing and in a task that reads; bytes in such a task, and in a batch of what it has read.
+_NAMES, _TASK, _BATCH = 5_000, 64 << 20, 8 << 20
+
+
+def _contents(files: DataFrame, root: str) -> DataFrame:
+    """``doc_path, content`` of listed files."""
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, n // _NAMES + 1, size // _TASK + 1)
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        batch_of = lambda names, bodies: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.binary())], names=["doc_path", "content"])
+        for batch in batches:
+            names, bodies, held = [], [], 0
+            for name in batch.column(0).to_pylist():
+                with system.open_input_file(f"{base}/{name}") as f:
+                    bodies.append(f.read())
+                names.append(name)
+                held += len(bodies[-1])
+                if held > _BATCH:
+                    yield batch_of(names, bodies)
+                    names, bodies, held = [], [], 0
+            if names:
+                yield batch_of(names, bodies)
+
+    return files.select("doc_path").repartition(tasks, "doc_path").mapInArrow(run, "doc_path string, content binary")
+
+
 def _glob(pattern: str) -> str:
     out = ""
     for part in re.split(r"(\*\*/|\*\*|\*|\?)", pattern):

@@ -361,3 +361,14 @@ def test_a_changed_log_is_found(spark):
     assert [(r["u"], r["n"]) for r in contracts.tampered(log.where("n <> 2 or u <> 'u'"), ["u"], "n", "s").collect()] == [("u", 3)]
     done = contracts.completed(log, "u", "n", F.col("s"), ("c",))
     assert {r["u"]: (r["ended"], r["complete"]) for r in done.collect()} == {"u": (True, True), "w": (False, False)}
+
+
+def test_whole_documents_are_listed_and_read_by_tasks(spark, tmp_path):
+    """Thousands of files to a task instead of some thirty, none of them in the driver's plan, and empty ones too, which Spark's binary files leave out."""
+    for name in ("a.md", "x/b c.md", "x/y/ü.md", "x/y/_hidden.md", "x/.dot.md", "x/y/n.txt", "_aside/z.md", "x/empty.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "empty" in name else name.encode() + b"\xff!")
+    got = readers.documents(spark, str(tmp_path), ["**/*.md"], ["**/b*"])
+    assert "binaryFile" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r["doc_path"]: r["content"] for r in got.collect()}
+    assert rows == {"a.md": "a.md!", "x/y/ü.md": "x/y/ü.md!", "x/empty.md": ""}
