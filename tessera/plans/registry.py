@@ -13,7 +13,7 @@ _ALL = sentence_queries.ALL | table_queries.ALL | statistic_queries.ALL | contra
 _HELD = frozenset(
     "e1_spearman e2_cluster_mean_ci e2_cluster_median_ci e4_proportion_ci e5_rank_corr_ci e8_interval e9_support e10_standardised e11_standardised_ci e19_paired_contrast "
     "e20_invariance e22_span_ratio e27_models_standardised j1_three_way j3_lockstep s17_canonical_freeze s20_score_maps v9_replay w1_avg_rank w2_mid_rank "
-    "w5_quintiles v7_privacy_scan w11_disagreement w17_weighted_quantile x3_adapted_runs x3_run_variability x3_runs".split()
+    "w5_quintiles w11_disagreement w17_weighted_quantile x3_adapted_runs x3_run_variability x3_runs".split()
 )
 QUERIES = {name: (lambda spark, sf_dir, make=make, held=name in _HELD: make(Views(spark, sf_dir, held))) for name, (make, _) in _ALL.items()}
 SQL = {name: text for name, (_, text) in _ALL.items() if text is not None}

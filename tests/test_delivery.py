@@ -246,6 +246,31 @@ def test_privacy_scan_looks_only_where_a_value_fits():
     assert not len(privacy._chosen(hashes[:8], 9, 6)) and not len(privacy._chosen(hashes, 9, 0))
 
 
+def test_privacy_scan_of_ids(spark, tmp_path):
+    """Ids in long texts of every kind, over the ends of stretches, repeated and next to each other; the folder is read once."""
+    ids = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(400)]
+    rng = random.Random(7)
+    notes = [f"see {x} in /HOME/{i}/notes" if i % 3 == 0 else f"{x[::-1]} {x}{x}" if i % 3 == 1 else f"row {x[::-1]}" for i, x in enumerate(ids)]
+    notes += ["".join(rng.choice([rng.choice(ids), "🙂é", "-" * 70, rng.choice(ids)[:60]]) for _ in range(1500)), ids[3] * 9, "ab" * 200, "CASE_ID: 1", "/U\u017fers/x \u0130", ""]
+    spark.createDataFrame([(t,) for t in notes], "note string").coalesce(1).write.option("header", True).option("escape", '"').csv(f"{tmp_path}/out/notes.csv")
+    values = [*ids, *ids[:100], "ab" * 32, "-" * 64, "-" * 65, ids[5] + ids[6], "é-"]
+    found = privacy.leaks(spark, f"{tmp_path}/out", spark.createDataFrame([(v,) for v in values], "v string"), "v", ["case_id"])
+    got, want = sorted(map(str, map(tuple, found.collect()))), sorted(map(str, plain_leaks([("notes.csv", "note", t) for t in notes if t], values, ["case_id"])))
+    assert got == want and len(got) > 3000
+    assert "FileScan csv" not in found._jdf.queryExecution().toString()
+
+
+def test_privacy_filters_are_for_millions_of_values(spark):
+    """Ids hardly share a k-gram, whatever their number, and a filter of many is not full."""
+    ids = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(50000)]
+    places, hashes, offsets = privacy._anchors(ids)
+    assert privacy.CLASSES[places[0]][1] == 32 and len(set(hashes.tolist())) == len(ids) and offsets.max() == 32
+    some, other = hashes[:25000], hashes[25000:]
+    for n in (25000, 20_000_000):  # the filter's size, and that of many pieces
+        bloom = privacy._bloom(spark.createDataFrame([(h,) for h in some.view("int64").tolist()], "hash long"), n)
+        assert len(bloom) * 64 >= 12 * n and privacy._passes(bloom, some).all() and privacy._passes(bloom, other).mean() < 0.05
+
+
 def test_runs_and_coverage(spark):
     df = spark.createDataFrame([(i, f"t{i}") for i in range(60)], "k long, text string")
     with pytest.raises(checks.Violation, match="only where"):
