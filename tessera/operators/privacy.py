@@ -195,14 +195,16 @@ def _passes(bloom: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def _met(points: np.ndarray, ends: np.ndarray, sizes: dict[int, tuple[int, int]], bloom: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Class, text, place in it and hash of the chosen k-grams that the filter holds."""
-    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(points))
     reach = max(sum(CLASSES[place][1:]) for place in sizes)
     found: dict[int, list] = {place: [] for place in sizes}
     for begin in range(0, len(points), _STEP):
         stretch, made = points[begin : begin + _STEP + reach], {}
+        stop = begin + len(stretch)
+        here = ends[np.searchsorted(ends, begin, "right") : np.searchsorted(ends, stop) + 1]
+        left = np.repeat(here, np.diff(np.minimum(here, stop), prepend=begin)) - np.arange(begin, stop)
         for place, (least, _) in sizes.items():
             _, k, window = CLASSES[place]
-            fits = left[begin : begin + len(stretch)] >= least  # a value that begins later would not fit
+            fits = left >= least  # a value that begins later would not fit
             fits[_STEP:] = False
             hashes = _grams(stretch, k, made)
             at = _chosen(hashes, window, fits)
@@ -253,7 +255,7 @@ def _scan(spread: DataFrame, names: list[str], sizes: dict[int, tuple[int, int]]
                 yield rows(batch, "value", cell, around, place, hashes.view(np.int64), at, start)
             lines = _holding(texts, whole, ends, low) if low else []
             yield rows(batch, "field", lines, [texts[c] for c in lines])
-            folders = _holding(texts, whole, ends, ["/home/", "users"]) if whole.isascii() else range(len(texts))  # the pattern takes a long s for an s
+            folders = _holding(texts, whole, ends, ["/home/", "users"]) if "\u017f" not in whole else range(len(texts))  # the pattern takes a long s for an s
             paths = [(c, m[0], m.start()) for c in folders for m in _HOME.finditer(texts[c])]
             yield rows(batch, "path", [c for c, _, _ in paths], [t for _, t, _ in paths], at=[i for _, _, i in paths])
 
@@ -262,11 +264,11 @@ def _scan(spread: DataFrame, names: list[str], sizes: dict[int, tuple[int, int]]
 
 def _private_values(met: DataFrame, values: DataFrame) -> DataFrame:
     """``file, column, kind, value, offset``: each place (from 0, in characters) where a cell holds a value; as they are written, whatever their case."""
-    near = met.where("kind = 'value'")
+    near = met.where("kind = 'value'").drop("kind")
     wanted = _anchored(values, _bloom(near, near.agg(F.approx_count_distinct("hash")).first()[0])).dropDuplicates(["value"])
     begin = F.col("at") - F.col("offset")
     same = (begin >= F.col("start")) & (F.substring(F.col("text"), (begin - F.col("start") + 1).cast("int"), F.length("value")) == F.col("value"))
-    return near.join(wanted, ["class", "hash"]).where(same).select("file", "column", "kind", "value", begin.alias("offset"))
+    return near.join(wanted, ["class", "hash"]).where(same).select("file", "column", F.lit("value").alias("kind"), "value", begin.alias("offset"))
 
 
 def serialised_keys(line: Column, names: list[str]) -> Column:
