@@ -285,9 +285,9 @@ def leaks(spark: SparkSession, folder: str, values: DataFrame, column: str, name
     empty value is no value; a null cell is no cell; an empty folder has no leaks.
     """
     wanted = values.select(F.col(column).cast("string").alias("value")).where("length(value) > 0")
-    size = F.length("value")
-    place = sum((size >= least).cast("int") for least, _, _ in CLASSES) - 1
-    found = wanted.groupBy(place.alias("class")).agg(F.min(size), F.max(size), F.approx_count_distinct("value")).collect()
+    lengths = wanted.groupBy(F.length("value").alias("size")).agg(F.approx_count_distinct("value").alias("n"))
+    place = sum((F.col("size") >= least).cast("int") for least, _, _ in CLASSES) - 1
+    found = lengths.groupBy(place.alias("class")).agg(F.min("size"), F.max("size"), F.sum("n")).collect()
     sizes = {r[0]: (r[1], r[2]) for r in found}
     bloom = _bloom(_hashes(wanted), sum(r[3] for r in found)) if sizes else None
     met = written(_scan(cells(spark, folder), names, sizes, bloom), "met")
